@@ -148,23 +148,42 @@ def calendar_fill(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return grid.join(bars, on=[*by, "date", "ticker"], how="left")
 
 
+def _growth_rows(bounds: DataFrame, ticker: str, yearly_rate: float) -> DataFrame:
+    daily = (1.0 + yearly_rate) ** (1.0 / 252.0) - 1.0
+    days = bounds.select("_lo", F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    bd = days.filter(F.weekday("date") < 5)
+    i = business_days_before("date") - business_days_before("_lo")
+    v = F.pow(F.lit(1.0 + daily), i.cast("double"))
+    return bd.select("date", F.lit(ticker).alias("ticker"),
+                     v.alias("open"), v.alias("high"), v.alias("low"),
+                     v.alias("close"), v.alias("adj_close"))
+
+
 def growth_series(spark, start, end, ticker: str = "YEARLY_10_PERCENT",
                   yearly_rate: float = 0.1) -> DataFrame:
     """Synthetic ticker growing 10 % a year over business days.
 
     value = (1 + r) ** i with r = 1.1 ** (1/252) - 1 and i the 0-based index
     of the business day; i is computed arithmetically, not by a window.
+    High/low carry the value too (the reference names them min/max); there
+    is no volume.
     """
-    start, end = as_date(start), as_date(end)
-    daily = (1.0 + yearly_rate) ** (1.0 / 252.0) - 1.0
-    days = spark.range(0, (end - start).days + 1).select(
-        F.date_add(F.lit(start), F.col("id").cast("int")).alias("date"))
-    bd = days.filter(F.weekday("date") < 5)
-    i = business_days_before("date") - business_days_before(F.lit(start))
-    v = F.pow(F.lit(1.0 + daily), i.cast("double"))
-    return bd.select("date", F.lit(ticker).alias("ticker"),
-                     v.alias("open"), v.alias("high"), v.alias("low"),
-                     v.alias("close"), v.alias("adj_close"))
+    bounds = spark.createDataFrame([(as_date(start), as_date(end))], "_lo date, _hi date")
+    return _growth_rows(bounds, ticker, yearly_rate)
+
+
+def growth_series_for(bars: DataFrame, ticker: str = "YEARLY_10_PERCENT",
+                      yearly_rate: float = 0.1) -> DataFrame:
+    """Growth series over the calendar span of a bar store."""
+    bounds = bars.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    return _growth_rows(bounds, ticker, yearly_rate)
+
+
+def market_grid(bars: DataFrame) -> DataFrame:
+    """The reference's wide frame in long form: every market day (a date with
+    any bar) x every ticker, left-joined to the bars."""
+    days = bars.select("date").distinct()
+    return calendar_fill(bars).join(days, "date", "left_semi")
 
 
 def weekend_ffill(bars: DataFrame, start, end) -> DataFrame:
