@@ -109,3 +109,34 @@ def train_tail_frame(frames_tbl: DataFrame, train: str = "train", test: str = "t
     return one_row_join(t, tl).select(
         F.greatest(F.date_sub("end", F.col("_len").cast("int")), F.col("start")).alias("start"),
         F.col("end"))
+
+
+def return_histogram_by_target(df: DataFrame, bins: int = 50, value: str = "return",
+                               target: str = "target") -> DataFrame:
+    """Shared equal-width bins ([a, b), last closed) over all rows; percent of
+    *all* rows per (target, bin)."""
+    v = F.col(value)
+    mm = df.agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.count(F.lit(1)).alias("_tot"))
+    j = one_row_join(df, mm)
+    idx = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
+        F.least(F.floor((v - F.col("_mn")) / ((F.col("_mx") - F.col("_mn")) / F.lit(float(bins)))),
+                F.lit(bins - 1)))
+    g = j.groupBy(target, idx.cast("int").alias("bin"), "_tot").agg(F.count(F.lit(1)).alias("_n"))
+    return g.select(target, "bin", (F.col("_n") * 100.0 / F.col("_tot")).alias("pct"))
+
+
+def return_bin_target_freq(df: DataFrame, bins: int = 30, value: str = "return",
+                           target: str = "target") -> DataFrame:
+    """Counts per (a, b] equal-width bin (first edge lowered, pandas `cut`) and
+    target, zero-filled over every bin x target seen."""
+    v = F.col(value)
+    mm = df.agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
+    j = one_row_join(df, mm)
+    idx = F.when(v <= F.col("_mn"), F.lit(0)).otherwise(
+        F.least(F.ceil((v - F.col("_mn")) / ((F.col("_mx") - F.col("_mn")) / F.lit(float(bins)))) - 1,
+                F.lit(bins - 1)))
+    counts = j.groupBy(target, idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    targets = df.select(target).distinct()
+    grid = targets.select(target, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counts, [target, "bin"], "left").select(
+        "bin", target, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -60,3 +60,7 @@ def frames_values(frames) -> str:
 
 BRAND_FRAMES = (("train", "1995-01-02", "1995-03-02"), ("val", "1995-03-03", "1995-04-01"),
                 ("test", "1995-04-02", "1995-05-01"))
+
+
+def labels_sql(labels) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in labels) + "]"

@@ -51,7 +51,8 @@ def prepare_news(news: DataFrame, params: Params, frames_tbl: DataFrame) -> Data
     return split_by_frames(n, frames_tbl)
 
 
-def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Params) -> DataFrame:
+def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Params,
+            title_filters: bool = True) -> DataFrame:
     """Windows with returns, scaled lists and cut titles; no target yet."""
     L, H, W, k = params.lookback, params.horizon, params.window, params.max_titles_per_day
     train = params.train_split
@@ -148,6 +149,8 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
         F.transform("_x", day_titles).alias("title"),
         (safe_div("_sell", "_buy") - F.lit(1.0)).alias("return"),
     )
+    if not title_filters:
+        return out
     out = TT.min_titles_filter(out, params.min_titles_per_window)
     return TT.last_day_titles_filter(out)
 
