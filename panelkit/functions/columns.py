@@ -58,7 +58,7 @@ def float_list_text(c) -> Column:
 
 def duration_text(seconds) -> Column:
     """`1d 2h 3m 4s` from a number of seconds; zero parts dropped except seconds."""
-    s = F.round(col(seconds)).cast("bigint")
+    s = F.bround(col(seconds)).cast("bigint")   # Python round(): half to even
     d, rem = F.floor(s / 86400), F.pmod(s, F.lit(86400))
     h, rem2 = F.floor(rem / 3600), F.pmod(rem, F.lit(3600))
     m, sec = F.floor(rem2 / 60), F.pmod(rem2, F.lit(60))

@@ -117,8 +117,8 @@ def nearest_vector(vectors: DataFrame, query_id: int, id_col: str = "vec_id",
     scan is linear and nothing is collected."""
     from ..functions.columns import cosine
     q = (vectors.filter(F.col(id_col) == query_id)
-         .agg(F.max_by(F.col(vec_col), F.col(id_col)).alias("_q")))
-    v = vectors.select(F.col(id_col).alias("match_id"), F.col(vec_col).alias("_v"))
+         .agg(F.max_by(F.col(vec_col).cast("array<double>"), F.col(id_col)).alias("_q")))
+    v = vectors.select(F.col(id_col).alias("match_id"), F.col(vec_col).cast("array<double>").alias("_v"))
     if exclude_self:
         v = v.filter(F.col("match_id") != query_id)
     scored = one_row_join(v, q).select("match_id", cosine("_v", "_q").alias("sim"))
@@ -126,3 +126,17 @@ def nearest_vector(vectors: DataFrame, query_id: int, id_col: str = "vec_id",
     best = scored.agg(F.max(key).alias("_b"))
     return best.select(F.lit(query_id).cast("bigint").alias("query_id"),
                        (-F.col("_b.neg_id")).alias("match_id"), F.col("_b.sim").alias("sim"))
+
+
+def group_percent(hist: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
+    """Percent of each bin inside its group (groups hold at most `bins` rows)."""
+    from pyspark.sql import Window
+    return hist.withColumn("pct", F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy(*by)))
+
+
+def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """min, quartiles (linear interpolation) and max per group."""
+    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = df.groupBy(*by).agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
+    return g.select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                    F.col("_q")[2].alias("q3"), "max")

@@ -140,3 +140,20 @@ def return_bin_target_freq(df: DataFrame, bins: int = 30, value: str = "return",
     grid = targets.select(target, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, [target, "bin"], "left").select(
         "bin", target, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def grouped_equal_frequency_edges(df: DataFrame, q: int, by: Sequence[str],
+                                  value_col: str = "return") -> DataFrame:
+    """Per group: q-quantile edges, duplicates dropped (exact percentile)."""
+    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
+    return df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(value_col), probs)).alias("edges"))
+
+
+def grouped_equal_width_edges(df: DataFrame, n: int, by: Sequence[str],
+                              value_col: str = "return") -> DataFrame:
+    """Per group: plain linspace(min, max, n + 1) edges (no widening)."""
+    v = F.col(value_col)
+    g = df.groupBy(*by).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
+    step = (F.col("_mx") - F.col("_mn")) / F.lit(float(n))
+    edges = [F.col("_mn") + F.lit(float(i)) * step for i in range(n)] + [F.col("_mx")]
+    return g.select(*by, F.array(*edges).alias("edges"))
