@@ -51,11 +51,31 @@ def word_count(c) -> Column:
 
 def float_list_text(c) -> Column:
     """`'%.4f'` of every element joined by ', '; a missing element is `nan`."""
+    # format_string renders NULL as 'null', so NULL/NaN are tested first
+    # (rounded half-even first: Java's %.4f rounds binary ties half-up, Python does not)
     return F.array_join(
-        F.transform(col(c), lambda v: F.coalesce(F.format_string("%.4f", v), F.lit("nan"))),
+        F.transform(col(c), lambda v: F.when(v.isNull() | F.isnan(v), F.lit("nan"))
+                    .otherwise(F.format_string("%.4f", F.bround(v, 4)))),
         ", ")
 
 
+def strip_ws(c) -> Column:
+    """Python `str.strip()`: leading and trailing whitespace (not just spaces)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
+def py_str_repr(c) -> Column:
+    """Python `repr()` of a string: single quotes unless the text holds a
+    single quote and no double quote; backslash, quote, \n, \r, \t escaped."""
+    t = col(c)
+    esc = F.replace(t, F.lit("\\"), F.lit("\\\\"))
+    for ch, rep in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(ch), F.lit(rep))
+    dq = t.contains("'") & ~t.contains('"')
+    return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def duration_text(seconds) -> Column:
     """`1d 2h 3m 4s` from a number of seconds; zero parts dropped except seconds."""
     s = F.bround(col(seconds)).cast("bigint")   # Python round(): half to even

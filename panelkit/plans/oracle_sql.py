@@ -64,3 +64,11 @@ BRAND_FRAMES = (("train", "1995-01-02", "1995-03-02"), ("val", "1995-03-03", "19
 
 def labels_sql(labels) -> str:
     return "[" + ", ".join(f"'{x}'" for x in labels) + "]"
+
+
+def py_repr_sql(t: str) -> str:
+    """Python repr() of a string, in DuckDB (backslashes are literal there)."""
+    esc = (f"replace(replace(replace(replace({t}, '\\', '\\\\'), chr(10), '\\n'), "
+           f"chr(13), '\\r'), chr(9), '\\t')")
+    return (f"CASE WHEN contains({t}, '''') AND NOT contains({t}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END")

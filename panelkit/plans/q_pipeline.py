@@ -73,11 +73,13 @@ cnt AS (SELECT split, date, count(*) AS m FROM cand GROUP BY split, date),
 ranked AS (SELECT c.*, row_number() OVER (PARTITION BY split, date ORDER BY kc DESC, title DESC, ord) AS rk FROM cand c),
 dayl AS (SELECT r.split, r.date, least(cnt.m, {K}) AS n_day,
            CASE WHEN r.split = 'train' AND cnt.m > {K} THEN NULL
-                ELSE string_agg(r.title, ' | ' ORDER BY CASE WHEN cnt.m <= {K} THEN r.ord ELSE r.rk END) END AS titles_text
+                ELSE string_agg(r.title, ' | ' ORDER BY CASE WHEN cnt.m <= {K} THEN r.ord ELSE r.rk END) END AS titles_text,
+           CASE WHEN r.split = 'train' AND cnt.m > {K} THEN NULL
+                ELSE string_agg({S.py_repr_sql('r.title')}, ', ' ORDER BY CASE WHEN cnt.m <= {K} THEN r.ord ELSE r.rk END) END AS titles_repr
          FROM ranked r JOIN cnt USING (split, date) WHERE r.rk <= {K} GROUP BY r.split, r.date, cnt.m),
 x AS (SELECT rep.split, rep.ticker, rep.sample_id, rep.replica, rep.day_idx, rep.date,
         {", ".join(f"CASE WHEN day_idx = {L - 1} THEN NULL ELSE {c} END AS {c}" if c in MASKED else c for c in FEATS)},
-        coalesce(dl.n_day, 0) AS n_day, dl.titles_text
+        coalesce(dl.n_day, 0) AS n_day, dl.titles_text, dl.titles_repr
       FROM rep LEFT JOIN dayl dl USING (split, date) WHERE rep.day_idx < {L}),
 win AS (SELECT a.*, a.sell / NULLIF(a.buy, 0) - 1 AS ret, t.n_titles
         FROM agg a JOIN (SELECT split, ticker, sample_id, replica, sum(n_day) AS n_titles,
