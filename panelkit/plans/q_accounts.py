@@ -139,14 +139,14 @@ def portfolio_value(spark, sf):
 
 @query("profit_metrics", _VAL_SQL + """
 SELECT account, date, round(total_value - total_deposits, 2) AS total_profit,
-  round(round(total_value - total_deposits, 2) / NULLIF(total_deposits, 0), 6) AS profit_percentage FROM val""")
+  round(total_value - total_deposits, 2) / NULLIF(total_deposits, 0) AS profit_percentage FROM val""")
 def profit_metrics(spark, sf):
     t, b = _args(spark, sf)
     p = AC.profit_metrics(AC.portfolio_value(t, b, BUY_AT, SELL_AT, INITIAL, MONTHLY))
     # percentage shown from the cent-rounded profit (both engines), so float
     # noise of the ~1e9 running sums cannot flip a rounding boundary
     return p.select("account", "date", r0("total_profit").alias("total_profit"),
-                    F.round(F.try_divide(r0("total_profit"), F.col("total_deposits")), 6).alias("profit_percentage"))
+                    F.try_divide(r0("total_profit"), F.col("total_deposits")).alias("profit_percentage"))
 
 
 @query("holdings_zero_fill", LEDGER_SQL + f""",
