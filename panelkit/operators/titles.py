@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_uniform
 
 SALT_BUCKETS = 64
+# Candidates per salt bucket of a day in the training draws: a day with more
+# is split into ceil(m / CANDIDATES_PER_BUCKET) buckets.
+CANDIDATES_PER_BUCKET = 50_000
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
@@ -76,18 +79,42 @@ def sampling_key(seed: int, weight: Column, *ids) -> Column:
     return -F.log(hash_uniform(seed, *ids)) / weight
 
 
-def sample_titles_per_window_day(pairs: DataFrame, k: int, seed: int,
-                                 group: Sequence[str],
-                                 count_col: str = "keywords_count",
-                                 order_col: str = "ord") -> DataFrame:
+def sample_titles_per_window_day(window_days: DataFrame, cand: DataFrame, k: int, seed: int,
+                                 group: Sequence[str], day_counts_df: DataFrame,
+                                 day_keys: Sequence[str] = ("split", "date"),
+                                 count_col: str = "keywords_count", order_col: str = "ord",
+                                 per_bucket: int = CANDIDATES_PER_BUCKET) -> DataFrame:
     """Training pick: per (window, replica, day) draw k candidates without
     replacement with p proportional to ln(1 + count).
 
-    `pairs` holds one row per (window-day, candidate); the result keeps the
-    k drawn rows with `_rank` in draw order."""
+    `window_days` has one row per window-day (`group` + `day_keys`), `cand`
+    one row per candidate of a day, `day_counts_df` the candidates per day
+    (`_m`, one row per day).  The pairing is a shuffle join on (day, salt): a
+    day's candidates are spread over ceil(m / per_bucket) buckets by a hash of
+    their id and its window-day rows are copied to each bucket, so a day with
+    a large share of all articles is split over many tasks while an ordinary
+    day stays one bucket (no copies).  The first
+    top-k pass runs inside the join's partitions (its keys contain the join
+    keys, so no shuffle); the second ranks at most `buckets * k` survivors
+    per group.  Titles are re-attached to the k winners only.
+    """
+    day_keys, group = list(day_keys), list(group)
+    nb = F.broadcast(day_counts_df.select(
+        *day_keys, F.greatest(F.lit(1), F.ceil(F.col("_m") / F.lit(per_bucket))).cast("int").alias("_nb")))
+    wd = window_days.join(nb, day_keys).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
+    cs = cand.join(nb, day_keys).select(*day_keys, order_col, count_col,
+                                        F.pmod(F.xxhash64(order_col), F.col("_nb")).cast("int").alias("_salt"))
+    pairs = wd.join(cs.hint("shuffle_hash"), [*day_keys, "_salt"])
     key = sampling_key(seed, F.log1p(F.col(count_col).cast("double")), *group, order_col)
-    return top_k(pairs.withColumn("_key", key), group, [F.col("_key"), F.col(order_col)], k,
-                 salt=F.xxhash64(order_col))
+    pairs = pairs.withColumn("_key", key)
+    order = [F.col("_key"), F.col(order_col)]
+    w1 = Window.partitionBy(*day_keys, "_salt", *[g for g in group if g not in day_keys]).orderBy(*order)
+    first = pairs.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    win = first.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= k) \
+               .select(*dict.fromkeys([*group, *day_keys]), order_col, "_rank")
+    return win.join(cand.select(*day_keys, order_col, "title"), [*day_keys, order_col])
 
 
 def replicate_samples(df: DataFrame, n: int, col: str = "replica") -> DataFrame:

@@ -28,6 +28,7 @@ from ..operators.util import broadcast_if_bounded, frames_df, split_by_frames
 from ..operators.windows import (DAY_IDX, SAMPLE_ID, agg_expr, return_exprs,
                                  target_index, window_positions)
 from ..params import Params
+from ..session import stage_table
 
 KEYS = ["split", "ticker", SAMPLE_ID, "replica"]
 
@@ -52,14 +53,22 @@ def prepare_news(news: DataFrame, params: Params, frames_tbl: DataFrame) -> Data
 
 
 def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Params,
-            title_filters: bool = True) -> DataFrame:
-    """Windows with returns, scaled lists and cut titles; no target yet."""
+            title_filters: bool = True, materialize: bool = True) -> DataFrame:
+    """Windows with returns, scaled lists and cut titles; no target yet.
+
+    With `materialize`, the two narrow inputs - the calendar panel (tickers x
+    days) and the title candidates (ids, counts, <= 1 title each; no article
+    text) - are checkpointed to the shared checkpoint folder, so the bar
+    source and the article text are read once although several branches of
+    the plan consume them."""
     L, H, W, k = params.lookback, params.horizon, params.window, params.max_titles_per_day
     train = params.train_split
     fr = frames_df(spark, params.frames)
     day_bound = _frame_days(params)
 
     panel = B.calendar_fill(prepare_bars(bars, params, fr), by=["split"])
+    if materialize:
+        panel = stage_table(panel, "panel")
     long = window_positions(panel, W, by=["split"])
     reps = max(1, params.replicas)
     long = long.withColumn(
@@ -69,6 +78,8 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     # --- titles --------------------------------------------------------
     nws = prepare_news(news, params, fr)
     cand = TT.titles_nonzero(nws).select("split", "date", "ord", "title", "keywords_count")
+    if materialize:
+        cand = stage_table(cand, "title_candidates")
     counts = TT.day_counts(cand, by=["split"])
     eval_lists = TT.top_titles_per_day(cand.filter(F.col("split") != train), k, by=["split"])
     # train days with k or fewer candidates are the same for every window
@@ -84,11 +95,12 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     day_lists = broadcast_if_bounded(day_lists, day_bound)
 
     x = long.filter(F.col(DAY_IDX) < L)
-    lookback_days = x.select("split", "ticker", SAMPLE_ID, "replica", DAY_IDX, "date") \
-                     .join(day_lists.filter("_draw").select("split", "date"), ["split", "date"], "left_semi")
-    pairs = lookback_days.join(cand.filter(F.col("split") == train), ["split", "date"])
+    window_days = x.select("split", "ticker", SAMPLE_ID, "replica", DAY_IDX, "date") \
+                   .join(day_lists.filter("_draw").select("split", "date"), ["split", "date"], "left_semi")
     drawn = TT.sample_titles_per_window_day(
-        pairs, k, params.seed, group=["split", "ticker", SAMPLE_ID, "replica", DAY_IDX])
+        window_days, cand.filter(F.col("split") == train), k, params.seed,
+        group=["split", "ticker", SAMPLE_ID, "replica", DAY_IDX],
+        day_counts_df=broadcast_if_bounded(counts.filter(F.col("split") == train), day_bound))
     drawn_rows = drawn.select(*KEYS, F.struct(F.col(DAY_IDX).alias("d"), F.col("_rank").alias("r"),
                                               F.col("title").alias("t")).alias("_drawn"))
 
@@ -174,12 +186,12 @@ def build_dataset(spark: SparkSession, bars: DataFrame, news: DataFrame, params:
     """The whole preprocessing as one plan; with `guard`, the per-split NULL
     target check runs (one small collect) and NULL-target rows are dropped.
 
-    `materialize` checkpoints the samples to the session's checkpoint folder
-    so edges, labels and the guard read them once instead of re-running the
-    windows (and so lost executors do not replay the whole lineage)."""
+    `materialize` writes the samples as a stage table under the session's
+    checkpoint folder, so edges, labels and the guard read them once instead
+    of re-running the windows (and lost executors do not replay the lineage)."""
     s = samples(spark, bars, news, params)
     if materialize:
-        s = s.checkpoint(eager=True)
+        s = stage_table(s, "samples")
     labelled = label(s, params)
     if guard:
         labelled = TG.null_target_guard(labelled, params.null_target_limit,

@@ -60,3 +60,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for a written stage."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def stage_table(df, name: str):
+    """Write `df` once as parquet under the shared checkpoint folder and read
+    it back: cuts the lineage (a lost executor re-reads files instead of
+    replaying the plan) with a single pass - `Dataset.checkpoint` computes
+    an uncached plan twice (once to count, once to write)."""
+    import uuid
+    spark = df.sparkSession
+    path = stage_path(spark, f"stage/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
