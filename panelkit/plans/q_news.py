@@ -173,3 +173,23 @@ WHERE len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')) > 10
 def paragraph_split(spark, sf):
     from ..operators.text import paragraph_split as ps
     return ps(FX.table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("append_new_days_stream", S.with_(n=S.DATED_NEWS) + """,
+st AS (SELECT date, url, source, title, ord FROM n WHERE date <= DATE '1995-02-28'),
+nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, ord FROM n WHERE date >= DATE '1995-02-15')
+SELECT * FROM st UNION ALL SELECT * FROM nw WHERE date NOT IN (SELECT date FROM st)""")
+def append_new_days_stream(spark, sf):
+    """The store is seeded with the days up to Feb 28; new day files (from
+    Feb 15, overlapping) arrive in an incoming folder and are streamed in."""
+    from ..streaming.incremental import ingest_new_days
+    root = ST.unique_path(stage_path(spark, "news_stream"), "run")
+    n = _news(spark, sf).select("date", "url", "source", "title", "ord")
+    n.filter(F.col("date") <= F.lit("1995-02-28").cast("date")) \
+     .write.partitionBy("date").parquet(f"{root}/store")
+    new = n.filter(F.col("date") >= F.lit("1995-02-15").cast("date")) \
+           .withColumn("url", F.replace("url", F.lit("doc://"), F.lit("new://")))
+    new.write.parquet(f"{root}/incoming")
+    q = ingest_new_days(spark, f"{root}/incoming", new.schema, f"{root}/store", f"{root}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/store").select("date", "url", "source", "title", "ord")
