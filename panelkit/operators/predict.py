@@ -158,3 +158,44 @@ def token_cost_estimate(train: DataFrame, val: DataFrame, model: str, epochs: in
     if budget is not None:
         out = out.withColumn("within_budget", F.col("total_cost") <= F.lit(float(budget)))
     return out
+
+
+class Predictor:
+    """The reference's predictor interface as a table transform: `fit` gets
+    the sample tables, `transform` labels a request table (NULL when the
+    predictor has no answer), `labels` lists the label set."""
+
+    def __init__(self, labels: Sequence[str]):
+        self._labels = list(labels)
+
+    def labels(self) -> list[str]:
+        return list(self._labels)
+
+    def fit(self, *samples: DataFrame) -> "Predictor":
+        return self
+
+    def transform(self, requests: DataFrame, stock: str = "symbol", date: str = "date") -> DataFrame:
+        raise NotImplementedError
+
+
+class GroundTruthPredictor(Predictor):
+    def fit(self, *samples: DataFrame) -> "Predictor":
+        u = samples[0]
+        for s in samples[1:]:
+            u = u.unionByName(s, allowMissingColumns=True)
+        self._truth = predict_ground_truth(u, self._labels)
+        return self
+
+    def transform(self, requests, stock="symbol", date="date"):
+        return prediction_lookup(requests, self._truth, stock, date)
+
+
+class RandomPredictor(Predictor):
+    def __init__(self, labels, seed: int = 0):
+        super().__init__(labels)
+        self.seed = seed
+
+    def transform(self, requests, stock="symbol", date="date"):
+        keyed = requests.withColumn("index", sample_key(F.col(stock), F.col(date)))
+        lab = predict_random(keyed.select("index").distinct(), self._labels, self.seed)
+        return keyed.join(lab, "index", "left")

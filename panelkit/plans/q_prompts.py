@@ -195,3 +195,35 @@ def token_cost_estimate(spark, sf):
                       F.col("val_tokens").cast("bigint").alias("val_tokens"),
                       *[r6(c).alias(c) for c in ("train_cost", "train_inference_cost", "val_cost", "total_cost")],
                       "within_budget")
+
+
+@query("null_row_report", PROMPT_SQL + """
+SELECT count(*) AS rows_before, count(*) FILTER (WHERE "index" IS NOT NULL AND prompt IS NOT NULL AND completion IS NOT NULL) AS rows_after,
+  count(*) FILTER (WHERE "index" IS NULL) AS null_index, count(*) FILTER (WHERE prompt IS NULL) AS null_prompt,
+  count(*) FILTER (WHERE completion IS NULL) AS null_completion,
+  count(*) - count(*) FILTER (WHERE "index" IS NOT NULL AND prompt IS NOT NULL AND completion IS NOT NULL) AS rows_dropped
+FROM prompts WHERE split <> 'train'""")
+def null_row_report(spark, sf):
+    from ..operators.quality import null_profile
+    return null_profile(_prompts(spark, sf).select("index", "prompt", "completion"))
+
+
+@query("train_tail_rows", PROMPT_SQL + """
+SELECT "index", replica FROM prompts WHERE split = 'val'
+ORDER BY last_date DESC, ticker DESC, replica DESC LIMIT (SELECT count(*) FROM prompts WHERE split = 'test')""")
+def train_tail_rows(spark, sf):
+    p = _prompts(spark, sf)
+    n = p.filter(F.col("split") == "test").agg(F.count(F.lit(1)).alias("_n"))
+    return PD.tail_rows(p.filter(F.col("split") == "val"), n).select("index", "replica")
+
+
+@query("predictor_interface", PROMPT_SQL + f""",
+t AS ({S.TRADES}),
+gt AS (SELECT DISTINCT "index", {_GT_SQL} AS label FROM prompts)
+SELECT t.account, t.date, t.symbol, gt.label FROM t LEFT JOIN gt ON gt."index" = t.symbol || ' - ' || strftime(t.date, '%Y-%m-%d')""")
+def predictor_interface(spark, sf):
+    ds = _dataset(spark, sf)
+    parts = [ds.filter(F.col("split") == s) for s in ("train", "val", "test")]
+    pred = PD.GroundTruthPredictor(LABELS).fit(*parts)
+    req = FX.trades(spark, sf).select("account", "date", "symbol")
+    return pred.transform(req).select("account", "date", "symbol", "label")
