@@ -304,6 +304,19 @@ def n_day_return(bars: DataFrame, n: int, metric: str = "adj_close") -> DataFram
                   .filter(F.col("ret").isNotNull() & ~F.isnan("ret")))
 
 
+def n_day_returns(bars: DataFrame, ns, metric: str = "adj_close") -> DataFrame:
+    """`n_day_return` for several n in one window pass: one padded series,
+    one lag per n, unpivoted to (date, ticker, n, ret)."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    padded = bars.withColumn("_p", F.last(metric, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cols = [(safe_div(F.col("_p"), F.lag("_p", n).over(w)) - F.lit(1.0)).alias(f"r{n}") for n in ns]
+    wide = padded.select("date", "ticker", *cols)
+    long = wide.unpivot(["date", "ticker"], [f"r{n}" for n in ns], "_n", "ret")
+    return (long.filter(F.col("ret").isNotNull() & ~F.isnan("ret"))
+                .select("date", "ticker", F.substring("_n", 2, 10).cast("int").alias("n"), "ret"))
+
+
 def overnight_return(bars: DataFrame) -> DataFrame:
     """Next row's open / this row's adj_close - 1, per ticker."""
     w = Window.partitionBy("ticker").orderBy("date")

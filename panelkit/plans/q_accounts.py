@@ -31,7 +31,7 @@ def r0(c):
 
 
 def _args(spark, sf):
-    return FX.trades(spark, sf), FX.brand_bars(spark, sf)
+    return FX.staged(FX.trades(spark, sf), "trades"), FX.staged(FX.brand_bars(spark, sf), "brand_bars")
 
 
 _DEP = (f"CAST({INITIAL} + {MONTHLY} * ((year(date) * 12 + month(date)) - (year(f) * 12 + month(f)) "
@@ -154,4 +154,4 @@ sy AS (SELECT unnest({S.labels_sql(ZERO_FILL_SYMBOLS)}) AS symbol)
 SELECT d.account, d.date, sy.symbol, coalesce(h.shares, 0) AS shares
 FROM days d CROSS JOIN sy LEFT JOIN held h ON h.account = d.account AND h.date = d.date AND h.symbol = sy.symbol""")
 def holdings_zero_fill(spark, sf):
-    return AC.holdings_zero_fill(FX.trades(spark, sf), ZERO_FILL_SYMBOLS)
+    return AC.holdings_zero_fill(FX.staged(FX.trades(spark, sf), "trades"), ZERO_FILL_SYMBOLS)

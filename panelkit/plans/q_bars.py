@@ -78,7 +78,7 @@ p AS (SELECT g.date, g.ticker, b.open, b.high, b.low, b.close, b.adj_close, b.vo
 
 @query("calendar_fill", S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _CAL_SQL + f"\nSELECT {_sql_bar_cols('p')} FROM p")
 def calendar_fill(spark, sf):
-    return _bar_cols(B.calendar_fill(FX.brand_bars(spark, sf)))
+    return _bar_cols(B.calendar_fill(FX.staged(FX.brand_bars(spark, sf), "brand_bars")))
 
 
 @query("drop_incomplete_bars", S.with_(b=S.BRAND_BARS) + f"SELECT {_sql_bar_cols()} FROM b")
@@ -170,7 +170,7 @@ FROM grid g LEFT JOIN wk ON wk.week_end = g.week_end
 LEFT JOIN pres p ON p.ticker = g.ticker AND p.week_end = g.week_end""".replace("\n,", ","))
 def weekly_availability(spark, sf):
     from ..operators.profiling import weekly_availability as wa
-    return wa(FX.brand_bars(spark, sf)).select("ticker", "week_end", r6("availability").alias("availability"))
+    return wa(FX.staged(FX.brand_bars(spark, sf), "brand_bars")).select("ticker", "week_end", r6("availability").alias("availability"))
 
 
 N_DAYS = (1, 2, 6, 7, 8, 10, 20, 30)
@@ -190,13 +190,8 @@ def _nday_sql(n):
 @query("n_day_return", S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _GRID_SQL + "\n"
        + " UNION ALL ".join(_nday_sql(n) for n in N_DAYS))
 def n_day_return(spark, sf):
-    grid = B.market_grid(FX.brand_bars(spark, sf))
-    parts = [B.n_day_return(grid, n).select("ticker", F.lit(n).alias("n"), "date", r6("ret").alias("ret"))
-             for n in N_DAYS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
+    return B.n_day_returns(grid, N_DAYS).select("ticker", "n", "date", r6("ret").alias("ret"))
 
 
 @query("overnight_return", S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _GRID_SQL + """
@@ -204,7 +199,7 @@ SELECT ticker, date, round(ret, 6) AS ret FROM (SELECT ticker, date,
   lead(open) OVER (PARTITION BY ticker ORDER BY date) / NULLIF(adj_close, 0) - 1 AS ret FROM pd)
 WHERE ret IS NOT NULL""")
 def overnight_return(spark, sf):
-    grid = B.market_grid(FX.brand_bars(spark, sf))
+    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
     return B.overnight_return(grid).select("ticker", "date", r6("ret").alias("ret"))
 
 

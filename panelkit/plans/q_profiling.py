@@ -92,12 +92,8 @@ def nearest_vector(spark, sf):
 
 
 def _nday_returns(spark, sf):
-    grid = B.market_grid(FX.brand_bars(spark, sf))
-    parts = [B.n_day_return(grid, n).select("ticker", F.lit(n).alias("n"), "date", "ret") for n in N_DAYS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
+    return B.n_day_returns(grid, N_DAYS).select("ticker", "n", "date", "ret")
 
 
 def _nday_sql_all():
@@ -134,7 +130,7 @@ SELECT ticker, return_type, round(min(ret), 6) AS min, round(quantile_cont(ret,
   round(quantile_cont(ret, 0.5), 6) AS median, round(quantile_cont(ret, 0.75), 6) AS q3, round(max(ret), 6) AS max
 FROM u GROUP BY ticker, return_type""")
 def return_distribution(spark, sf):
-    grid = B.market_grid(FX.brand_bars(spark, sf)).filter(F.col("ticker") != EXCLUDED)
+    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars")).filter(F.col("ticker") != EXCLUDED)
     o = B.overnight_return(grid).withColumnRenamed("ret", "o_ret")
     d = B.n_day_return(grid, 1).withColumnRenamed("ret", "d_ret")
     al = o.join(d, ["ticker", "date"])
@@ -210,7 +206,7 @@ al AS (SELECT o.ticker, o.date, o.ret AS o_ret, d1.ret AS d_ret FROM o JOIN d1 U
 SELECT ticker, date, 'Overnight' AS return_type, round(o_ret, 6) AS ret FROM al UNION ALL
 SELECT ticker, date, '1-day' AS return_type, round(d_ret, 6) AS ret FROM al""")
 def return_pair_trim(spark, sf):
-    grid = B.market_grid(FX.brand_bars(spark, sf))
+    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
     o = B.overnight_return(grid).withColumnRenamed("ret", "o_ret")
     d = B.n_day_return(grid, 1).withColumnRenamed("ret", "d_ret")
     al = o.join(d, ["ticker", "date"])

@@ -18,7 +18,7 @@ MASKED = ("close", "adj_close", "high", "low", "volume")
 
 
 def panel(spark, sf):
-    return B.calendar_fill(FX.brand_bars(spark, sf))
+    return B.calendar_fill(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
 
 
 def windows(spark, sf, lookback=L, horizon=H, aggregation="last", selling_at="open"):

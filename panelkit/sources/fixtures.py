@@ -106,3 +106,11 @@ BRAND_FRAMES = frames(("train", "1995-01-02", "1995-03-02"),
 EVENT_FRAMES = frames(("train", "2024-01-01", "2024-01-30"),
                       ("val", "2024-01-01", "2024-01-30"),
                       ("test", "2024-01-01", "2024-01-30"))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """An adapter's result written once for a query that reads it several
+    times (column pruning makes each use a different plan, so Spark would
+    otherwise recompute the aggregation per use)."""
+    from ..session import stage_table
+    return stage_table(df, name)
