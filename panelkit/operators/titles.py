@@ -55,7 +55,8 @@ def day_counts(cand: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def top_titles_per_day(cand: DataFrame, k: int, by: Sequence[str] = (),
-                       count_col: str = "keywords_count", order_col: str = "ord") -> DataFrame:
+                       count_col: str = "keywords_count", order_col: str = "ord",
+                       counts: DataFrame | None = None) -> DataFrame:
     """Evaluation pick per date: more than k candidates -> the k best by
     (count desc, title desc); k or fewer -> all, in their original order.
 
@@ -64,7 +65,7 @@ def top_titles_per_day(cand: DataFrame, k: int, by: Sequence[str] = (),
     grp = [*by, "date"]
     ranked = top_k(cand, grp, [F.col(count_col).desc(), F.col("title").desc(), F.col(order_col)],
                    k, salt=F.xxhash64(order_col))
-    counts = day_counts(cand, by)
+    counts = day_counts(cand, by) if counts is None else counts
     # one row per date: bounded by the calendar, joined by key
     r = ranked.join(counts, grp)
     key = F.when(F.col("_m") <= k, F.col(order_col)).otherwise(F.col("_rank").cast("bigint"))

@@ -80,13 +80,12 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     cand = TT.titles_nonzero(nws).select("split", "date", "ord", "title", "keywords_count")
     if materialize:
         cand = stage_table(cand, "title_candidates")
-    counts = TT.day_counts(cand, by=["split"])
-    eval_lists = TT.top_titles_per_day(cand.filter(F.col("split") != train), k, by=["split"])
-    # train days with k or fewer candidates are the same for every window
-    small = cand.filter(F.col("split") == train).join(
-        counts.filter(F.col("_m") <= k), ["split", "date"], "left_semi")
-    train_lists = TT.top_titles_per_day(small, k, by=["split"])
-    day_lists = eval_lists.unionByName(train_lists)
+    counts = broadcast_if_bounded(TT.day_counts(cand, by=["split"]), day_bound)
+    # per-date lists: every evaluation day, and training days with k or fewer
+    # candidates (the same list for every window) - one top-k pass for both
+    fixed = cand.join(counts, ["split", "date"]) \
+                .filter((F.col("split") != train) | (F.col("_m") <= k)).drop("_m")
+    day_lists = TT.top_titles_per_day(fixed, k, by=["split"], counts=counts)
     # days with more than k training candidates: marker row with NULL list
     sample_days = counts.filter((F.col("split") == train) & (F.col("_m") > k)) \
                         .select("split", "date", F.lit(None).cast("array<string>").alias("titles"),
@@ -100,7 +99,7 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     drawn = TT.sample_titles_per_window_day(
         window_days, cand.filter(F.col("split") == train), k, params.seed,
         group=["split", "ticker", SAMPLE_ID, "replica", DAY_IDX],
-        day_counts_df=broadcast_if_bounded(counts.filter(F.col("split") == train), day_bound))
+        day_counts_df=counts.filter(F.col("split") == train))
     drawn_rows = drawn.select(*KEYS, F.struct(F.col(DAY_IDX).alias("d"), F.col("_rank").alias("r"),
                                               F.col("title").alias("t")).alias("_drawn"))
 
