@@ -101,9 +101,14 @@ def published_time_local(df: DataFrame, ts_col: str, tz: str = "US/Eastern") ->
 
     A string column is parsed as ISO-8601 (NULL when unparsable)."""
     c = F.col(ts_col)
-    if isinstance(df.schema[ts_col].dataType, T.StringType):
+    dtype = df.schema[ts_col].dataType
+    if isinstance(dtype, T.StringType):
         c = F.try_to_timestamp(c)
-    local = F.from_utc_timestamp(c, tz)
+    if isinstance(dtype, T.TimestampNTZType):
+        # wall-clock UTC time: convert without the session time zone
+        local = F.convert_timezone(F.lit("UTC"), F.lit(tz), c)
+    else:
+        local = F.from_utc_timestamp(c, tz)
     return df.select("*", c.alias("time_utc"), local.alias("time_et"),
                      F.to_date(c).alias("date_utc"), F.to_date(local).alias("date_et"))
 

@@ -126,12 +126,12 @@ def urls_per_day(spark, sf):
 
 
 @query("published_time_local", """
-SELECT event_id, CAST(ts AS TIMESTAMP) AS time_utc,
+SELECT event_id, ts AS time_utc,
   timezone('US/Eastern', timezone('UTC', ts)) AS time_et,
   CAST(ts AS DATE) AS date_utc, CAST(timezone('US/Eastern', timezone('UTC', ts)) AS DATE) AS date_et
 FROM events""")
 def published_time_local(spark, sf):
-    ev = FX.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ev = FX.table(spark, sf, "events").select("event_id", "ts")
     out = N.published_time_local(ev, "ts")
     return out.select("event_id", "time_utc", "time_et", "date_utc", "date_et")
 

@@ -191,24 +191,10 @@ SELECT event_id, round(seconds, 6) AS seconds,
          CAST(t % 60 AS VARCHAR), 's') AS text
 FROM s""")
 def duration_text(spark, sf):
-    ev = FX.table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    first = ev.agg(F.min("us").alias("_m"))
+    ev = FX.table(spark, sf, "events").select("event_id", "ts")
+    first = ev.agg(F.min("ts").alias("_m"))
     from ..operators.util import one_row_join
-    e = one_row_join(ev, first).select("event_id", ((F.col("us") - F.col("_m")) / F.lit(1e6)).alias("seconds"))
+    # elapsed time since the first event, independent of the session time zone
+    e = one_row_join(ev, first).select(
+        "event_id", (F.timestamp_diff("MICROSECOND", F.col("_m"), F.col("ts")) / F.lit(1e6)).alias("seconds"))
     return e.select("event_id", r6("seconds").alias("seconds"), dur("seconds").alias("text"))
-
-
-@query("return_pair_trim", S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _GRID_SQL + """,
-o AS (SELECT ticker, date, lead(open) OVER (PARTITION BY ticker ORDER BY date) / NULLIF(adj_close, 0) - 1 AS ret FROM pd),
-d1 AS (SELECT ticker, date, padded / NULLIF(lag(padded, 1) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM pd),
-al AS (SELECT o.ticker, o.date, o.ret AS o_ret, d1.ret AS d_ret FROM o JOIN d1 USING (ticker, date)
-       WHERE o.ret IS NOT NULL AND d1.ret IS NOT NULL)
-SELECT ticker, date, 'Overnight' AS return_type, round(o_ret, 6) AS ret FROM al UNION ALL
-SELECT ticker, date, '1-day' AS return_type, round(d_ret, 6) AS ret FROM al""")
-def return_pair_trim(spark, sf):
-    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
-    o = B.overnight_return(grid).withColumnRenamed("ret", "o_ret")
-    d = B.n_day_return(grid, 1).withColumnRenamed("ret", "d_ret")
-    al = o.join(d, ["ticker", "date"])
-    return al.select("ticker", "date", F.lit("Overnight").alias("return_type"), r6("o_ret").alias("ret")) \
-             .unionByName(al.select("ticker", "date", F.lit("1-day").alias("return_type"), r6("d_ret").alias("ret")))
