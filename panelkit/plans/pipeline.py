@@ -171,7 +171,13 @@ def label(samples_df: DataFrame, params: Params) -> DataFrame:
     replication), applied to every split."""
     train = samples_df.filter(F.col("split") == params.train_split)
     if params.strategy == "equal_frequency":
-        edges = TG.equal_frequency_edges(train, params.num_bins, method=params.quantile_method,
+        method = params.quantile_method
+        if method == "auto":
+            # exact percentile holds every distinct value in one buffer; past
+            # the limit use the mergeable sketch (one count of staged rows)
+            n = train.count()
+            method = "exact" if n <= params.exact_quantile_limit else "approx"
+        edges = TG.equal_frequency_edges(train, params.num_bins, method=method,
                                          accuracy=params.quantile_accuracy)
     elif params.strategy == "equal_width":
         edges = TG.equal_width_edges(train, params.num_bins)

@@ -56,3 +56,15 @@ def test_null_target_guard(spark):
         TG.null_target_guard(df, 0.05)
     ok = TG.null_target_guard(df.filter(F.col("split") == "train"), 0.05)
     assert ok.count() == 96
+
+
+def test_approx_edges_close_to_exact(spark):
+    rng = np.random.default_rng(11)
+    vals = rng.normal(size=5000)
+    df = _ret(spark, vals)
+    exact = TG.equal_frequency_edges(df, 5).collect()[0].edges
+    approx = TG.equal_frequency_edges(df, 5, method="approx", accuracy=100000).collect()[0].edges
+    assert len(exact) == len(approx)
+    # a sketch returns data points near the rank: compare by rank, not value
+    ranks = lambda e: [np.searchsorted(np.sort(vals), x) for x in e]
+    assert all(abs(a - b) <= 5 for a, b in zip(ranks(exact), ranks(approx)))
