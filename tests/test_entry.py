@@ -44,3 +44,31 @@ def test_oracle_small(spark, name):
     idx = [cols.index(c) for c in key]
     exp = sorted(tuple(_norm(r[i]) for i in idx) for r in exp_rows)
     assert got == exp
+
+
+def _gathered(plan: str) -> list[str]:
+    import re
+    lines = plan.splitlines()
+    return [lines[i - 1] for i, line in enumerate(lines)
+            if "Exchange SinglePartition" in line and i > 0
+            and not re.search(r"(HashAggregate|SortAggregate|ObjectHashAggregate)\(keys?=\[\]", lines[i - 1])]
+
+
+@pytest.mark.parametrize("name", ["sliding_windows", "forward_return", "relative_scaling_first",
+                                  "top_titles_per_day", "price_asof", "ledger_positions"])
+def test_no_single_partition_gathering(spark, name):
+    from __spark_entry__ import queries
+    df = queries()[name](spark, SF_SMALL)
+    assert _gathered(df._jdf.queryExecution().executedPlan().toString()) == []
+
+
+def test_pipeline_samples_plan_is_partitioned(spark):
+    from panelkit.params import Params
+    from panelkit.plans.pipeline import samples
+    from panelkit.sources import fixtures as FX
+    p = Params(frames=FX.EVENT_FRAMES, keywords=FX.FIXTURE_KEYWORDS)
+    s = samples(spark, FX.event_bars(spark, SF_SMALL), FX.event_news(spark, SF_SMALL), p)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert _gathered(plan) == []
+    assert "documents.parquet" not in plan          # text read once, into the stage table
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
