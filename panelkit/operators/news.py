@@ -64,9 +64,41 @@ def drop_untitled(news: DataFrame) -> DataFrame:
     return news.filter(F.col("title").isNotNull())
 
 
+def rank_within(df: DataFrame, group: Sequence[str], order: str, bucket: int = 100_000,
+                out: str = "pos") -> DataFrame:
+    """0-based position of each row inside its group by the integer `order`
+    column, without a window over a whole group: rows are cut into ranges
+    of `bucket` order values, counted per (group, range), the counts of the
+    earlier ranges are summed (a window over range counts) and a row number
+    is taken inside each range (at most `bucket` rows per task)."""
+    from pyspark.sql import Window
+    group = list(group)
+    b = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)))
+    per = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*group).orderBy("_b")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    offs = per.select(*group, "_b", F.coalesce(before, F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order))
+    return (b.join(offs, [*group, "_b"]).withColumn(out, (F.col("_off") + rn - 1).cast("bigint"))
+             .drop("_b", "_off"))
+
+
+def daily_news_positions(news: DataFrame, fields: Sequence[str] = ("title", "keywords_count"),
+                         order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
+    """Long form of the per-day lists: (date, pos, fields...), NULLs kept.
+    Skew-safe: a day holding a large share of all articles is ranked in
+    bounded ranges instead of being collected into one row."""
+    return rank_within(news.select(*by, "date", order, *fields), [*by, "date"], order) \
+        .select(*by, "date", "pos", *fields)
+
+
 def daily_news_lists(news: DataFrame, fields: Sequence[str] = ("title", "keywords_count"),
                      order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
-    """Per date: parallel lists of `fields` in `order`, NULL values kept."""
+    """Per date: parallel lists of `fields` in `order`, NULL values kept.
+
+    Each list holds a whole day, so it suits days of bounded size; the
+    pipeline itself never builds it (it selects titles per day first), and
+    `daily_news_positions` is the skew-safe long form."""
     g = news.groupBy(*by, "date").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(f) for f in fields])))
         .alias("_rows"))

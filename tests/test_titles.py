@@ -83,3 +83,12 @@ def test_cut_titles_lists(spark, k, is_train):
         assert all(len(d) <= 1 for d in out)
     if k == 100:
         assert out == [["a", "c"], [], ["d", "e"]]
+
+
+def test_rank_within_matches_window_rank(spark):
+    from pyspark.sql import Window
+    from panelkit.operators.news import rank_within
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 100003).alias("o"))
+    got = rank_within(df, ["g"], "o", bucket=997).select("g", "o", "pos")
+    exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
