@@ -83,7 +83,7 @@ def training_csv(spark, sf):
 
 
 @query("training_jsonl", PROMPT_SQL + """
-SELECT prompt, completion FROM prompts WHERE split <> 'train'""")
+SELECT prompt, completion, "index" FROM prompts WHERE split <> 'train'""")
 def training_jsonl(spark, sf):
     path = ST.unique_path(stage_path(spark, "training_jsonl"), "prompts")
     return ST.training_jsonl(_prompts(spark, sf), path)

@@ -66,8 +66,8 @@ def training_csv(prompts: DataFrame, path: str) -> DataFrame:
 
 
 def training_jsonl(rows: DataFrame, path: str) -> DataFrame:
-    """Prompt/completion rows as JSON lines (NULL fields written), read back."""
-    rows.select("prompt", "completion").write.mode("overwrite") \
+    """The prompt table (prompt, completion, index) as JSON lines, one record
+    per row with NULL fields written, read back."""
+    rows.select("prompt", "completion", "index").write.mode("overwrite") \
         .option("ignoreNullFields", False).json(path)
-    return rows.sparkSession.read.schema(
-        T.StructType(PROMPT_SCHEMA.fields[:2])).json(path)
+    return rows.sparkSession.read.schema(PROMPT_SCHEMA).json(path)
