@@ -92,13 +92,19 @@ def nearest_vector(spark, sf):
 
 
 def _nday_returns(spark, sf):
+    """n-day returns for n in N_DAYS plus the overnight return as n = 0 (the
+    notebook's period list starts with 0 = overnight)."""
     grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
-    return B.n_day_returns(grid, N_DAYS).select("ticker", "n", "date", "ret")
+    nd = B.n_day_returns(grid, N_DAYS).select("ticker", "n", "date", "ret")
+    on = B.overnight_return(grid).select("ticker", F.lit(0).alias("n"), "date", "ret")
+    return nd.unionByName(on)
 
 
 def _nday_sql_all():
     parts = [f"SELECT ticker, {n} AS n, date, ret FROM (SELECT ticker, date, padded / NULLIF(lag(padded, {n}) "
              "OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM pd) WHERE ret IS NOT NULL" for n in N_DAYS]
+    parts.append("SELECT ticker, 0 AS n, date, ret FROM (SELECT ticker, date, lead(open) OVER (PARTITION BY ticker "
+                 "ORDER BY date) / NULLIF(adj_close, 0) - 1 AS ret FROM pd) WHERE ret IS NOT NULL")
     return S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _GRID_SQL + ",\nr AS (" + " UNION ALL ".join(parts) + ")"
 
 
