@@ -193,3 +193,20 @@ def relevant_articles_by_ticker(news: DataFrame, ticker_keywords: dict,
 def keyword_volume_by_year(news: DataFrame, count_col: str = "keywords_count") -> DataFrame:
     return news.groupBy(F.year("date").alias("year")).agg(
         F.sum(count_col).cast("bigint").alias("keyword_volume"))
+
+
+def keyword_volume_by_ticker_year(news: DataFrame, ticker_keywords: dict,
+                                  literal: bool = False) -> DataFrame:
+    """Per ticker and year: sum of that ticker's keyword counts.  One count
+    expression per ticker over a single text scan, pre-aggregated per year,
+    then unpivoted (no news x keyword cross join)."""
+    text = F.coalesce(F.col("article"), F.lit(""))
+    per_ticker = []
+    for t, kws in ticker_keywords.items():
+        parts = [F.regexp_count(text, F.lit(re.escape(k) if literal else k)) for k in kws]
+        tot = parts[0]
+        for p in parts[1:]:
+            tot = tot + p
+        per_ticker.append(F.sum(tot).cast("bigint").alias(t))
+    wide = news.groupBy(F.year("date").alias("year")).agg(*per_ticker)
+    return wide.unpivot(["year"], list(ticker_keywords), "ticker", "keyword_volume")

@@ -191,3 +191,15 @@ def append_new_days_stream(spark, sf):
     q = ingest_new_days(spark, f"{root}/incoming", new.schema, f"{root}/store", f"{root}/_checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/store").select("date", "url", "source", "title", "ord")
+
+
+
+def _kw_sum_sql(kws):
+    return " + ".join(f"len(regexp_extract_all(coalesce(article, ''), '{k}'))" for k in kws)
+
+
+@query("keyword_volume_by_ticker_year", S.with_(n=S.DATED_NEWS) + " UNION ALL ".join(
+    f"SELECT year(date) AS year, '{t}' AS ticker, CAST(sum({_kw_sum_sql(k)}) AS BIGINT) AS keyword_volume "
+    "FROM n GROUP BY 1" for t, k in TICKER_KEYWORDS.items()))
+def keyword_volume_by_ticker_year(spark, sf):
+    return N.keyword_volume_by_ticker_year(_news(spark, sf), TICKER_KEYWORDS)
