@@ -49,14 +49,39 @@ def word_count(c) -> Column:
                            lambda x: x != F.lit("")))
 
 
+def fixed4_text(v) -> Column:
+    """`f"{v:.4f}"` of a double exactly as Python prints it.
+
+    Python rounds the exact binary value half-to-even; Java's %.4f rounds
+    its shortest decimal form half-up.  v * 10^4 is taken exactly as p + e
+    (Dekker's error-free product, Veltkamp split), the integer is rint(p)
+    corrected when p sits on a .5 tie and e breaks it, and the text is built
+    from that integer.  Beyond 2^53 / 10^4 the plain format is used."""
+    v = col(v)
+    split = F.lit(134217729.0) * v                # 2^27 + 1
+    hi = split - (split - v)
+    lo = v - hi
+    ten4 = F.lit(10000.0)
+    p = v * ten4
+    e = (hi * ten4 - p) + lo * ten4               # 10^4 splits exactly (low part 0)
+    n = F.rint(p)                                 # nearest, ties to even
+    d = p - n                                     # exact, |d| <= 0.5
+    # only a .5 gap between p and n can be tipped by the error term; an exact
+    # tie (e == 0) keeps rint's even choice
+    r = F.when((d == 0.5) & (e > 0), n + 1).when((d == -0.5) & (e < 0), n - 1).otherwise(n)
+    a = F.abs(r).cast("bigint")
+    body = F.concat((a / 10000).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad(F.pmod(a, F.lit(10000)).cast("string"), 4, "0"))
+    neg = (v < 0) | ((v == 0) & v.cast("string").startswith("-"))   # -0.0 prints '-0.0000'
+    exact = F.when(neg, F.concat(F.lit("-"), body)).otherwise(body)
+    return (F.when(v.isNull() | F.isnan(v), F.lit("nan"))
+             .when(F.abs(v) >= F.lit(9.0e11), F.format_string("%.4f", v))
+             .otherwise(exact))
+
+
 def float_list_text(c) -> Column:
     """`'%.4f'` of every element joined by ', '; a missing element is `nan`."""
-    # format_string renders NULL as 'null', so NULL/NaN are tested first
-    # (rounded half-even first: Java's %.4f rounds binary ties half-up, Python does not)
-    return F.array_join(
-        F.transform(col(c), lambda v: F.when(v.isNull() | F.isnan(v), F.lit("nan"))
-                    .otherwise(F.format_string("%.4f", F.bround(v, 4)))),
-        ", ")
+    return F.array_join(F.transform(col(c), fixed4_text), ", ")
 
 
 def strip_ws(c) -> Column:

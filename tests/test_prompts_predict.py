@@ -15,12 +15,16 @@ def test_float_list_text_matches_python(spark):
     assert got == ", ".join(f"{x:.4f}" if x is not None else "nan" for x in vals)
 
 
-@pytest.mark.xfail(strict=True, reason="known limit: a double whose shortest decimal form ends in 5 at the "
-                   "5th decimal is rounded from that decimal form (half-even), Python rounds its exact "
-                   "binary value")
-def test_float_list_text_decimal_form_tie(spark):
-    df = spark.createDataFrame([([-1.00005],)], "v array<double>")
-    assert df.select(float_list_text("v").alias("t")).collect()[0].t == f"{-1.00005:.4f}"
+def test_float_list_text_exact_binary_rounding(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    ties = [-1.00005, 1.00005, 0.00015, 2.00025, 0.40625, -0.40625, 0.03125, 1.23455, -0.00001, -0.0, 0.0,
+            123456.78905, 99999.99995]
+    rand = list(rng.normal(size=400) * 10) + list(np.round(rng.normal(size=400), 5))
+    vals = [float(x) for x in ties + rand]
+    df = spark.createDataFrame([(vals,)], "v array<double>")
+    got = df.select(float_list_text("v").alias("t")).collect()[0].t
+    assert got == ", ".join(f"{x:.4f}" for x in vals)
 
 
 @pytest.mark.parametrize("s", ["abc", "it's", 'say "x"', "both ' \"", "back\\slash", "nl\nx", "tab\tx"])
