@@ -38,9 +38,8 @@ def order_size(df: DataFrame, signal: str = "side", cash: str = "cash", price: s
 
 def _priced(trades: DataFrame, bars: DataFrame, buying_at: str, selling_at: str) -> DataFrame:
     req = trades.select(F.col("symbol").alias("ticker"), "date").distinct()
-    pb = asof_prices(bars, req, buying_at, out="buy_px")
-    ps = asof_prices(bars, req, selling_at, out="sell_px").select("ticker", "date", "sell_px")
-    px = pb.join(ps, ["ticker", "date"]).withColumnRenamed("ticker", "symbol")
+    px = asof_prices(bars, req, [buying_at, selling_at], out=["buy_px", "sell_px"]) \
+        .withColumnRenamed("ticker", "symbol")
     return trades.join(px, ["symbol", "date"], "left")
 
 

@@ -208,41 +208,46 @@ def weekend_ffill(bars: DataFrame, start, end) -> DataFrame:
               .select(F.col("_day").alias("date"), *cols))
 
 
-def asof_prices(bars: DataFrame, requests: DataFrame, metric: str,
+def asof_prices(bars: DataFrame, requests: DataFrame, metric,
                 key: str = "ticker", date_col: str = "date",
-                out: str = "price") -> DataFrame:
-    """Backward as-of: for each (key, date) of `requests`, `metric` of the
-    latest complete bar of that key on or before the date (NULL if none).
+                out=None) -> DataFrame:
+    """Backward as-of: for each (key, date) of `requests`, the metric(s) of
+    the latest complete bar of that key on or before the date (NULL if none).
+    `metric` is one name (output column `out`, default "price") or a list
+    (output columns `out` list, default the metric names) taken from the
+    same bar in one pass.
 
     Skew-safe form: requests are reduced to distinct (key, date) first, the
     as-of runs in (key, year) buckets (at most ~2x366 rows each, however
     hot a key is) and the last bar of every earlier year is carried from a
     small (key, year) table.  The result is joined back on (key, date).
     """
+    single = isinstance(metric, str)
+    metrics = [metric] if single else list(metric)
+    outs = ([out or "price"] if single else list(out or metrics))
     complete = drop_incomplete_bars(bars)
+    vals = F.struct(*[F.col(m).alias(f"_m{i}") for i, m in enumerate(metrics)])
     b = complete.select(F.col("ticker").alias("_k"), F.col("date").alias("_d"),
-                        F.col(metric).alias("_v"), F.lit(0).alias("_kind"))
+                        vals.alias("_v"), F.lit(0).alias("_kind"))
     q = (requests.select(F.col(key).alias("_k"), F.col(date_col).alias("_d")).distinct()
-         .select("_k", "_d", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_kind")))
+         .select("_k", "_d", F.lit(None).cast(b.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_kind")))
     u = b.unionByName(q).withColumn("_y", F.year("_d"))
     w = (Window.partitionBy("_k", "_y").orderBy("_d", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = (u.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
                .filter(F.col("_kind") == 1).select("_k", "_d", "_y", "_in"))
     year_last = b.groupBy("_k", F.year("_d").alias("_y")).agg(F.max_by("_v", "_d").alias("_yl"))
-    wy = Window.partitionBy("_k").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
-    carry = year_last.withColumn("_carry", F.last("_yl", ignorenulls=True).over(wy)) \
-                     .select("_k", "_y", "_carry")
-    # Requests in a year with no bar at all need the carry of that year too.
+    # requests in a year with no bar at all need the carry of that year too
     req_years = within.select("_k", "_y").distinct()
     all_years = year_last.select("_k", "_y").unionByName(req_years).distinct()
-    wy2 = Window.partitionBy("_k").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    wy = Window.partitionBy("_k").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
     carry = (all_years.join(year_last, ["_k", "_y"], "left")
-             .withColumn("_carry", F.last("_yl", ignorenulls=True).over(wy2))
+             .withColumn("_carry", F.last("_yl", ignorenulls=True).over(wy))
              .select("_k", "_y", "_carry"))
-    res = (within.join(carry, ["_k", "_y"], "left")
-           .select(F.col("_k").alias(key), F.col("_d").alias(date_col),
-                   F.coalesce("_in", "_carry").alias(out)))
+    best = F.coalesce("_in", "_carry")
+    res = within.join(carry, ["_k", "_y"], "left").select(
+        F.col("_k").alias(key), F.col("_d").alias(date_col),
+        *[best[f"_m{i}"].alias(o) for i, o in enumerate(outs)])
     return requests.join(res, [key, date_col], "left")
 
 
