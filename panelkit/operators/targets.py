@@ -22,6 +22,9 @@ def equal_frequency_edges(train: DataFrame, q: int, value_col: str = "return",
     """
     probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
     v = F.col(value_col)
+    if method == "distributed":
+        qs = distributed_quantiles(train, [i / q for i in range(q + 1)], value_col)
+        return qs.select(F.array_distinct("q").alias("edges"))
     if method == "exact":
         e = F.percentile(v, probs)
     elif method == "approx":
@@ -157,3 +160,44 @@ def grouped_equal_width_edges(df: DataFrame, n: int, by: Sequence[str],
     step = (F.col("_mx") - F.col("_mn")) / F.lit(float(n))
     edges = [F.col("_mn") + F.lit(float(i)) * step for i in range(n)] + [F.col("_mx")]
     return g.select(*by, F.array(*edges).alias("edges"))
+
+
+def distributed_quantiles(df: DataFrame, probs, value_col: str = "return", buckets: int = 128,
+                          accuracy: int = 10_000) -> DataFrame:
+    """Exact linearly interpolated quantiles without gathering the column.
+
+    A sketch (`percentile_approx`) cuts the values into `buckets` equal-depth
+    buckets; per-bucket counts (<= buckets rows) give each bucket's rank
+    offset; only the buckets holding the needed ranks are opened, as
+    (bucket, value, count) rows ranked by a window per bucket (~n/buckets
+    distinct values each, ties collapsed).  Returns one row `q` with the
+    quantiles in the order of `probs`.
+    """
+    from pyspark.sql import Window
+    probs = [float(p) for p in probs]
+    v = F.col("_v")
+    base = df.select(F.col(value_col).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sk = base.agg(F.percentile_approx(v, cuts, accuracy).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    tagged = one_row_join(base, sk.select("_b")).select(
+        "_v", F.size(F.filter("_b", lambda x: x < F.col("_v"))).alias("_bk"))
+    cnt = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))   # <= buckets rows
+    # ranks needed: floor and ceil of (n - 1) * p for every p
+    h = [(F.col("_n") - 1) * F.lit(p) for p in probs]
+    ranks = sk.select("_n", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), hj.alias("h"))
+                                                 for j, hj in enumerate(h)])).alias("_t"))
+    ranks = ranks.select("_t.j", "_t.h", F.explode(F.array(F.floor("_t.h"), F.ceil("_t.h"))).alias("_r"))
+    need = F.broadcast(ranks).join(
+        F.broadcast(off), (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
+    opened = tagged.join(F.broadcast(need.select("_bk").distinct()), "_bk")
+    dv = opened.groupBy("_bk", "_v").agg(F.count(F.lit(1)).alias("_vc"))
+    cum = dv.withColumn("_end", F.sum("_vc").over(
+        Window.partitionBy("_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = need.join(cum, "_bk").filter(
+        (F.col("_r") >= F.col("_off") + F.col("_end") - F.col("_vc")) & (F.col("_r") < F.col("_off") + F.col("_end")))
+    lo_hi = at.groupBy("j", "h").agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
+    frac = F.col("h") - F.floor("h")
+    qv = lo_hi.select("j", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("_q"))
+    return qv.agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "_q"))), lambda s: s["_q"]).alias("q"))

@@ -49,7 +49,7 @@ class Params:
     num_bins: int = 5
     labels: tuple[str, ...] = DEFAULT_LABELS
     strategy: str = "equal_frequency"             # or equal_width
-    quantile_method: str = "exact"                # exact|approx|auto
+    quantile_method: str = "exact"                # exact|distributed|approx|auto
     exact_quantile_limit: int = 20_000_000        # auto: exact up to this many train rows
     quantile_accuracy: int = 1_000_000
     max_titles_per_day: int = 2

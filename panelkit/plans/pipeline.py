@@ -173,10 +173,10 @@ def label(samples_df: DataFrame, params: Params) -> DataFrame:
     if params.strategy == "equal_frequency":
         method = params.quantile_method
         if method == "auto":
-            # exact percentile holds every distinct value in one buffer; past
-            # the limit use the mergeable sketch (one count of staged rows)
+            # percentile holds every distinct value in one buffer; past the
+            # limit use the exact distributed method (one count of staged rows)
             n = train.count()
-            method = "exact" if n <= params.exact_quantile_limit else "approx"
+            method = "exact" if n <= params.exact_quantile_limit else "distributed"
         edges = TG.equal_frequency_edges(train, params.num_bins, method=method,
                                          accuracy=params.quantile_accuracy)
     elif params.strategy == "equal_width":

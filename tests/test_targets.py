@@ -68,3 +68,20 @@ def test_approx_edges_close_to_exact(spark):
     # a sketch returns data points near the rank: compare by rank, not value
     ranks = lambda e: [np.searchsorted(np.sort(vals), x) for x in e]
     assert all(abs(a - b) <= 5 for a, b in zip(ranks(exact), ranks(approx)))
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "tiny"])
+def test_distributed_quantiles_exact(spark, kind):
+    rng = np.random.default_rng(5)
+    if kind == "normal":
+        vals = rng.normal(size=20000)
+    elif kind == "ties":                      # a third of all rows share one value
+        vals = np.concatenate([np.zeros(7000), np.round(rng.normal(size=14000), 3)])
+    else:
+        vals = np.array([3.0, 1.0, 2.0])
+    probs = [0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    got = TG.distributed_quantiles(_ret(spark, vals), probs, buckets=16).collect()[0].q
+    assert np.allclose(got, np.quantile(vals, probs), rtol=0, atol=1e-12)
+    e = TG.equal_frequency_edges(_ret(spark, vals), 5, method="distributed").collect()[0].edges
+    _, bins = pd.qcut(pd.Series(vals), q=5, retbins=True, duplicates="drop")
+    assert np.allclose(e, bins, rtol=0, atol=1e-12)
