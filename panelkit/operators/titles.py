@@ -164,3 +164,85 @@ def cut_titles_lists(df: DataFrame, k: int, is_train: bool, seed: int = 0,
         return F.when(F.size(items) > k, pick).otherwise(F.transform(items, lambda x: x["t"]))
 
     return df.withColumn("title", F.transform(day, per_day))
+
+
+def weight_intervals(cand: DataFrame, day_keys: Sequence[str], count_col: str = "keywords_count",
+                     order_col: str = "ord", bucket: int = 100_000) -> DataFrame:
+    """Per day, each candidate's [lo, hi) slice of the day's total weight
+    W = sum ln(1 + count), in `order_col` order.  Prefix sums are two-level
+    (ranges of `bucket` order values, then rows inside a range) so no task
+    holds a whole day; range totals are taken from the same running sums, so
+    consecutive slices meet exactly and tile [0, W)."""
+    day_keys = list(day_keys)
+    w = F.log1p(F.col(count_col).cast("double"))
+    b = cand.select(*day_keys, order_col, w.alias("_w"),
+                    F.floor(F.col(order_col) / F.lit(bucket)).alias("_rb"))
+    inner = Window.partitionBy(*day_keys, "_rb").orderBy(order_col)
+    part = b.withColumn("_ps", F.sum("_w").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
+            .withColumn("_pp", F.coalesce(F.lag("_ps").over(inner), F.lit(0.0)))
+    tot = part.groupBy(*day_keys, "_rb").agg(F.max("_ps").alias("_t"))   # last running sum of the range
+    ow = Window.partitionBy(*day_keys).orderBy("_rb")
+    off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(ow.rowsBetween(Window.unboundedPreceding, -1)),
+                                            F.lit(0.0))) \
+             .withColumn("_wsum", F.sum("_t").over(ow.rowsBetween(Window.unboundedPreceding,
+                                                               Window.unboundedFollowing)))
+    # off + _ps of the last row of a range equals the next range's off (same additions)
+    j = part.join(off.select(*day_keys, "_rb", "_off", "_t", "_wsum"), [*day_keys, "_rb"])
+    return j.select(*day_keys, order_col, "_w",
+                    F.when(F.col("_pp") == 0, F.col("_off")).otherwise(F.col("_off") + F.col("_pp")).alias("_lo"),
+                    F.when(F.col("_ps") == F.col("_t"), F.col("_off") + F.col("_t"))
+                     .otherwise(F.col("_off") + F.col("_ps")).alias("_hi"),
+                    "_wsum")
+
+
+def sample_titles_by_cdf(window_days: DataFrame, cand: DataFrame, k: int, seed: int,
+                         group: Sequence[str], day_keys: Sequence[str] = ("split", "date"),
+                         count_col: str = "keywords_count", order_col: str = "ord") -> DataFrame:
+    """Training pick with the same law as `sample_titles_per_window_day`
+    (k draws without replacement, p proportional to ln(1 + count)) in
+    O(draws + candidates) instead of O(window-days x candidates).
+
+    Successive sampling: slot j draws r' uniformly from the mass not picked
+    yet and maps it past the picked slices (r -> r - lo + hi for each picked
+    slice starting at or before r, in slice order), which lands in an unpicked
+    slice with probability proportional to its weight.  The slice holding r
+    is found by an equi-join on (day, bucket of the weight axis): each
+    candidate is copied into the buckets its slice overlaps (about two per
+    candidate with m buckets per day), each draw looks up one bucket.  One
+    join round per slot (k rounds)."""
+    day_keys, group = list(day_keys), list(group)
+    iv = weight_intervals(cand, day_keys, count_col, order_col)
+    m = iv.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("_m"))
+    iv = iv.join(m, day_keys).withColumn("_d", F.col("_wsum") / F.col("_m"))
+    last_b = F.col("_m") - 1
+    reps = iv.select(*day_keys, order_col, "_lo", "_hi", "_wsum", "_d", F.explode(F.sequence(
+        F.least(F.floor(F.col("_lo") / F.col("_d")), last_b).cast("long"),
+        F.least(F.floor(F.col("_hi") / F.col("_d")), last_b).cast("long"))).alias("_b"))
+    day_info = iv.select(*day_keys, "_wsum", "_d", "_m").distinct()
+    cur = window_days.join(day_info, day_keys).withColumn(
+        "_picked", F.array().cast("array<struct<lo:double,hi:double,ord:bigint>>"))
+    rank_cols = []
+    for j in range(1, k + 1):
+        u = hash_uniform(seed, *group, F.lit(j))
+        rem = F.col("_wsum") - F.aggregate("_picked", F.lit(0.0), lambda a, p: a + (p["hi"] - p["lo"]))
+        r0 = u * rem
+        r = F.aggregate(F.array_sort("_picked"), r0,
+                        lambda a, p: F.when(a >= p["lo"], a - p["lo"] + p["hi"]).otherwise(a))
+        step = cur.withColumn("_r", r).withColumn(
+            "_b", F.least(F.floor(F.col("_r") / F.col("_d")), F.col("_m") - 1).cast("long"))
+        hit = step.join(reps.select(*day_keys, "_b", order_col, F.col("_lo").alias("_clo"),
+                                    F.col("_hi").alias("_chi")), [*day_keys, "_b"])
+        # the slice holding r; r past the last edge (rounding) takes the last slice
+        hit = hit.filter((F.col("_r") >= F.col("_clo")) &
+                         ((F.col("_r") < F.col("_chi")) | ((F.col("_chi") == F.col("_wsum")) & (F.col("_r") >= F.col("_wsum")))))
+        hit = hit.filter(~F.exists("_picked", lambda p: p["ord"] == F.col(order_col)))
+        pick = F.struct(F.col("_clo").alias("lo"), F.col("_chi").alias("hi"), F.col(order_col).cast("bigint").alias("ord"))
+        cur = hit.select(*group, *[d for d in day_keys if d not in group], "_wsum", "_d", "_m",
+                         F.concat("_picked", F.array(pick)).alias("_picked"))
+        # days with fewer candidates than slots never reach here (only days with m > k are drawn)
+        rank_cols.append(j)
+    out = cur.select(*dict.fromkeys([*group, *day_keys]),
+                     F.posexplode("_picked").alias("_pos", "_p"))
+    out = out.select(*dict.fromkeys([*group, *day_keys]), F.col("_p.ord").alias(order_col),
+                     (F.col("_pos") + 1).alias("_rank"))
+    return out.join(cand.select(*day_keys, order_col, "title"), [*day_keys, order_col])

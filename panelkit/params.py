@@ -55,6 +55,7 @@ class Params:
     max_titles_per_day: int = 2
     min_titles_per_window: int = 5
     replicas: int = 2
+    draw_method: str = "auto"                     # keys|cdf|auto (cdf when k <= 8)
     null_target_limit: float = 0.05
     seed: int = 0
     train_split: str = "train"

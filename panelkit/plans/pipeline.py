@@ -96,10 +96,17 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     x = long.filter(F.col(DAY_IDX) < L)
     window_days = x.select("split", "ticker", SAMPLE_ID, "replica", DAY_IDX, "date") \
                    .join(day_lists.filter("_draw").select("split", "date"), ["split", "date"], "left_semi")
-    drawn = TT.sample_titles_per_window_day(
-        window_days, cand.filter(F.col("split") == train), k, params.seed,
-        group=["split", "ticker", SAMPLE_ID, "replica", DAY_IDX],
-        day_counts_df=counts.filter(F.col("split") == train))
+    group = ["split", "ticker", SAMPLE_ID, "replica", DAY_IDX]
+    method = params.draw_method if params.draw_method != "auto" else ("cdf" if k <= 8 else "keys")
+    if method == "cdf":
+        # O(draws + candidates): k rounds of a bucketed interval join
+        drawn = TT.sample_titles_by_cdf(window_days, cand.filter(F.col("split") == train), k,
+                                        params.seed, group=group)
+    else:
+        # O(window-days x candidates): one key per pair, salted top-k
+        drawn = TT.sample_titles_per_window_day(
+            window_days, cand.filter(F.col("split") == train), k, params.seed, group=group,
+            day_counts_df=counts.filter(F.col("split") == train))
     drawn_rows = drawn.select(*KEYS, F.struct(F.col(DAY_IDX).alias("d"), F.col("_rank").alias("r"),
                                               F.col("title").alias("t")).alias("_drawn"))
 

@@ -92,3 +92,39 @@ def test_rank_within_matches_window_rank(spark):
     got = rank_within(df, ["g"], "o", bucket=997).select("g", "o", "pos")
     exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+
+def _cdf(spark, n_windows, weights, k=2, seed=0, parts=4):
+    wd = spark.range(n_windows).select(F.lit("train").alias("split"), F.lit(D).alias("date"),
+                                      F.lit("T").alias("ticker"), F.col("id").alias("sample_id"),
+                                      F.lit(0).alias("replica"), F.lit(0).alias("day_idx")).repartition(parts)
+    cand = spark.createDataFrame([("train", D, i, f"t{i}", w) for i, w in enumerate(weights)],
+                                 "split string, date date, ord long, title string, keywords_count int")
+    return TT.sample_titles_by_cdf(wd, cand, k, seed, ["split", "ticker", "sample_id", "replica", "day_idx"])
+
+
+def test_cdf_draws_exactly_k_distinct_and_repeatable(spark):
+    weights = [1, 2, 3, 5, 8, 13, 1, 1]
+    a = _cdf(spark, 300, weights, k=3).collect()
+    per = Counter(r.sample_id for r in a)
+    assert len(per) == 300 and set(per.values()) == {3}
+    assert all(len({r.ord for r in a if r.sample_id == s}) == 3 for s in per)
+    b = _cdf(spark, 300, weights, k=3, parts=9).collect()
+    assert sorted((r.sample_id, r.ord, r._rank) for r in a) == sorted((r.sample_id, r.ord, r._rank) for r in b)
+
+
+def test_cdf_draws_follow_successive_sampling(spark):
+    import math
+    weights = [1, 1, 4, 20, 60]
+    w = [math.log1p(x) for x in weights]
+    n = 6000
+    rows = _cdf(spark, n, weights, k=2).collect()
+    first = Counter(r.ord for r in rows if r._rank == 1)
+    for i, wi in enumerate(w):
+        assert abs(first[i] / n - wi / sum(w)) < 0.025
+    # inclusion probability of a 2-draw without replacement
+    incl = Counter(r.ord for r in rows)
+    for i, wi in enumerate(w):
+        p = wi / sum(w) + sum(wj / sum(w) * wi / (sum(w) - wj) for j, wj in enumerate(w) if j != i)
+        assert abs(incl[i] / n - p) < 0.03
