@@ -72,3 +72,15 @@ def test_pipeline_samples_plan_is_partitioned(spark):
     assert _gathered(plan) == []
     assert "documents.parquet" not in plan          # text read once, into the stage table
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+def test_slice_pushdown_on_stored_bars(spark, tmp_path):
+    from panelkit.operators import bars as B
+    from panelkit.sources import fixtures as FX
+    FX.brand_bars(spark, SF_SMALL).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    plan = B.price_slice(bars, "1995-03-01", "1995-06-30", ["Brand#3"]).select("date", "close") \
+        ._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "GreaterThanOrEqual(date" in scan and "LessThanOrEqual(date" in scan
+    assert "[date#" in scan and "open#" not in scan and "volume#" not in scan   # pruned columns
