@@ -12,12 +12,14 @@ How the work is dealt:
    by a hash group and never compared) and a fixed-size count sketch of all
    shingles (2**20 counters, whatever the input).  The sketch only orders
    shingles from rare to frequent; no result depends on it.
-2. A second pass sends each class's lists: two sets of at least T common
-   shingles must share one of the |x| - T + 1 rarest of either.  Lists of one
-   class end there.  The classes of a longer list meet in the group of the
-   list's smallest class.  Lists that the sketch calls long are grouped by
-   Spark's aggregations and joins (partial aggregation, skew split), the many
-   short ones in packed blocks.
+2. A second pass counts, for a quarter of all shingles picked by hash, how many
+   classes have each.  Two sets of at least T common shingles share one of the
+   n - T + 1 first of either under any fixed order; here the weighed quarter
+   stands first, rarest first.  A class whose first n - T + 1 are its own alone
+   ends there.  The classes of a list meet in the group of the list's first
+   class, cut where sizes are too far apart.  Long lists are grouped by Spark's
+   aggregations and joins (partial aggregation, skew split), the many short ones
+   in packed blocks.  Groups are then cut by what their rare entries allow.
 3. A group's texts go to one task while they hold at most `GROUP_SHINGLES`
    shingles; a larger group is cut into blocks that each get the group's first
    class, and what is not linked to it is searched against every block in
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 from .components import connected_components
-from .shingles import shingle_sets, text_chunks
+from .shingles import mix, shingle_sets, text_chunks
 
 SKETCH_BITS = 20            # counters of the shingle sketch: order only, never results
 SKETCH_SLICES = 64
@@ -57,7 +59,8 @@ BLOCK_ENTRIES = 300_000     # list entries a packed block should hold
 GROUP_CLASSES = 4_000       # classes of a group up to which its members are weighed by rare entries
 GROUP_SHINGLES = 1_000_000  # shingles of the sets that one search task holds
 SKIP_WEIGHT = 0.0085        # DivideSkip's mu
-LONG_LEVEL = 3              # sketch levels above this are lists for Spark's own grouping
+LONG_LEVEL = 6              # shingles of higher sketch levels are counted as long lists at once
+LONG_FROM = 4_096           # lists from this length on are for Spark's own grouping
 
 
 def needed(n, percent: int):
@@ -78,19 +81,26 @@ def _profile(width: int):
                                       minlength=len(sketch))
                 n = np.diff(first)
                 s1, s2 = set_sums(sets, first)
+                weighed = np.concatenate(([0], np.cumsum(_weighed(sets))))
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, m), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2),
+                     pa.array(weighed[first[1:]] - weighed[first[:-1]], pa.int64()),
                      pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    ["id", "n", "s1", "s2", "slice", "counts"])
+                    ["id", "n", "s1", "s2", "weighed", "slice", "counts"])
         parts = [p.astype(np.uint32).tobytes() for p in np.split(sketch, SKETCH_SLICES)]
         none = pa.nulls(SKETCH_SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())],
-            ["id", "n", "s1", "s2", "slice", "counts"])
+            [none, none, none, none, none, pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())],
+            ["id", "n", "s1", "s2", "weighed", "slice", "counts"])
     return run
 
 
+def _weighed(sets: np.ndarray) -> np.ndarray:
+    """The quarter of all shingles, by hash, whose frequency is counted."""
+    return sets & np.uint64(3) == 0
+
+
 def set_sums(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums per set: an order-free 128-bit name of its content."""
     with np.errstate(over="ignore"):
@@ -117,34 +127,99 @@ def _add_counts(group: pa.Table) -> pa.Table:
 
 # ---- pass 2: inverted lists -------------------------------------------------------
 
-def _rare_entries(width: int, percent: int, levels: np.ndarray):
-    """Each class's n - T + 1 rarest entries, once per chunk of texts."""
+WEIGHED, LONG, SPARE = 0, 1, 2   # kinds of entries, in a token's two low bits
+LONG_DF, SPARE_DF = 60_000, 65_535
+
+
+def _entries(width: int, percent: int, levels: np.ndarray, blocks: int):
+    """Each class's weighed shingles, packed by block, once per chunk of texts;
+    with fewer of them than n - T + 1, the least others make up for the rest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, raw, off in text_chunks(batch.column(1)):
+            for _, raw, off in text_chunks(batch.column(0)):
                 sets, first = shingle_sets(raw, off, width)
                 n = np.diff(first)
                 s1, s2 = set_sums(sets, first)
-                at = ids[row:row + len(n)]
-                order = np.lexsort((at, s2, s1, n))
+                order = np.lexsort((s2, s1, n))
                 one = np.ones(len(n), dtype=bool)
                 one[1:] = (np.diff(s1[order]) != 0) | (np.diff(s2[order]) != 0) | (np.diff(n[order]) != 0)
-                use = order[one & (n[order] > 0)]
-                level = levels[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                # An entry is the level before the shingle's upper 60 bits, so the
-                # rarest come first.  Any one fixed order is right, and two
-                # shingles that become one entry only add a candidate.
-                entry = (level.astype(np.uint64) << np.uint64(60)) | (sets >> np.uint64(4))
-                rare = []
-                for k in use:
-                    x = entry[first[k]:first[k + 1]]
-                    x.sort()
-                    rare.append(x[:n[k] - needed(n[k], percent) + 1].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[use], pa.int64()), pa.array(s1[use]), pa.array(s2[use]),
-                     pa.array(n[use], pa.int64()), pa.array(rare, pa.binary())],
-                    ["id", "s1", "s2", "n", "rare"])
+                use = np.zeros(len(n), dtype=bool)
+                use[order[one]] = True
+                doc = np.repeat(np.arange(len(n)), n)
+                mine = _weighed(sets)
+                long = mine & (levels[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > LONG_LEVEL)
+                entry = (sets & ~np.uint64(3)) | np.where(long, np.uint64(LONG), np.uint64(WEIGHED))
+                pick = mine & use[doc]
+                count = np.bincount(doc[mine], minlength=len(n))
+                for k in np.flatnonzero(use & (n > 0) & (n - needed(n, percent) + 1 > count)):
+                    at = first[k] + np.flatnonzero(~mine[first[k]:first[k + 1]])
+                    at = at[:n[k] - needed(n[k], percent) + 1 - count[k]]     # a set ascends
+                    entry[at] = (sets[at] & ~np.uint64(3)) | np.uint64(SPARE)
+                    pick[at] = True
+                held.append((entry[pick], s1[doc[pick]]))
+                if sum(len(t) for t, _ in held) > 2 * BLOCK_ENTRIES:
+                    yield from _pack(held, blocks)
+                    held = []
+        yield from _pack(held, blocks)
+    return run
+
+
+def _pack(held, blocks: int) -> Iterator[pa.RecordBatch]:
+    tok = np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in held]])
+    cls = np.concatenate([np.zeros(0, np.int64), *[c for _, c in held]])
+    if not len(tok):
+        return
+    # a long list is dealt by its entries: nothing is counted on it
+    spread = np.where(tok & np.uint64(3) == LONG, mix(tok ^ cls.view(np.uint64)), tok)
+    block = ((spread >> np.uint64(8)) % np.uint64(blocks)).astype(np.int32)
+    order = np.argsort(block, kind="stable")
+    tok, cls, block = tok[order].view(np.int64), cls[order], block[order]
+    ids, start = np.unique(block, return_index=True)
+    packed = [np.concatenate((tok[a:b], cls[a:b])).tobytes()
+              for a, b in zip(start, np.append(start[1:], len(block)), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"])
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """The entries of a block that two classes or more have: (class, entry),
+    where an entry is its frequency before its token, so the rarest come first."""
+    parts = [np.frombuffer(x.as_py(), dtype=np.int64).reshape(2, -1) for x in group.column("packed")]
+    tok, cls = np.concatenate(parts, axis=1)
+    order = np.lexsort((cls, tok))
+    tok, cls = tok[order].view(np.uint64), cls[order]
+    new = np.ones(len(tok), dtype=bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+    tok, cls = tok[new], cls[new]
+    begin = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+    size = np.diff(np.append(begin, len(tok)))
+    df, kind = np.repeat(size, size), tok & np.uint64(3)
+    level = np.where(kind == LONG, LONG_DF, np.where(kind == SPARE, SPARE_DF, np.minimum(df, LONG_DF - 1)))
+    keep = (df > 1) | (kind == LONG)
+    entry = (level.astype(np.uint64) << np.uint64(48)) | (tok >> np.uint64(16))
+    return pa.table({"cls": pa.array(cls[keep]), "entry": pa.array(entry[keep].view(np.int64))})
+
+
+def _rarest(percent: int):
+    """A class's shared entries among its n - T + 1 rarest.  Its weighed
+    shingles that nothing shares come first of all; where they fill the n - T + 1
+    places the class can link with nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, n, weighed = (batch.column(i).to_numpy() for i in range(3))
+            out, rows = [], []
+            for k, x in enumerate(batch.column(3)):
+                entry = np.sort(x.values.to_numpy().view(np.uint64))
+                spare = entry >= np.uint64(SPARE_DF << 48)
+                shared = entry[~spare]
+                places = int(n[k] - needed(n[k], percent) + 1 - (weighed[k] - len(shared)))
+                if places > 0 and len(entry):
+                    rare = np.concatenate((shared[:places], entry[spare])) if len(shared) < places else shared[:places]
+                    if len(rare):
+                        out.append(rare.tobytes())
+                        rows.append(k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls[rows]), pa.array(n[rows]), pa.array(out, pa.binary())], ["s1", "n", "rare"])
     return run
 
 
@@ -157,7 +232,7 @@ def _lists(percent: int, blocks: int):
             size = np.array([len(x) for x in rare])
             tok = np.concatenate(rare) if rare else np.zeros(0, np.uint64)
             cls, n = np.repeat(cls, size), np.repeat(n, size)
-            long = tok >> np.uint64(60) > LONG_LEVEL
+            long = tok >> np.uint64(48) >= LONG_FROM
             if m := int(long.sum()):
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
@@ -202,14 +277,14 @@ def _hopeful(percent: int):
     """A group cut into the parts that possible links connect, each named by its
     first class, so that parts found in several groups fall together.
 
-    Of two sets, let x be the one whose last rare entry comes first: all that y
-    shares of x's rare entries are rare entries of y too, and of x's others at
-    most n(x) - rare(x) can be shared.  So a link needs at least its overlap
+    Of two sets, let x be the one whose last shared rare entry comes first: all
+    that y shares of x's n - T + 1 rarest are rare entries of y too, and of x's
+    others at most T - 1 can be shared.  So a link needs at least its overlap
     less that many common rare entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cls, n, rare in _rare_groups(batches):
             n = np.array(n, dtype=np.int64)
-            size = np.array([len(x) for x in rare], dtype=np.int64)
+            size = n - needed(n, percent) + 1
             last = np.array([x[-1] for x in rare], dtype=np.uint64)
             cls = np.array(cls, dtype=np.int64)
             joined, index = _Joined(len(n)), ListIndex(rare)
@@ -425,8 +500,8 @@ def _link_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = stage_table(texts.mapInArrow(
-        _profile(width), "id bigint, n bigint, s1 bigint, s2 bigint, slice int, counts binary"), "op2-profile")
-    profile = seen.filter("slice is null").select("id", "n", "s1", "s2")
+        _profile(width), "id bigint, n bigint, s1 bigint, s2 bigint, weighed bigint, slice int, counts binary"), "op2-profile")
+    profile = seen.filter("slice is null").select("id", "n", "s1", "s2", "weighed")
     # one small row per sketch slice, 2**20 bytes in all whatever the input
     rows = (seen.filter("slice is not null").select("slice", "counts").groupBy("slice")
             .applyInArrow(_add_counts, "slice int, level binary").collect())
@@ -434,13 +509,20 @@ def _link_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     step = len(levels) // SKETCH_SLICES
     for r in rows:
         levels[r["slice"] * step:(r["slice"] + 1) * step] = np.frombuffer(r["level"], dtype=np.uint8)
+    reps = stage_table(profile.filter("n > 0 and id is not null").groupBy("s1", "s2", "n")
+                       .agg(F.min("id").alias("rep"), F.min("weighed").alias("weighed")), "op2-classes")
+    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = reps.agg(F.sum("weighed")).first()[0] or 0
+    blocks = max(fewest, math.ceil(total / BLOCK_ENTRIES))
+    shared = (texts.filter("id is not null").select("text")
+              .mapInArrow(_entries(width, percent, levels, blocks), "block int, packed binary")
+              .groupBy("block").applyInArrow(_shared, "cls bigint, entry bigint"))
+    of_class = shared.groupBy("cls").agg(F.collect_list("entry").alias("entries"))    # at most a text's own
     classes = stage_table(
-        texts.filter("id is not null").mapInArrow(
-            _rare_entries(width, percent, levels), "id bigint, s1 bigint, s2 bigint, n bigint, rare binary")
-        .groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("rare").alias("rare")), "op2-classes")
-    reps = classes.select("s1", "s2", "n", "rep")
+        reps.join(of_class, reps.s1 == of_class.cls).select("s1", "n", "weighed", "entries")
+        .mapInArrow(_rarest(percent), "s1 bigint, n bigint, rare binary"), "op2-rarest")
     total = classes.agg(F.sum(F.length("rare"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 8 / BLOCK_ENTRIES))
+    blocks = max(fewest, math.ceil(total / 8 / BLOCK_ENTRIES))
     lists = stage_table(classes.select("s1", "n", "rare").mapInArrow(
         _lists(percent, blocks), "block int, packed binary, token bigint, cls bigint, n bigint"), "op2-lists")
     short = lists.filter("block is not null").groupBy("block").applyInArrow(_meet(percent), "cls bigint, pivot bigint")

@@ -66,6 +66,7 @@ def test_groups_cut_into_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(op, "GROUP_SHINGLES", 40)
     monkeypatch.setattr(op, "GROUP_CLASSES", 3)
     monkeypatch.setattr(op, "LONG_LEVEL", -1)
+    monkeypatch.setattr(op, "LONG_FROM", 0)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs, 4, 85).collect()}
     assert got == brute(rows, 4, 85)
 
