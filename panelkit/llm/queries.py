@@ -9,8 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import op7_language, sql
 from .op2_ngram_join import ngram_join
+from .op3_suffix_dedup import remove_repeats
+from .op5_token_counts import token_counts
+from .op6_mixing import mix_sources
+from .op8_quality_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +24,8 @@ ORACLE: dict[str, str] = {}
 
 def _query(fn):
     QUERIES[fn.__name__] = fn
+    if fn.__name__ in sql.ORACLE:
+        ORACLE[fn.__name__] = sql.ORACLE[fn.__name__]
     return fn
 
 
@@ -28,3 +36,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@_query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                        split_at_space=True, limit=2048)
+
+
+@_query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = op7_language.fit(docs, rest != 2)
+    return op7_language.identify(docs, model, held_out=rest == 2)
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
