@@ -132,4 +132,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     """The rows of `docs` that pass, with their own columns."""
     columns = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_raw"))
-    return verdict(measures(packed, "_raw"), rules).filter("kept").select(*columns)
+    # the row number keeps the filter above the projections: pushed below them it
+    # would hold a copy of every measure, arrays in lambdas included
+    judged = verdict(measures(packed, "_raw"), rules).withColumn("_number", F.monotonically_increasing_id())
+    return judged.filter("kept and _number >= 0").select(*columns)

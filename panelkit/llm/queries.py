@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op7_language, sql
+from . import op1_revisits, op4_tool_calls, op7_language, sql
 from .op2_ngram_join import ngram_join
 from .op3_suffix_dedup import remove_repeats
 from .op5_token_counts import token_counts
 from .op6_mixing import mix_sources
 from .op8_quality_rules import quality_rules
+from .op9_line_templates import drop_recurring_lines
+from .op10_decontamination import find_leaks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +35,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op1_revisits.resolve_revisits(op1_revisits.page_records(_table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", op1_revisits.header_text(F.col("headers")))
+
+
 @_query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
@@ -43,6 +51,12 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=400).drop("kept")
 
 
+@_query
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = op4_tool_calls.conversation_calls(_table(spark, sf_dir, "conversations"))
+    return op4_tool_calls.link_tool_calls(calls, results, op4_tool_calls.SCHEMAS)
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -66,3 +80,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+@_query
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -61,3 +61,77 @@ m AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND """ + _rules() + """ AS kept FROM b
 """
+
+ORACLE["op1_revisit_resolution"] = r"""
+WITH p AS (SELECT page_id, page_id % 4 AS kind, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size,
+                  1600000000 + page_id * 60 AS t0, regexp_extract(trim(url), '^(?i:https?)://(?:[^/?#@]*@)?([^#]*)', 1) AS rest FROM pages),
+u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+             regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> ''
+                       AND NOT regexp_matches(lower(x), '^(utm_[a-z0-9_]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM p),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+                     || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url_key,
+             t0 + 1 + (page_id * 7919 % 500000) * 60 AS t1,
+             CASE kind WHEN 0 THEN '"' || digest || '"' WHEN 1 THEN 'W/"' || digest || '"' END AS etag,
+             CASE WHEN kind IN (0, 2) THEN CAST(t0 - 3600 AS VARCHAR) END AS modified FROM u),
+r AS (SELECT 2 * page_id AS record_id, url_key, t0 AS ts, 2 * page_id AS response FROM k
+      UNION ALL SELECT 2 * page_id + 1, url_key, t1, NULL FROM k),
+a AS (SELECT record_id, last_value(response IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, record_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id FROM r WHERE url_key IS NOT NULL),
+j AS (SELECT v.page_id * 2 + 1 AS record_id, v.url_key, a.response_id, v.etag, v.modified, v.t1, o.digest AS o_digest,
+             o.etag AS o_etag, o.modified AS o_modified, o.size AS o_size,
+             CASE WHEN a.response_id IS NULL THEN NULL WHEN v.etag IS NOT NULL AND o.etag IS NOT NULL THEN 'etag'
+                  WHEN v.modified IS NOT NULL AND o.modified IS NOT NULL THEN 'last-modified' ELSE 'none' END AS validator
+      FROM k v LEFT JOIN a ON a.record_id = v.page_id * 2 + 1 LEFT JOIN k o ON o.page_id * 2 = a.response_id),
+s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+                     WHEN validator = 'etag' THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(o_etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+                     WHEN validator = 'last-modified' AND modified <> o_modified THEN 'mismatch' ELSE 'resolved' END AS status FROM j)
+SELECT record_id, url_key, response_id, status, validator,
+       CASE WHEN status = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || o_size, 'content-type: text/html',
+                 'date: t' || t1, 'etag: ' || coalesce(etag, o_etag), 'last-modified: ' || coalesce(modified, o_modified), 'server: origin',
+                 'x-digest: ' || o_digest)
+            ELSE concat_ws(chr(10), 'cache-control: max-age=60', 'connection: close', 'content-length: 0', 'date: t' || t1, 'etag: ' || etag,
+                 'last-modified: ' || modified) END AS headers
+FROM s
+"""
+
+ORACLE["op4_tool_call_linking"] = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) % 3 AS kind,
+                  len(string_split(coalesce(text, ''), ' ')) AS words, string_split(coalesce(text, ''), chr(10))[1] AS head FROM conversations),
+c AS (SELECT * FROM t WHERE role = 'assistant'),
+chain AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2)
+          UNION ALL SELECT c.conv_id, c.turn, chain.level + 1 FROM c JOIN chain ON c.conv_id = chain.conv_id AND c.turn = chain.turn + 2),
+d AS (SELECT c.*, chain.level, u.text AS answer,
+             CASE c.kind WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'translate' END AS name,
+             CASE c.kind WHEN 0 THEN '{"limit":' || CASE WHEN c.words % 7 = 0 THEN '"' || c.words || '"' ELSE c.words::VARCHAR END || ',"query":' || to_json(c.head) || '}'
+                       WHEN 1 THEN '{"exact":' || (c.words % 2 = 0)::VARCHAR || ',"key":' || to_json(string_split(c.head, ' ')[1]) || '}'
+                       ELSE '{"text":' || to_json(c.text) || CASE WHEN c.words % 11 = 0 THEN '' ELSE ',"to":"en"' END || '}' END AS arguments,
+             CASE c.kind WHEN 0 THEN c.words % 7 <> 0 WHEN 1 THEN true ELSE c.words % 11 <> 0 END AS fits
+      FROM c JOIN chain USING (conv_id, turn) LEFT JOIN t u ON u.conv_id = c.conv_id AND u.turn = c.turn + 1 AND u.role = 'user')
+SELECT conv_id, 'call_' || turn AS call_id, turn, name, level,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) - 1 AS BIGINT) AS position,
+       CASE WHEN NOT fits THEN 'bad_arguments' WHEN answer IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+       '{"arguments":' || arguments || ',"id":"call_' || turn || '","name":"' || name || '"'
+       || CASE WHEN answer IS NULL THEN '' ELSE ',"result":' || to_json(answer) END || '}' AS json
+FROM d
+"""
+
+ORACLE["op9_line_templates"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+t AS (SELECT doc_id, pos, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+             '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM l WHERE doc_id IS NOT NULL),
+n AS (SELECT *, len(w) AS n FROM t WHERE len(w) >= 3),
+k AS (SELECT doc_id, pos, n || ' whole ' || array_to_string(w, ' ') AS template FROM n
+      UNION ALL SELECT doc_id, pos, n || ' front ' || array_to_string(w[:n * 7 // 10], ' ') FROM n WHERE n >= 10
+      UNION ALL SELECT doc_id, pos, n || ' back ' || array_to_string(w[:3], ' ') || ' | ' || array_to_string(w[n // 2 + 1:], ' ') FROM n WHERE n >= 10),
+o AS (SELECT template FROM k GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+h AS (SELECT DISTINCT doc_id, pos FROM k WHERE template IN (SELECT template FROM o)),
+c AS (SELECT n.doc_id, count(*) AS lines, count(h.pos) AS hits FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.pos = n.pos GROUP BY n.doc_id),
+g AS (SELECT h.doc_id, h.pos FROM h JOIN c ON c.doc_id = h.doc_id WHERE hits <= 0.5 * lines),
+s AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS kept, count(g.pos) AS n_dropped
+      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       md5(CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS kept_md5
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
