@@ -50,7 +50,7 @@ def equal_bins(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) ->
     by = list(by)
     v = F.col(value)
     bounds = df.groupBy(*by).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-    j = df.join(F.broadcast(bounds), by) if by else one_row_join(df, bounds)
+    j = df.join(bounds, by) if by else one_row_join(df, bounds)
     width = (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))
     idx = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
         F.least(F.floor((v - F.col("_mn")) / width), F.lit(bins - 1)))

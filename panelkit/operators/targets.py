@@ -10,28 +10,12 @@ from pyspark.sql import functions as F
 from .util import one_row_join
 
 
-def equal_frequency_edges(train: DataFrame, q: int, value_col: str = "return",
-                          method: str = "exact", accuracy: int = 1_000_000) -> DataFrame:
+def equal_frequency_edges(train: DataFrame, q: int, value_col: str = "return") -> DataFrame:
     """One row `edges`: the q+1 linearly interpolated quantiles of the
     training values, duplicates dropped (pandas `qcut(..., duplicates='drop')`).
-
-    `exact` keeps every distinct value of the column in one aggregation
-    buffer; `approx` (`percentile_approx`, relative error 1/accuracy) has a
-    fixed-size sketch that merges map-side and is the choice for very large
-    training sets.
-    """
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    v = F.col(value_col)
-    if method == "distributed":
-        qs = distributed_quantiles(train, [i / q for i in range(q + 1)], value_col)
-        return qs.select(F.array_distinct("q").alias("edges"))
-    if method == "exact":
-        e = F.percentile(v, probs)
-    elif method == "approx":
-        e = F.percentile_approx(v, probs, accuracy).cast("array<double>")
-    else:
-        raise ValueError(f"unknown quantile method {method}")
-    return train.agg(F.array_distinct(e).alias("edges"))
+    Exact at every size, without gathering the column."""
+    qs = distributed_quantiles(train, [i / q for i in range(q + 1)], value_col)
+    return qs.select(F.array_distinct("q").alias("edges"))
 
 
 def equal_width_edges(train: DataFrame, n: int, value_col: str = "return",

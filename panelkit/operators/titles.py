@@ -16,24 +16,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
 
-SALT_BUCKETS = 64
-# Candidates per salt bucket of a day in the training draws: a day with more
-# is split into ceil(m / CANDIDATES_PER_BUCKET) buckets.
-CANDIDATES_PER_BUCKET = 50_000
-
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-          salt: Column | None = None, buckets: int = SALT_BUCKETS,
-          rank_col: str = "_rank") -> DataFrame:
+          salt: Column | None = None, rank_col: str = "_rank") -> DataFrame:
     """Exact top-k rows per group by `order` (a total order), with rank 1..k.
 
     With `salt` (a per-row hash), the first pass keeps k rows per
-    (group, salt bucket) - so no task sees more than one bucket of a hot
-    group - and the second pass ranks the survivors.
+    (group, salt bucket), as many buckets as the session has shuffle
+    partitions, so a hot group is spread over all of them; the second pass
+    ranks the survivors.
     """
     group = list(group)
     cur = df
     if salt is not None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         cur = cur.withColumn("_salt", F.pmod(salt, F.lit(buckets)))
         w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
         cur = cur.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k) \
@@ -80,44 +76,6 @@ def sampling_key(seed: int, weight: Column, *ids) -> Column:
     return -F.log(hash_uniform(seed, *ids)) / weight
 
 
-def sample_titles_per_window_day(window_days: DataFrame, cand: DataFrame, k: int, seed: int,
-                                 group: Sequence[str], day_counts_df: DataFrame,
-                                 day_keys: Sequence[str] = ("split", "date"),
-                                 count_col: str = "keywords_count", order_col: str = "ord",
-                                 per_bucket: int = CANDIDATES_PER_BUCKET) -> DataFrame:
-    """Training pick: per (window, replica, day) draw k candidates without
-    replacement with p proportional to ln(1 + count).
-
-    `window_days` has one row per window-day (`group` + `day_keys`), `cand`
-    one row per candidate of a day, `day_counts_df` the candidates per day
-    (`_m`, one row per day).  The pairing is a shuffle join on (day, salt): a
-    day's candidates are spread over ceil(m / per_bucket) buckets by a hash of
-    their id and its window-day rows are copied to each bucket, so a day with
-    a large share of all articles is split over many tasks while an ordinary
-    day stays one bucket (no copies).  The first
-    top-k pass runs inside the join's partitions (its keys contain the join
-    keys, so no shuffle); the second ranks at most `buckets * k` survivors
-    per group.  Titles are re-attached to the k winners only.
-    """
-    day_keys, group = list(day_keys), list(group)
-    nb = F.broadcast(day_counts_df.select(
-        *day_keys, F.greatest(F.lit(1), F.ceil(F.col("_m") / F.lit(per_bucket))).cast("int").alias("_nb")))
-    wd = window_days.join(nb, day_keys).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
-    cs = cand.join(nb, day_keys).select(*day_keys, order_col, count_col,
-                                        F.pmod(F.xxhash64(order_col), F.col("_nb")).cast("int").alias("_salt"))
-    pairs = wd.join(cs.hint("shuffle_hash"), [*day_keys, "_salt"])
-    key = sampling_key(seed, F.log1p(F.col(count_col).cast("double")), *group, order_col)
-    pairs = pairs.withColumn("_key", key)
-    order = [F.col("_key"), F.col(order_col)]
-    w1 = Window.partitionBy(*day_keys, "_salt", *[g for g in group if g not in day_keys]).orderBy(*order)
-    first = pairs.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    win = first.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= k) \
-               .select(*dict.fromkeys([*group, *day_keys]), order_col, "_rank")
-    return win.join(cand.select(*day_keys, order_col, "title"), [*day_keys, order_col])
-
-
 def replicate_samples(df: DataFrame, n: int, col: str = "replica") -> DataFrame:
     """n copies of every row, numbered 0..n-1 (one row when n <= 1)."""
     n = max(1, int(n))
@@ -195,54 +153,47 @@ def weight_intervals(cand: DataFrame, day_keys: Sequence[str], count_col: str =
                     "_wsum")
 
 
-def sample_titles_by_cdf(window_days: DataFrame, cand: DataFrame, k: int, seed: int,
-                         group: Sequence[str], day_keys: Sequence[str] = ("split", "date"),
-                         count_col: str = "keywords_count", order_col: str = "ord") -> DataFrame:
-    """Training pick with the same law as `sample_titles_per_window_day`
-    (k draws without replacement, p proportional to ln(1 + count)) in
-    O(draws + candidates) instead of O(window-days x candidates).
-
-    Successive sampling: slot j draws r' uniformly from the mass not picked
-    yet and maps it past the picked slices (r -> r - lo + hi for each picked
-    slice starting at or before r, in slice order), which lands in an unpicked
-    slice with probability proportional to its weight.  The slice holding r
-    is found by an equi-join on (day, bucket of the weight axis): each
-    candidate is copied into the buckets its slice overlaps (about two per
-    candidate with m buckets per day), each draw looks up one bucket.  One
-    join round per slot (k rounds)."""
+def sample_titles(window_days: DataFrame, cand: DataFrame, k: int, seed: int, group: Sequence[str],
+                  day_keys: Sequence[str] = ("split", "date"), count_col: str = "keywords_count",
+                  order_col: str = "ord") -> DataFrame:
+    """Training pick: per (window, replica, day) draw k candidates without
+    replacement, p proportional to ln(1 + count) - successive sampling - as
+    (group, day_keys, order_col, _rank, title), min(k, candidates) rows each.
+
+    Drawing with replacement and passing over repeats is successive sampling.
+    So every window-day makes 2k + 8 repeatable draws at once; a draw's slice of
+    the day's weight axis is found by an equi-join on (day, bucket of the axis),
+    each candidate standing in the buckets its slice overlaps; the first k
+    different candidates stay.  Where the draws hold fewer (few candidates, or
+    one with most of the weight), the rest is drawn from the candidates not yet
+    picked by the k smallest keys -ln(u)/w, which continues the same law.  A
+    draw that rounding puts past an edge is passed over like a repeat."""
     day_keys, group = list(day_keys), list(group)
+    ids = list(dict.fromkeys([*group, *day_keys]))
     iv = weight_intervals(cand, day_keys, count_col, order_col)
     m = iv.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("_m"))
     iv = iv.join(m, day_keys).withColumn("_d", F.col("_wsum") / F.col("_m"))
     last_b = F.col("_m") - 1
-    reps = iv.select(*day_keys, order_col, "_lo", "_hi", "_wsum", "_d", F.explode(F.sequence(
+    reps = iv.select(*day_keys, order_col, "_lo", "_hi", F.explode(F.sequence(
         F.least(F.floor(F.col("_lo") / F.col("_d")), last_b).cast("long"),
         F.least(F.floor(F.col("_hi") / F.col("_d")), last_b).cast("long"))).alias("_b"))
     day_info = iv.select(*day_keys, "_wsum", "_d", "_m").distinct()
-    cur = window_days.join(day_info, day_keys).withColumn(
-        "_picked", F.array().cast("array<struct<lo:double,hi:double,ord:bigint>>"))
-    rank_cols = []
-    for j in range(1, k + 1):
-        u = hash_uniform(seed, *group, F.lit(j))
-        rem = F.col("_wsum") - F.aggregate("_picked", F.lit(0.0), lambda a, p: a + (p["hi"] - p["lo"]))
-        r0 = u * rem
-        r = F.aggregate(F.array_sort("_picked"), r0,
-                        lambda a, p: F.when(a >= p["lo"], a - p["lo"] + p["hi"]).otherwise(a))
-        step = cur.withColumn("_r", r).withColumn(
-            "_b", F.least(F.floor(F.col("_r") / F.col("_d")), F.col("_m") - 1).cast("long"))
-        hit = step.join(reps.select(*day_keys, "_b", order_col, F.col("_lo").alias("_clo"),
-                                    F.col("_hi").alias("_chi")), [*day_keys, "_b"])
-        # the slice holding r; r past the last edge (rounding) takes the last slice
-        hit = hit.filter((F.col("_r") >= F.col("_clo")) &
-                         ((F.col("_r") < F.col("_chi")) | ((F.col("_chi") == F.col("_wsum")) & (F.col("_r") >= F.col("_wsum")))))
-        hit = hit.filter(~F.exists("_picked", lambda p: p["ord"] == F.col(order_col)))
-        pick = F.struct(F.col("_clo").alias("lo"), F.col("_chi").alias("hi"), F.col(order_col).cast("bigint").alias("ord"))
-        cur = hit.select(*group, *[d for d in day_keys if d not in group], "_wsum", "_d", "_m",
-                         F.concat("_picked", F.array(pick)).alias("_picked"))
-        # days with fewer candidates than slots never reach here (only days with m > k are drawn)
-        rank_cols.append(j)
-    out = cur.select(*dict.fromkeys([*group, *day_keys]),
-                     F.posexplode("_picked").alias("_pos", "_p"))
-    out = out.select(*dict.fromkeys([*group, *day_keys]), F.col("_p.ord").alias(order_col),
-                     (F.col("_pos") + 1).alias("_rank"))
-    return out.join(cand.select(*day_keys, order_col, "title"), [*day_keys, order_col])
+    open_days = window_days.select(*ids).join(day_info, day_keys)
+    draws = (open_days.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(2 * k + 8))))
+             .withColumn("_r", hash_uniform(seed, *group, F.col("_j")) * F.col("_wsum"))
+             .withColumn("_b", F.least(F.floor(F.col("_r") / F.col("_d")), F.col("_m") - 1).cast("long")))
+    hit = (draws.join(reps, [*day_keys, "_b"]).filter("_r >= _lo and _r < _hi")
+           .groupBy(*ids, order_col).agg(F.min("_j").alias("_j")))
+    picked = (hit.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_j")))
+              .filter(F.col("_rank") <= k).select(*ids, order_col, "_rank"))
+    got = picked.groupBy(*group).agg(F.count(F.lit(1)).alias("_got"))
+    short = (open_days.join(got, group, "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
+             .filter(F.col("_got") < F.least(F.lit(k), F.col("_m"))).select(*ids, "_got"))
+    w = F.log1p(F.col(count_col).cast("double"))
+    rest = (short.join(cand.select(*day_keys, order_col, count_col), day_keys)
+            .join(picked.select(*group, order_col), [*group, order_col], "left_anti"))
+    rest = (top_k(rest.withColumn("_key", sampling_key(seed, w, *group, order_col)), group,
+                  [F.col("_key"), F.col(order_col)], k, salt=F.xxhash64(order_col), rank_col="_at")
+            .withColumn("_rank", F.col("_got") + F.col("_at")).filter(F.col("_rank") <= k)
+            .select(*ids, order_col, F.col("_rank").cast("int").alias("_rank")))
+    return picked.unionByName(rest).join(cand.select(*day_keys, order_col, "title"), [*day_keys, order_col])

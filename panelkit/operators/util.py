@@ -7,10 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest row count a side may have to be broadcast when its size is only
-# known from a bound (calendar days, frames, labels ...), not from statistics.
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def as_date(v) -> dt.date:
     if isinstance(v, dt.datetime):
@@ -20,13 +16,6 @@ def as_date(v) -> dt.date:
     return dt.date.fromisoformat(str(v))
 
 
-def broadcast_if_bounded(df: DataFrame, row_bound: int,
-                         limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the caller can prove `row_bound` rows at most;
-    beyond the limit the join is left to a shuffle (and to AQE)."""
-    return F.broadcast(df) if row_bound <= limit else df
-
-
 def one_row_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (exactly one row) to every row.
 

@@ -25,7 +25,7 @@ AGGREGATIONS = ("first", "last", "mean", "max", "min")
 def _with_bounds(panel: DataFrame, by: Sequence[str]) -> DataFrame:
     bounds = panel.groupBy(*by).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     if by:
-        return panel.join(F.broadcast(bounds), on=list(by))
+        return panel.join(bounds, on=list(by))
     return one_row_join(panel, bounds)
 
 
@@ -67,12 +67,14 @@ def sliding_windows(panel: DataFrame, lookback: int, horizon: int,
     long = window_positions(panel, w, by)
     t = target_index(lookback, horizon, aggregation)
     keys = [*by, "ticker", SAMPLE_ID]
-    sell_ok = F.col(selling_at).isNotNull()
+    # valid starts follow from the panel: no second copy of the windows
+    sold = _with_bounds(panel, by).filter(F.col(selling_at).isNotNull())
+    pos = F.datediff("date", "_lo")
     if t is not None:
-        ok = long.filter((F.col(DAY_IDX) == t) & sell_ok).select(*keys)
+        ok = sold.select(*by, "ticker", (pos - t).alias(SAMPLE_ID))
     else:
-        ok = long.filter((F.col(DAY_IDX) >= lookback) & sell_ok).select(*keys).distinct()
-    return long.join(ok, on=keys, how="left_semi")
+        ok = sold.select(*by, "ticker", F.explode(F.sequence(pos - (w - 1), pos - lookback)).alias(SAMPLE_ID)).distinct()
+    return long.join(ok.filter(F.col(SAMPLE_ID) >= 0), on=keys, how="left_semi")
 
 
 def sliding_windows_frame(panel: DataFrame, window: int, metric: str,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values that must equal the reference's defaults (main experiment):
 # labels of the five target bins, lowest to highest.
@@ -49,17 +49,13 @@ class Params:
     num_bins: int = 5
     labels: tuple[str, ...] = DEFAULT_LABELS
     strategy: str = "equal_frequency"             # or equal_width
-    quantile_method: str = "exact"                # exact|distributed|approx|auto
-    exact_quantile_limit: int = 20_000_000        # auto: exact up to this many train rows
-    quantile_accuracy: int = 1_000_000
     max_titles_per_day: int = 2
     min_titles_per_window: int = 5
     replicas: int = 2
-    draw_method: str = "auto"                     # keys|cdf|auto (cdf when k <= 8)
+    trading_on_weekend: bool = False              # carry weekday bars over weekends first
     null_target_limit: float = 0.05
     seed: int = 0
     train_split: str = "train"
-    extra: dict = field(default_factory=dict, compare=False)
 
     @property
     def window(self) -> int:

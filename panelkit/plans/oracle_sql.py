@@ -27,7 +27,7 @@ FROM ({BRAND_LINES}) GROUP BY 1, 2"""
 def dated_news(base: str = "1995-01-02", days: int = 120) -> str:
     return f"""SELECT DATE '{base}' + CAST(doc_id % {days} AS INTEGER) AS date,
   concat('doc://', CAST(doc_id AS VARCHAR)) AS url, source,
-  CASE WHEN doc_id % 97 = 5 THEN NULL ELSE replace(substr(text, 1, 40), chr(10), ' ') END AS title,
+  CASE WHEN doc_id % 97 = 5 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
   CASE WHEN doc_id % 89 = 7 THEN NULL ELSE text END AS article,
   doc_id AS ord
 FROM documents"""

@@ -24,17 +24,14 @@ from ..operators import bars as B
 from ..operators import news as N
 from ..operators import targets as TG
 from ..operators import titles as TT
-from ..operators.util import broadcast_if_bounded, frames_df, split_by_frames
+from ..operators.util import frames_df, split_by_frames
 from ..operators.windows import (DAY_IDX, SAMPLE_ID, agg_expr, return_exprs,
                                  target_index, window_positions)
 from ..params import Params
 from ..session import stage_table
 
-KEYS = ["split", "ticker", SAMPLE_ID, "replica"]
-
-
-def _frame_days(params: Params) -> int:
-    return sum((f.end - f.start).days + 1 for f in params.frames)
+WINDOW = ["split", "ticker", SAMPLE_ID]
+KEYS = [*WINDOW, "replica"]
 
 
 def prepare_bars(bars: DataFrame, params: Params, frames_tbl: DataFrame) -> DataFrame:
@@ -42,6 +39,8 @@ def prepare_bars(bars: DataFrame, params: Params, frames_tbl: DataFrame) -> Data
     if params.tickers is not None:
         b = b.filter(F.col("ticker").isin(list(params.tickers)))
     b = B.drop_incomplete_bars(b)           # melted store rows with a NULL are dropped
+    if params.trading_on_weekend:
+        b = B.weekend_ffill(b, min(f.start for f in params.frames), max(f.end for f in params.frames))
     return split_by_frames(b, frames_tbl)
 
 
@@ -64,23 +63,22 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     L, H, W, k = params.lookback, params.horizon, params.window, params.max_titles_per_day
     train = params.train_split
     fr = frames_df(spark, params.frames)
-    day_bound = _frame_days(params)
 
     panel = B.calendar_fill(prepare_bars(bars, params, fr), by=["split"])
     if materialize:
         panel = stage_table(panel, "panel")
     long = window_positions(panel, W, by=["split"])
-    reps = max(1, params.replicas)
-    long = long.withColumn(
-        "replica", F.explode(F.sequence(F.lit(0), F.when(F.col("split") == train, F.lit(reps - 1))
-                                         .otherwise(F.lit(0)))))
+    # replicas of a training window differ in their drawn titles only, so they
+    # are made for the draws and, after the group-by, for its one row a window
+    replicas = F.explode(F.sequence(F.lit(0), F.when(F.col("split") == train, F.lit(max(1, params.replicas) - 1))
+                                    .otherwise(F.lit(0))))
 
     # --- titles --------------------------------------------------------
     nws = prepare_news(news, params, fr)
     cand = TT.titles_nonzero(nws).select("split", "date", "ord", "title", "keywords_count")
     if materialize:
         cand = stage_table(cand, "title_candidates")
-    counts = broadcast_if_bounded(TT.day_counts(cand, by=["split"]), day_bound)
+    counts = TT.day_counts(cand, by=["split"])
     # per-date lists: every evaluation day, and training days with k or fewer
     # candidates (the same list for every window) - one top-k pass for both
     fixed = cand.join(counts, ["split", "date"]) \
@@ -91,24 +89,15 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
                         .select("split", "date", F.lit(None).cast("array<string>").alias("titles"),
                                 F.lit(True).alias("_draw"))
     day_lists = day_lists.withColumn("_draw", F.lit(False)).unionByName(sample_days)
-    day_lists = broadcast_if_bounded(day_lists, day_bound)
 
     x = long.filter(F.col(DAY_IDX) < L)
-    window_days = x.select("split", "ticker", SAMPLE_ID, "replica", DAY_IDX, "date") \
-                   .join(day_lists.filter("_draw").select("split", "date"), ["split", "date"], "left_semi")
+    window_days = x.select("split", "ticker", SAMPLE_ID, DAY_IDX, "date") \
+                   .join(day_lists.filter("_draw").select("split", "date"), ["split", "date"], "left_semi") \
+                   .withColumn("replica", replicas)
     group = ["split", "ticker", SAMPLE_ID, "replica", DAY_IDX]
-    method = params.draw_method if params.draw_method != "auto" else ("cdf" if k <= 8 else "keys")
-    if method == "cdf":
-        # O(draws + candidates): k rounds of a bucketed interval join
-        drawn = TT.sample_titles_by_cdf(window_days, cand.filter(F.col("split") == train), k,
-                                        params.seed, group=group)
-    else:
-        # O(window-days x candidates): one key per pair, salted top-k
-        drawn = TT.sample_titles_per_window_day(
-            window_days, cand.filter(F.col("split") == train), k, params.seed, group=group,
-            day_counts_df=counts.filter(F.col("split") == train))
-    drawn_rows = drawn.select(*KEYS, F.struct(F.col(DAY_IDX).alias("d"), F.col("_rank").alias("r"),
-                                              F.col("title").alias("t")).alias("_drawn"))
+    drawn = TT.sample_titles(window_days, cand.filter(F.col("split") == train), k, params.seed, group=group)
+    drawn_days = drawn.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(DAY_IDX).alias("d"), F.col("_rank").alias("r"), F.col("title").alias("t")))).alias("_d"))
 
     # --- one group-by per window --------------------------------------
     feats = list(params.numerical_features)
@@ -121,18 +110,9 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
         if f in drop:
             v = F.when(last_day, F.lit(None).cast("double")).otherwise(v)
         rows = rows.withColumn(f"_m_{f}", F.when(F.col(DAY_IDX) < L, v))
-    rows = rows.withColumn("_drawn", F.lit(None).cast(drawn_rows.schema["_drawn"].dataType))
     in_x = F.col(DAY_IDX) < L
     prices = list(dict.fromkeys([params.buying_at, params.selling_at]))
-    rows = rows.select(*KEYS, DAY_IDX, "date", *prices,
-                       *[f"_m_{f}" for f in feats], "_day_titles", "_drawn")
-    drawn_full = drawn_rows.select(
-        *KEYS, F.lit(None).cast("int").alias(DAY_IDX), F.lit(None).cast("date").alias("date"),
-        *[F.lit(None).cast(rows.schema[c].dataType).alias(c)
-          for c in prices],
-        *[F.lit(None).cast("double").alias(f"_m_{f}") for f in feats],
-        F.lit(None).cast("array<string>").alias("_day_titles"), "_drawn")
-    allrows = rows.unionByName(drawn_full)
+    rows = rows.select(*WINDOW, DAY_IDX, "date", *prices, *[f"_m_{f}" for f in feats], "_day_titles")
 
     t_idx = target_index(L, H, params.aggregation)
     sell_ok = F.col(params.selling_at).isNotNull()
@@ -144,13 +124,14 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     lookback_struct = F.when(in_x, F.struct(
         F.col(DAY_IDX).alias("_o"), F.col("date"),
         *[F.col(f"_m_{f}").alias(f) for f in feats], F.col("_day_titles").alias("titles")))
-    g = allrows.groupBy(*KEYS).agg(
+    g = rows.groupBy(*WINDOW).agg(
         valid.alias("_valid"),
         rexp["buy_value"].alias("_buy"), rexp["sell_value"].alias("_sell"),
         *[agg_expr(f"_m_{f}", params.relative_to).alias(f"_ref_{f}") for f in feats],
         F.array_sort(F.collect_list(lookback_struct)).alias("_x"),
-        F.array_sort(F.collect_list("_drawn")).alias("_d"),
     )
+    g = (g.filter("_valid").withColumn("replica", replicas).join(drawn_days, KEYS, "left")
+         .withColumn("_d", F.coalesce("_d", F.array().cast(drawn_days.schema["_d"].dataType))))
 
     def _scaled(f):
         return lambda s: safe_div(s[f], F.col(f"_ref_{f}"))
@@ -159,7 +140,7 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
         drawn_today = F.transform(F.filter(F.col("_d"), lambda d: d["d"] == s["_o"]), lambda d: d["t"])
         return F.coalesce(s["titles"], drawn_today)
 
-    out = g.filter("_valid").select(
+    out = g.select(
         *KEYS,
         F.transform("_x", lambda s: s["date"]).alias("date"),
         *[F.transform("_x", _scaled(f)).alias(f) for f in feats],
@@ -178,14 +159,7 @@ def label(samples_df: DataFrame, params: Params) -> DataFrame:
     replication), applied to every split."""
     train = samples_df.filter(F.col("split") == params.train_split)
     if params.strategy == "equal_frequency":
-        method = params.quantile_method
-        if method == "auto":
-            # percentile holds every distinct value in one buffer; past the
-            # limit use the exact distributed method (one count of staged rows)
-            n = train.count()
-            method = "exact" if n <= params.exact_quantile_limit else "distributed"
-        edges = TG.equal_frequency_edges(train, params.num_bins, method=method,
-                                         accuracy=params.quantile_accuracy)
+        edges = TG.equal_frequency_edges(train, params.num_bins)
     elif params.strategy == "equal_width":
         edges = TG.equal_width_edges(train, params.num_bins)
     else:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,12 +46,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage tables.
 
-    Read from `spark.checkpoint.dir`; only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    Read from `spark.checkpoint.dir`.  Where it is unset, a local session gets a
+    fresh scratch folder; on a cluster a machine's own folder would lose what
+    other executors write, so that is an error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="panelkit-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -67,8 +71,7 @@ def stage_table(df, name: str):
     it back: cuts the lineage (a lost executor re-reads files instead of
     replaying the plan) with a single pass - `Dataset.checkpoint` computes
     an uncached plan twice (once to count, once to write)."""
-    import uuid
     spark = df.sparkSession
     path = stage_path(spark, f"stage/{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)

@@ -71,7 +71,7 @@ def dated_news(spark: SparkSession, sf_dir: str, base: str = "1995-01-02",
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source"),
         F.when(F.col("doc_id") % 97 == 5, F.lit(None).cast("string"))
-        .otherwise(F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")))
+        .otherwise(F.substring_index("text", "\n", 1))
         .alias("title"),
         F.when(F.col("doc_id") % 89 == 7, F.lit(None).cast("string"))
         .otherwise(F.col("text")).alias("article"),

@@ -32,9 +32,20 @@ def _pairs(spark, n_windows, weights, k=2, seed=0, parts=4):
                                       F.lit(0).alias("replica"), F.lit(0).alias("day_idx")).repartition(parts)
     cand = spark.createDataFrame([("train", D, i, f"t{i}", w) for i, w in enumerate(weights)],
                                  "split string, date date, ord long, title string, keywords_count int")
-    counts = cand.groupBy("split", "date").agg(F.count(F.lit(1)).alias("_m"))
-    return TT.sample_titles_per_window_day(wd, cand, k, seed, ["split", "ticker", "sample_id", "replica", "day_idx"],
-                                           counts, per_bucket=3)
+    return TT.sample_titles(wd, cand, k, seed, ["split", "ticker", "sample_id", "replica", "day_idx"])
+
+
+@pytest.mark.parametrize("k", [2, 9, 100])
+def test_every_window_day_gets_its_titles(spark, k):
+    # one candidate has nearly all the weight, so most draws repeat it
+    weights = [10 ** 9] + [1] * 120
+    rows = _pairs(spark, 20, weights, k=k).collect()
+    per = Counter(r.sample_id for r in rows)
+    assert len(per) == 20 and set(per.values()) == {k}
+    assert all(sorted(r._rank for r in rows if r.sample_id == s) == list(range(1, k + 1)) for s in per)
+    assert len({(r.sample_id, r.ord) for r in rows}) == len(rows)
+    few = _pairs(spark, 5, [3, 1, 2], k=k).collect()
+    assert set(Counter(r.sample_id for r in few).values()) == {min(k, 3)}
 
 
 def test_sampling_size_no_repeats_and_repeatable(spark):
@@ -95,31 +106,22 @@ def test_rank_within_matches_window_rank(spark):
 
 
 
-def _cdf(spark, n_windows, weights, k=2, seed=0, parts=4):
-    wd = spark.range(n_windows).select(F.lit("train").alias("split"), F.lit(D).alias("date"),
-                                      F.lit("T").alias("ticker"), F.col("id").alias("sample_id"),
-                                      F.lit(0).alias("replica"), F.lit(0).alias("day_idx")).repartition(parts)
-    cand = spark.createDataFrame([("train", D, i, f"t{i}", w) for i, w in enumerate(weights)],
-                                 "split string, date date, ord long, title string, keywords_count int")
-    return TT.sample_titles_by_cdf(wd, cand, k, seed, ["split", "ticker", "sample_id", "replica", "day_idx"])
-
-
-def test_cdf_draws_exactly_k_distinct_and_repeatable(spark):
+def test_draws_exactly_k_distinct_and_repeatable(spark):
     weights = [1, 2, 3, 5, 8, 13, 1, 1]
-    a = _cdf(spark, 300, weights, k=3).collect()
+    a = _pairs(spark, 300, weights, k=3).collect()
     per = Counter(r.sample_id for r in a)
     assert len(per) == 300 and set(per.values()) == {3}
     assert all(len({r.ord for r in a if r.sample_id == s}) == 3 for s in per)
-    b = _cdf(spark, 300, weights, k=3, parts=9).collect()
+    b = _pairs(spark, 300, weights, k=3, parts=9).collect()
     assert sorted((r.sample_id, r.ord, r._rank) for r in a) == sorted((r.sample_id, r.ord, r._rank) for r in b)
 
 
-def test_cdf_draws_follow_successive_sampling(spark):
+def test_draws_follow_successive_sampling(spark):
     import math
     weights = [1, 1, 4, 20, 60]
     w = [math.log1p(x) for x in weights]
     n = 6000
-    rows = _cdf(spark, n, weights, k=2).collect()
+    rows = _pairs(spark, n, weights, k=2).collect()
     first = Counter(r.ord for r in rows if r._rank == 1)
     for i, wi in enumerate(w):
         assert abs(first[i] / n - wi / sum(w)) < 0.025
