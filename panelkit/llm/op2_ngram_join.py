@@ -577,6 +577,7 @@ def _link_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_c
 def _search_cells(cells: DataFrame, texts: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     # a document id that occurs in several rows: any one of its texts would do
     # for the join's shape, but each is searched, as each has its own set
-    rows = cells.join(texts, cells.rep == texts.id).select("pivot", "cell", "rep", "role", "text")
+    # the cells grow with the corpus, so they are not for broadcasting
+    rows = cells.join(texts.hint("merge"), cells.rep == texts.id).select("pivot", "cell", "rep", "role", "text")
     return (rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell")
             .mapInArrow(_search(width, percent, whole), "pivot bigint, a bigint, b bigint"))
