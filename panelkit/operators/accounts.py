@@ -64,20 +64,27 @@ def deposits_until(first_date, d, initial: float, monthly: float):
     return F.lit(float(initial)) + extra
 
 
+def account_days(trades: DataFrame) -> DataFrame:
+    """(account, date, _first): every calendar day from an account's first order
+    to its last."""
+    span = trades.groupBy("account").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    return span.select("account", F.explode(F.sequence("_first", "_last")).alias("date"), "_first")
+
+
 def daily_cash(trades: DataFrame, bars: DataFrame, buying_at: str = "open", selling_at: str = "close",
                initial: float = 0.0, monthly: float = 0.0) -> DataFrame:
-    """(account, date, cash, total_deposits) after each trading day: deposits
-    minus buy costs (at `buying_at`) plus sell proceeds (at `selling_at`)."""
+    """(account, date, cash, total_deposits) at the end of every calendar day:
+    deposits minus buy costs (at `buying_at`) plus sell proceeds (at
+    `selling_at`)."""
     p = _priced(trades, bars, buying_at, selling_at)
     flow = F.when(F.col("side") == "buy", -F.col("shares") * F.col("buy_px")) \
             .otherwise(F.col("shares") * F.col("sell_px"))
     d = p.groupBy("account", "date").agg(F.sum(flow).alias("_flow"))
-    first = trades.groupBy("account").agg(F.min("date").alias("_first"))
+    days = account_days(trades).join(d, ["account", "date"], "left")
     w = Window.partitionBy("account").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dep = deposits_until("_first", "date", initial, monthly)
-    return (d.join(first, "account")
-             .select("account", "date", dep.alias("total_deposits"),
-                     (dep + F.sum("_flow").over(w)).alias("cash")))
+    return days.select("account", "date", dep.alias("total_deposits"),
+                       (dep + F.sum(F.coalesce("_flow", F.lit(0.0))).over(w)).alias("cash"))
 
 
 def ledger_positions(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
@@ -92,10 +99,12 @@ def ledger_positions(trades: DataFrame, bars: DataFrame, buying_at: str = "open"
 def order_checks(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
                  selling_at: str = "close", initial: float = 0.0, monthly: float = 0.0) -> DataFrame:
     """Orders the account could not execute, with the rule broken:
-    non_positive shares, not_owned / insufficient_shares on sells,
-    insufficient_cash on buys (cash after the day's sells and the earlier buys
-    of the day, buys taken in symbol order).  State assumes every order in
-    the table executes."""
+    non_positive shares, not_owned / insufficient_shares on sells (holdings
+    after the earlier sells of the day), insufficient_cash on buys (cash after
+    the day's sells and its earlier buys, taken in symbol order).  Several
+    orders of one symbol and day go by `order_id`, where the table has it, else
+    by size.  State assumes every order in the table executes."""
+    order = ["order_id"] if "order_id" in trades.columns else []
     pos = daily_positions(trades)
     w_prev = Window.partitionBy("account", "symbol").orderBy("date")
     held_before = pos.select("account", "symbol", "date",
@@ -114,7 +123,7 @@ def order_checks(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
     sells = p.filter(F.col("side") == "sell").groupBy("account", "date") \
              .agg(F.sum(F.col("shares") * F.col("sell_px")).alias("_proceeds"))
     buys = p.filter(F.col("side") == "buy")
-    w_day = Window.partitionBy("account", "date").orderBy("symbol") \
+    w_day = Window.partitionBy("account", "date").orderBy("symbol", *order, "shares") \
                   .rowsBetween(Window.unboundedPreceding, -1)
     buys = buys.withColumn("_spent_before", F.coalesce(F.sum(F.col("shares") * F.col("buy_px")).over(w_day),
                                                        F.lit(0.0)))
@@ -122,13 +131,17 @@ def order_checks(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
             .withColumn("cash_available", F.col("cash_open") + F.coalesce("_proceeds", F.lit(0.0))
                         - F.col("_spent_before")))
     buy_bad = buys.select(
-        "account", "date", "symbol", "side", "shares",
+        "account", "date", "symbol", *order, "side", "shares",
         F.when(F.col("shares") <= 0, F.lit("non_positive"))
          .when(F.col("shares") * F.col("buy_px") > F.col("cash_available"), F.lit("insufficient_cash"))
          .alias("violation"))
-    s = p.filter(F.col("side") == "sell").join(held_before, ["account", "symbol", "date"], "left")
+    w_sold = Window.partitionBy("account", "symbol", "date").orderBy(*order, "shares") \
+                   .rowsBetween(Window.unboundedPreceding, -1)
+    s = (p.filter(F.col("side") == "sell").withColumn("_sold_before", F.coalesce(F.sum("shares").over(w_sold), F.lit(0)))
+         .join(held_before, ["account", "symbol", "date"], "left")
+         .withColumn("held_before", F.col("held_before") - F.col("_sold_before")))
     sell_bad = s.select(
-        "account", "date", "symbol", "side", "shares",
+        "account", "date", "symbol", *order, "side", "shares",
         F.when(F.col("shares") <= 0, F.lit("non_positive"))
          .when(F.col("held_before") <= 0, F.lit("not_owned"))
          .when(F.col("held_before") < F.col("shares"), F.lit("insufficient_shares"))
@@ -153,13 +166,12 @@ def monthly_deposits(trades: DataFrame, initial: float, monthly: float) -> DataF
 
 
 def positions_on_days(trades: DataFrame, days: DataFrame) -> DataFrame:
-    """Holdings of every symbol an account has traded, on each requested
-    (account, date): each position change is valid until the next one; the
-    validity spans are expanded only over the account's requested days."""
+    """Non-zero holdings on each requested (account, date): each position change
+    is valid until the next one; only spans that hold something are expanded."""
     pos = daily_positions(trades)
     w = Window.partitionBy("account", "symbol").orderBy("date")
     last = days.groupBy("account").agg(F.max("date").alias("_last"))
-    spans = (pos.withColumn("_next", F.lead("date").over(w)).join(last, "account")
+    spans = (pos.withColumn("_next", F.lead("date").over(w)).filter(F.col("shares") != 0).join(last, "account")
              .select("account", "symbol", "shares",
                      F.explode(F.sequence("date", F.coalesce(F.date_sub("_next", 1), F.col("_last"))))
                      .alias("date")))
@@ -168,10 +180,9 @@ def positions_on_days(trades: DataFrame, days: DataFrame) -> DataFrame:
 
 def portfolio_value(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
                     selling_at: str = "close", initial: float = 0.0, monthly: float = 0.0) -> DataFrame:
-    """Per account and trading day: cash, holdings at the as-of selling price,
+    """Per account and calendar day: cash, holdings at the as-of selling price,
     total value and deposits so far."""
-    days = trades.select("account", "date").distinct()
-    held = positions_on_days(trades, days).filter(F.col("shares") != 0)
+    held = positions_on_days(trades, account_days(trades))
     priced = asof_prices(bars, held.withColumnRenamed("symbol", "ticker"), selling_at, out="px")
     hv = priced.groupBy("account", "date").agg(F.sum(F.col("shares") * F.col("px")).alias("holdings_value"))
     cash = daily_cash(trades, bars, buying_at, selling_at, initial, monthly)
@@ -189,8 +200,8 @@ def profit_metrics(values: DataFrame) -> DataFrame:
 
 def holdings_zero_fill(trades: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """(account, date, symbol, shares) for every configured symbol on every
-    trading day of the account, 0 when not held."""
-    days = trades.select("account", "date").distinct()
+    calendar day of the account, 0 when not held."""
+    days = account_days(trades).select("account", "date")
     held = positions_on_days(trades, days)
     grid = days.select("account", "date", F.explode(F.array(*[F.lit(s) for s in symbols])).alias("symbol"))
     return grid.join(held, ["account", "date", "symbol"], "left").select(

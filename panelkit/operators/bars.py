@@ -249,12 +249,26 @@ def asof_prices(bars: DataFrame, requests: DataFrame, metric,
     return requests.join(res, [key, date_col], "left")
 
 
+def unanswerable(bars: DataFrame, requests: DataFrame) -> DataFrame:
+    """(ticker, date, problem) of the distinct requests a store cannot answer:
+    a date outside the store's days, or a ticker the store does not have."""
+    span = bars.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    known = bars.select("ticker").distinct().withColumn("_known", F.lit(True))
+    asked = one_row_join(requests.select("ticker", "date").distinct(), span).join(known, "ticker", "left")
+    return (asked.withColumn("problem", F.when(F.col("_known").isNull(), "unknown ticker")
+                             .when((F.col("date") < F.col("_lo")) | (F.col("date") > F.col("_hi")), "date outside the store"))
+            .filter("problem is not null").select("ticker", "date", "problem"))
+
+
 def price_asof(bars: DataFrame, requests: DataFrame, metric: str = "close",
-               store_min=None) -> DataFrame:
+               store_min=None, strict: bool = False) -> DataFrame:
     """`get_price` as a join: price of (ticker, date) requests, stepping back
-    to the latest complete bar; requests before the store start get NULL."""
+    to the latest complete bar; requests before the store start get NULL.
+    `strict`: requests the store cannot answer raise instead."""
     if metric.lower() not in BAR_METRICS:
         raise ValueError(f"metric {metric} is not supported")
+    if strict and (bad := unanswerable(bars, requests).take(3)):
+        raise ValueError("no price for " + ", ".join(f"{r.ticker} on {r.date}: {r.problem}" for r in bad))
     out = asof_prices(bars, requests, metric.lower())
     if store_min is not None:
         out = out.withColumn("price", F.when(F.col("date") >= F.lit(as_date(store_min)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform, strip_ws
 from .prompts import sample_key
+from ..session import stage_table
 from .util import one_row_join
 
 # Price per 1000 tokens (training, inference) per model.
@@ -70,19 +71,26 @@ def _score_partition(scorer: Callable[[str, str], str], retries: int):
 
 
 def predict_batch(requests: DataFrame, cache: DataFrame, scorer: Callable[[str, str], str],
-                  labels: Sequence[str], retries: int = 3) -> tuple[DataFrame, DataFrame]:
+                  labels: Sequence[str], retries: int = 3,
+                  cache_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Completions for (model, prompt) requests.
 
     Cache hits are reused; the distinct misses go through `scorer` in
     Arrow batches (`mapInPandas`), each call tried up to `retries` times.
     Returns (answers, new_cache_rows): a failed call gives NULL and is not
     cached; an answer outside `labels` is kept in the cache but labelled NULL.
+    Each miss is scored once; with `cache_path` the new rows are appended to the
+    cache table there.  Of a cache's repeats the least completion is used.
     """
     misses = cache_misses(requests, cache)
-    scored = misses.mapInPandas(_score_partition(scorer, retries),
-                                "model string, prompt string, completion string")
+    # written once: answers and cache rows come from the same calls
+    scored = stage_table(misses.mapInPandas(_score_partition(scorer, retries),
+                                            "model string, prompt string, completion string"), "scored")
     fresh = scored.filter(F.col("completion").isNotNull())
-    known = cache.select("model", "prompt", "completion").unionByName(scored)
+    cached = cache.groupBy("model", "prompt").agg(F.min("completion").alias("completion"))
+    known = cached.unionByName(scored)
+    if cache_path is not None:
+        fresh.write.mode("append").parquet(cache_path)
     lab = F.array(*[F.lit(x) for x in labels])
     answers = requests.join(known, ["model", "prompt"], "left").withColumn(
         "label", F.when(F.array_contains(lab, F.col("completion")), F.col("completion")))

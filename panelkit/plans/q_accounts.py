@@ -23,7 +23,7 @@ from .q_prompts import PROMPT_SQL, _GT_SQL
 INITIAL, MONTHLY = 10000.0, 1000.0
 BUY_AT, SELL_AT = "open", "close"
 BUY_LABELS, SELL_LABELS = ("very good",), ("very bad",)
-ZERO_FILL_SYMBOLS = ("Brand#1", "Brand#2", "Brand#3")
+ZERO_FILL_SYMBOLS = tuple(f"Brand#{n}" for n in range(1, 26))
 
 
 def r0(c):
@@ -34,7 +34,7 @@ def _args(spark, sf):
     return FX.staged(FX.trades(spark, sf), "trades"), FX.staged(FX.brand_bars(spark, sf), "brand_bars")
 
 
-_DEP = (f"CAST({INITIAL} + {MONTHLY} * ((year(date) * 12 + month(date)) - (year(f) * 12 + month(f)) "
+_DEP = (f"CAST({INITIAL} + {MONTHLY} * ((year(days.date) * 12 + month(days.date)) - (year(f) * 12 + month(f)) "
         "+ CASE WHEN day(f) = 1 THEN 1 ELSE 0 END) AS DOUBLE)")
 
 LEDGER_SQL = S.with_(t=S.TRADES, b=S.BRAND_BARS)[:-1] + f""",
@@ -47,10 +47,10 @@ pos AS (SELECT account, symbol, date, CAST(sum(sum(CASE WHEN side = 'buy' THEN s
 fst AS (SELECT account, min(date) AS f FROM t GROUP BY account),
 flows AS (SELECT account, date, sum(CASE WHEN side = 'buy' THEN -shares * buy_px ELSE shares * sell_px END) AS flow
           FROM px GROUP BY account, date),
-cash AS (SELECT fl.account, fl.date, {_DEP} AS total_deposits,
-           {_DEP} + sum(flow) OVER (PARTITION BY fl.account ORDER BY fl.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash
-         FROM flows fl JOIN fst USING (account)),
-days AS (SELECT DISTINCT account, date FROM t),
+days AS (SELECT account, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM t GROUP BY account),
+cash AS (SELECT days.account, days.date, {_DEP} AS total_deposits,
+           {_DEP} + sum(coalesce(flow, 0)) OVER (PARTITION BY days.account ORDER BY days.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash
+         FROM days JOIN fst USING (account) LEFT JOIN flows fl ON fl.account = days.account AND fl.date = days.date),
 held AS (SELECT d.account, d.date, p.symbol, p.shares FROM days d
          JOIN (SELECT DISTINCT account, symbol FROM t) s ON s.account = d.account
          ASOF JOIN pos p ON p.account = d.account AND p.symbol = s.symbol AND d.date >= p.date)"""

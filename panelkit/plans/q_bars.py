@@ -212,14 +212,13 @@ def weekend_flag(spark, sf):
 
 
 @query("input_checks", S.with_(b=S.BRAND_BARS, t=S.TRADES) + """,
-st AS (SELECT ticker, min(date) AS first_date, max(date) AS last_date FROM b
-       WHERE date BETWEEN DATE '1995-01-02' AND DATE '1995-01-31' GROUP BY ticker),
+st AS (SELECT ticker, min(date) AS first_date, max(date) AS last_date FROM b GROUP BY ticker),
 asked AS (SELECT DISTINCT symbol AS ticker FROM t)
 SELECT a.ticker, st.ticker IS NOT NULL AS is_known, st.first_date, st.last_date
 FROM asked a LEFT JOIN st ON st.ticker = a.ticker""".replace("\n,", ","))
 def input_checks(spark, sf):
     from ..operators.quality import ticker_checks
-    store = B.price_slice(FX.brand_bars(spark, sf), "1995-01-02", "1995-01-31")
+    store = FX.brand_bars(spark, sf)
     asked = FX.trades(spark, sf).select(F.col("symbol").alias("ticker")).distinct()
     return ticker_checks(asked, store)
 

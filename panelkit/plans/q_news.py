@@ -30,10 +30,10 @@ def news_scan(spark, sf):
     return N.news_scan(spark, path, fmt="csv").select(*NEWS_COLS)
 
 
-@query("news_snapshot_write", S.with_(n=S.DATED_NEWS) + "SELECT date, url, source, title, ord FROM n")
+@query("news_snapshot_write", S.with_(n=S.DATED_NEWS) + "SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n")
 def news_snapshot_write(spark, sf):
-    back = ST.news_snapshot_write(_news(spark, sf).drop("article"), stage_path(spark, "news_snapshots"))
-    return back.select("date", "url", "source", "title", "ord")
+    back = ST.news_snapshot_write(_news(spark, sf), stage_path(spark, "news_snapshots"))
+    return back.select("date", "url", "source", "title", F.md5("article").alias("article_md5"), "ord")
 
 
 @query("missing_dates", S.with_(n=S.DATED_NEWS) + """
@@ -44,15 +44,16 @@ def missing_dates(spark, sf):
 
 
 @query("append_new_days", S.with_(n=S.DATED_NEWS) + """,
-st AS (SELECT date, url, source, title, ord FROM n WHERE date <= DATE '1995-02-28'),
-nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, ord FROM n WHERE date >= DATE '1995-02-15')
+st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n WHERE date <= DATE '1995-02-28'),
+nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1995-02-15')
 SELECT * FROM st UNION ALL SELECT * FROM nw WHERE date NOT IN (SELECT date FROM st)""")
 def append_new_days(spark, sf):
-    n = _news(spark, sf).select("date", "url", "source", "title", "ord")
+    n = _news(spark, sf).select("date", "url", "source", "title", "article", "ord")
     store = n.filter(F.col("date") <= F.lit("1995-02-28").cast("date"))
     new = n.filter(F.col("date") >= F.lit("1995-02-15").cast("date")) \
            .withColumn("url", F.replace("url", F.lit("doc://"), F.lit("new://")))
-    return N.append_new_days(store, new)
+    out = N.append_new_days(store, new)
+    return out.withColumn("article_md5", F.md5("article")).drop("article")
 
 
 @query("resume_point", S.with_(n=S.DATED_NEWS) + """
@@ -174,23 +175,24 @@ def paragraph_split(spark, sf):
 
 
 @query("append_new_days_stream", S.with_(n=S.DATED_NEWS) + """,
-st AS (SELECT date, url, source, title, ord FROM n WHERE date <= DATE '1995-02-28'),
-nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, ord FROM n WHERE date >= DATE '1995-02-15')
+st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n WHERE date <= DATE '1995-02-28'),
+nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1995-02-15')
 SELECT * FROM st UNION ALL SELECT * FROM nw WHERE date NOT IN (SELECT date FROM st)""")
 def append_new_days_stream(spark, sf):
     """The store is seeded with the days up to Feb 28; new day files (from
     Feb 15, overlapping) arrive in an incoming folder and are streamed in."""
-    from ..streaming.incremental import ingest_new_days
+    from ..streaming.incremental import commit_days, ingest_new_days
     root = ST.unique_path(stage_path(spark, "news_stream"), "run")
-    n = _news(spark, sf).select("date", "url", "source", "title", "ord")
+    n = _news(spark, sf).select("date", "url", "source", "title", "article", "ord")
     n.filter(F.col("date") <= F.lit("1995-02-28").cast("date")) \
      .write.partitionBy("date").parquet(f"{root}/store")
     new = n.filter(F.col("date") >= F.lit("1995-02-15").cast("date")) \
            .withColumn("url", F.replace("url", F.lit("doc://"), F.lit("new://")))
     new.write.parquet(f"{root}/incoming")
-    q = ingest_new_days(spark, f"{root}/incoming", new.schema, f"{root}/store", f"{root}/_checkpoint")
+    q = ingest_new_days(spark, f"{root}/incoming", new.schema, f"{root}/arrived", f"{root}/_checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/store").select("date", "url", "source", "title", "ord")
+    store = commit_days(spark, f"{root}/arrived", f"{root}/store", f"{root}/_base")
+    return store.select("date", "url", "source", "title", F.md5("article").alias("article_md5"), "ord")
 
 
 

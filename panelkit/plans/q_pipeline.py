@@ -134,8 +134,7 @@ def _sample_cols(ds):
 @query("dataset_write", _SAMPLE_SQL)
 def dataset_write(spark, sf):
     from ..sources.stores import dataset_write as write
-    path = stage_path(spark, "dataset_write")
-    back = write(_dataset(spark, sf), path)
+    back = write(_dataset(spark, sf), stage_path(spark, "datasets"), f"{sf} {brand_params()}")
     return _sample_cols(back)
 
 

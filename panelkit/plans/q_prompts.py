@@ -45,8 +45,8 @@ def _eval_samples(spark, sf):
     return _dataset(spark, sf).filter(F.col("split") != "train")
 
 
-def _prompts(spark, sf):
-    ds = _eval_samples(spark, sf)
+def _prompts(spark, sf, every=False):
+    ds = _dataset(spark, sf) if every else _eval_samples(spark, sf)
     return ds.select("split", "ticker", "sample_id", "replica", F.element_at("date", -1).alias("date"),
                      PT.sample_key().alias("index"), PT.prompt_text().alias("prompt"),
                      F.concat("target", F.lit("\n")).alias("completion"))
@@ -54,12 +54,12 @@ def _prompts(spark, sf):
 
 @query("float_list_text", PIPE_SQL + f"""
 SELECT fin.split, fin.ticker, fin.sample_id, {_fmt_list('open')} AS open_text, {_fmt_list('volume')} AS volume_text
-FROM fin JOIN x USING (split, ticker, sample_id, replica) WHERE fin.split <> 'train'
-GROUP BY fin.split, fin.ticker, fin.sample_id""")
+, fin.replica FROM fin JOIN x USING (split, ticker, sample_id, replica)
+GROUP BY fin.split, fin.ticker, fin.sample_id, fin.replica""")
 def float_list_text_q(spark, sf):
-    return _eval_samples(spark, sf).select("split", "ticker", "sample_id",
-                                           float_list_text("open").alias("open_text"),
-                                           float_list_text("volume").alias("volume_text"))
+    return _dataset(spark, sf).select("split", "ticker", "sample_id", "replica",
+                                      float_list_text("open").alias("open_text"),
+                                      float_list_text("volume").alias("volume_text"))
 
 
 @query("sample_key", PIPE_SQL + """
@@ -157,12 +157,12 @@ def predict_batch(spark, sf):
 
 
 @query("label_set_check", PROMPT_SQL + f""",
-seen AS (SELECT DISTINCT regexp_replace(completion, '^\\s+|\\s+$', '', 'g') AS label FROM prompts WHERE split <> 'train'),
+seen AS (SELECT DISTINCT regexp_replace(completion, '^\\s+|\\s+$', '', 'g') AS label FROM prompts),
 conf AS (SELECT unnest({S.labels_sql(LABELS)}) AS label)
 SELECT coalesce(seen.label, conf.label) AS label, seen.label IS NOT NULL AS in_data, conf.label IS NOT NULL AS in_config
 FROM seen FULL OUTER JOIN conf ON seen.label = conf.label""")
 def label_set_check(spark, sf):
-    return PD.label_set_check(_prompts(spark, sf), LABELS)
+    return PD.label_set_check(_prompts(spark, sf, every=True), LABELS)
 
 
 def _tok_sql(c):

@@ -210,12 +210,12 @@ dn AS ({_daily_news_sql()})
 SELECT p.date, p.ticker, round(p.open, 6) AS open, dn.n_titles, CAST(dn.kw AS BIGINT) AS kw
 FROM p LEFT JOIN dn ON dn.date = p.date""")
 def price_news_join(spark, sf):
-    j = panel(spark, sf).join(F.broadcast(_daily_news(spark, sf)), "date", "left")
+    j = panel(spark, sf).join(_daily_news(spark, sf), "date", "left")
     return j.select("date", "ticker", r6("open").alias("open"), "n_titles", "kw")
 
 
 @query("price_news_outer", S.with_(b=S.BRAND_BARS)[:-1] + f""",
-sl AS (SELECT * FROM b WHERE date BETWEEN DATE '1995-02-01' AND DATE '1995-06-30'),
+sl AS (SELECT * FROM b),
 bounds AS (SELECT min(date) AS lo, max(date) AS hi FROM sl),
 grid AS (SELECT t.ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
          FROM (SELECT DISTINCT ticker FROM sl) t, bounds),
@@ -224,6 +224,6 @@ dn AS ({_daily_news_sql()})
 SELECT coalesce(p.date, dn.date) AS date, p.ticker, round(p.open, 6) AS open, dn.n_titles, CAST(dn.kw AS BIGINT) AS kw
 FROM p FULL OUTER JOIN dn ON dn.date = p.date""")
 def price_news_outer(spark, sf):
-    p = B.calendar_fill(B.price_slice(FX.brand_bars(spark, sf), "1995-02-01", "1995-06-30"))
+    p = B.calendar_fill(FX.brand_bars(spark, sf))
     j = p.join(_daily_news(spark, sf), "date", "full")
     return j.select("date", "ticker", r6("open").alias("open"), "n_titles", "kw")

@@ -7,6 +7,7 @@ starts from files, not from the lineage that produced them.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 import uuid
 
@@ -42,10 +43,20 @@ def news_csv_read(spark: SparkSession, path: str) -> DataFrame:
             .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def dataset_write(ds: DataFrame, path: str) -> DataFrame:
-    """Write train/val/test once (partitioned by split); an existing dataset
-    is kept (`ignore`), like the reference's skip-if-present cache."""
-    ds.write.mode("ignore").partitionBy("split").parquet(path)
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write stands at `path` (its commit marker is there)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def dataset_write(ds: DataFrame, root: str, key: str) -> DataFrame:
+    """Write train/val/test once per `key` (what the dataset was made from: its
+    inputs and parameters), partitioned by split.  A finished write of the key is
+    kept and read; anything else there is replaced."""
+    path = os.path.join(root, hashlib.sha256(key.encode()).hexdigest()[:16])
+    if not is_complete(ds.sparkSession, path):
+        ds.write.mode("overwrite").partitionBy("split").parquet(path)
     return ds.sparkSession.read.parquet(path)
 
 

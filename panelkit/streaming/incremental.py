@@ -1,44 +1,49 @@
 """Incremental collection by day as Structured Streaming.
 
-The reference adds newly collected days to its news store and re-reads it
-(skipping days it already has).  Here new day files land in an incoming
-folder; a file-source stream appends, per micro-batch, only the rows of days
-the store does not hold yet.  The day filter makes a replayed micro-batch a
-no-op, so a restarted or retried query cannot duplicate a day, and the
-stream's checkpoint (in the shared checkpoint folder) records progress.
+New day files land in an incoming folder; the store takes only days it does not
+hold yet.  A day's files may arrive over several micro-batches, so the stream
+itself decides nothing about days:
+
+* `ingest_new_days` writes each micro-batch to its own folder of an `arrived`
+  table; a replayed micro-batch overwrites its folder, so nothing doubles.
+* `commit_days` moves whole days into the store: the days the store held before
+  this collection are written down once, all other arrived days overwrite their
+  partition.  Run again after a failure, or after more files, it gives the same
+  complete days.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stores import is_complete
+
+
+def ingest_new_days(spark: SparkSession, incoming_dir: str, schema: T.StructType, arrived_path: str,
+                    checkpoint_location: str, max_files_per_trigger: int | None = None):
+    """Start (and return) a stream that copies the new files of `incoming_dir`
+    to the arrived table; `availableNow` processes what is there and stops, a
+    scheduler re-runs it when new days arrive."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{arrived_path}/batch={batch_id}")
 
-def _append_batch(store_path: str, partition_col: str = "date"):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            present = spark.read.parquet(store_path).select(partition_col).distinct()
-            fresh = batch.join(present, partition_col, "left_anti")
-        except Exception as e:  # noqa: BLE001 - first batch: no store yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-            fresh = batch
-        fresh.write.mode("append").partitionBy(partition_col).parquet(store_path)
-    return run
-
-
-def ingest_new_days(spark: SparkSession, incoming_dir: str, schema: T.StructType, store_path: str,
-                    checkpoint_location: str, partition_col: str = "date",
-                    max_files_per_trigger: int | None = None):
-    """Start (and return) a stream that appends unseen days from the new
-    files in `incoming_dir` to the store; `availableNow` processes what is
-    there and stops, a scheduler re-runs it when new days arrive."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(incoming_dir)
-    return (stream.writeStream.foreachBatch(_append_batch(store_path, partition_col))
+    return (reader.parquet(incoming_dir).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint_location)
             .trigger(availableNow=True).start())
+
+
+def commit_days(spark: SparkSession, arrived_path: str, store_path: str, base_path: str,
+                partition_col: str = "date") -> DataFrame:
+    """Add the arrived days the store did not hold when `base_path` was first
+    written; returns the store read back."""
+    if not is_complete(spark, base_path):
+        spark.read.parquet(store_path).select(partition_col).distinct().write.mode("overwrite").parquet(base_path)
+    arrived = spark.read.parquet(arrived_path).drop("batch")
+    fresh = arrived.join(spark.read.parquet(base_path), partition_col, "left_anti")
+    (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(store_path))
+    return spark.read.parquet(store_path)

@@ -53,3 +53,18 @@ def test_portfolio_value_and_deposits(spark):
     assert dep == [("2023-01-02", 100.0), ("2023-02-01", 10.0)]
     zf = AC.holdings_zero_fill(trades, ["A", "B"]).filter("symbol = 'B'").collect()
     assert {r.shares for r in zf} == {0}
+
+
+def test_orders_of_one_symbol_and_day_add_up(spark):
+    d = dt.date
+    bars = spark.createDataFrame([(d(2023, 1, 2), "A", 10.0, 10.0)], "date date, ticker string, open double, close double")
+    orders = spark.createDataFrame(
+        [(0, d(2023, 1, 2), "A", 1, "buy", 6), (0, d(2023, 1, 4), "A", 2, "sell", 5), (0, d(2023, 1, 4), "A", 3, "sell", 5),
+         (0, d(2023, 1, 5), "A", 4, "buy", 4), (0, d(2023, 1, 5), "A", 5, "buy", 4)],
+        "account long, date date, symbol string, order_id long, side string, shares long")
+    bad = {r.order_id: r.violation for r in AC.order_checks(orders, bars, initial=100.0).collect()}
+    # 100 - 60 + 100 (both sells counted) leaves 140; the second sell had 1 share left
+    assert bad == {3: "insufficient_shares"}
+    values = {r.date: r for r in AC.portfolio_value(orders, bars, initial=100.0).collect()}
+    assert sorted(values) == [d(2023, 1, k) for k in (2, 3, 4, 5)]       # every calendar day
+    assert values[d(2023, 1, 3)].cash == 40.0 and values[d(2023, 1, 3)].holdings_value == 60.0

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql.functions import lit as F_lit
 
 from panelkit.operators import bars as B
 from panelkit.operators import news as N
@@ -72,3 +73,53 @@ def test_keyword_count_regex_semantics(spark):
     assert got == [3, 0]                                 # regex '+' repeats 'V'; substrings count; NULL -> 0
     lit = [r.keywords_count for r in N.keyword_count(df, ["Apple TV+"], literal=True).collect()]
     assert lit == [1, 0]
+
+
+def test_dataset_write_is_keyed_and_survives_a_broken_write(spark, tmp_path):
+    from panelkit.sources.stores import dataset_write
+    ds = spark.range(9).selectExpr("id", "'train' AS split")
+    assert dataset_write(ds.limit(3), str(tmp_path), "three").count() == 3
+    assert dataset_write(ds, str(tmp_path), "nine").count() == 9
+    assert dataset_write(ds, str(tmp_path), "three").count() == 3          # kept
+    for d in tmp_path.iterdir():
+        marker = d / "_SUCCESS"
+        marker.rename(d / "_gone")                                         # as a failed write leaves it
+    assert dataset_write(ds, str(tmp_path), "three").count() == 9
+
+
+def test_streamed_days_are_complete_over_several_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from panelkit.streaming.incremental import commit_days, ingest_new_days
+    rows = spark.range(10).select(F.expr("date_add(date'2024-01-01', cast(id % 2 as int))").alias("date"), "id")
+    rows.filter("date = '2024-01-01'").limit(1).write.partitionBy("date").parquet(f"{tmp_path}/store")
+    rows.repartition(5).write.parquet(f"{tmp_path}/incoming")
+    for _ in range(2):                                                      # a second run adds nothing
+        ingest_new_days(spark, f"{tmp_path}/incoming", rows.schema, f"{tmp_path}/arrived", f"{tmp_path}/ckpt",
+                        max_files_per_trigger=1).awaitTermination()
+        store = commit_days(spark, f"{tmp_path}/arrived", f"{tmp_path}/store", f"{tmp_path}/base")
+        assert sorted((str(r.date), r.n) for r in store.groupBy("date").agg(F.count("*").alias("n")).collect()) == [
+            ("2024-01-01", 1), ("2024-01-02", 5)]
+
+
+def test_strict_prices(spark):
+    b = _bars(spark).withColumn("close", F_lit(2.0))
+    ask = lambda t, day: spark.createDataFrame([(t, dt.date(2023, 8, day))], "ticker string, date date")
+    assert B.price_asof(b, ask("AAPL", 5), strict=True).first().price == 2.0
+    for t, day in (("MSFT", 5), ("AAPL", 30)):
+        with pytest.raises(ValueError, match="no price"):
+            B.price_asof(b, ask(t, day), strict=True)
+
+
+def test_each_prompt_is_scored_once(spark, tmp_path):
+    from panelkit.operators.predict import predict_batch
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(model, prompt):
+        calls.add(1)
+        return " good " if prompt == "p1" else "odd"
+
+    ask = spark.createDataFrame([("m", "p1"), ("m", "p1"), ("m", "p2"), ("m", "p3")], "model string, prompt string")
+    cache = spark.createDataFrame([("m", "p3", "bad"), ("m", "p3", "bad")], "model string, prompt string, completion string")
+    answers, fresh = predict_batch(ask, cache, scorer, ["good", "bad"], cache_path=f"{tmp_path}/cache")
+    assert sorted((r.prompt, str(r.label)) for r in answers.collect()) == [("p1", "good"), ("p1", "good"), ("p2", "None"), ("p3", "bad")]
+    assert fresh.count() == 2 and spark.read.parquet(f"{tmp_path}/cache").count() == 2 and calls.value == 2
