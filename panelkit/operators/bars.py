@@ -339,3 +339,17 @@ def overnight_return(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
     r = safe_div(F.lead("open", 1).over(w), F.col("adj_close")) - F.lit(1.0)
     return bars.select("date", "ticker", r.alias("ret")).filter(F.col("ret").isNotNull())
+
+
+def return_pair_trim(overnight: DataFrame, one_day: DataFrame) -> DataFrame:
+    """(ticker, date, return_type, ret): per ticker both series cut to the length
+    of the shorter, from their first days on.  A ticker's series has at most one
+    row per calendar day."""
+    both = (overnight.select("ticker", "date", "ret", F.lit("Overnight").alias("return_type"))
+            .unionByName(one_day.select("ticker", "date", "ret", F.lit("1-day").alias("return_type"))))
+    length = (both.groupBy("ticker").agg(F.count_if(F.col("return_type") == "Overnight").alias("_a"),
+                                         F.count_if(F.col("return_type") == "1-day").alias("_b"))
+              .select("ticker", F.least("_a", "_b").alias("_n")))
+    at = F.row_number().over(Window.partitionBy("ticker", "return_type").orderBy("date"))
+    return (both.withColumn("_at", at).join(length, "ticker").filter(F.col("_at") <= F.col("_n"))
+            .select("ticker", "date", "return_type", "ret"))

@@ -125,24 +125,34 @@ def n_day_return_histogram(spark, sf):
 EXCLUDED = "Brand#25"
 
 
-@query("return_distribution", S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _GRID_SQL + f""",
+_TRIM_SQL = S.with_(b=S.BRAND_BARS)[:-1] + ",\n" + _GRID_SQL + f""",
 o AS (SELECT ticker, date, lead(open) OVER (PARTITION BY ticker ORDER BY date) / NULLIF(adj_close, 0) - 1 AS ret FROM pd),
 d1 AS (SELECT ticker, date, padded / NULLIF(lag(padded, 1) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM pd),
-al AS (SELECT o.ticker, o.ret AS o_ret, d1.ret AS d_ret FROM o JOIN d1 USING (ticker, date)
-       WHERE o.ret IS NOT NULL AND d1.ret IS NOT NULL AND o.ticker <> '{EXCLUDED}'),
-u AS (SELECT ticker, 'Overnight' AS return_type, o_ret AS ret FROM al UNION ALL
-      SELECT ticker, '1-day' AS return_type, d_ret AS ret FROM al)
-SELECT ticker, return_type, round(min(ret), 6) AS min, round(quantile_cont(ret, 0.25), 6) AS q1,
+ab AS (SELECT ticker, date, 'Overnight' AS return_type, ret FROM o WHERE ret IS NOT NULL AND ticker <> '{EXCLUDED}'
+       UNION ALL SELECT ticker, date, '1-day', ret FROM d1 WHERE ret IS NOT NULL AND ticker <> '{EXCLUDED}'),
+ln AS (SELECT ticker, least(count(*) FILTER (WHERE return_type = 'Overnight'), count(*) FILTER (WHERE return_type = '1-day')) AS n
+       FROM ab GROUP BY ticker),
+u AS (SELECT ab.*, row_number() OVER (PARTITION BY ticker, return_type ORDER BY date) AS rk FROM ab)
+"""
+
+
+def _trimmed(spark, sf):
+    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars")).filter(F.col("ticker") != EXCLUDED)
+    return B.return_pair_trim(B.overnight_return(grid), B.n_day_return(grid, 1))
+
+
+@query("return_pair_trim", _TRIM_SQL + """
+SELECT u.ticker, u.date, u.return_type, round(u.ret, 6) AS ret FROM u JOIN ln USING (ticker) WHERE rk <= n""")
+def return_pair_trim(spark, sf):
+    return _trimmed(spark, sf).select("ticker", "date", "return_type", r6("ret").alias("ret"))
+
+
+@query("return_distribution", _TRIM_SQL + """
+SELECT u.ticker, return_type, round(min(ret), 6) AS min, round(quantile_cont(ret, 0.25), 6) AS q1,
   round(quantile_cont(ret, 0.5), 6) AS median, round(quantile_cont(ret, 0.75), 6) AS q3, round(max(ret), 6) AS max
-FROM u GROUP BY ticker, return_type""")
+FROM u JOIN ln USING (ticker) WHERE rk <= n GROUP BY u.ticker, return_type""")
 def return_distribution(spark, sf):
-    grid = B.market_grid(FX.staged(FX.brand_bars(spark, sf), "brand_bars")).filter(F.col("ticker") != EXCLUDED)
-    o = B.overnight_return(grid).withColumnRenamed("ret", "o_ret")
-    d = B.n_day_return(grid, 1).withColumnRenamed("ret", "d_ret")
-    al = o.join(d, ["ticker", "date"])
-    u = al.select("ticker", F.col("o_ret").alias("ret"), F.lit("Overnight").alias("return_type")).unionByName(
-        al.select("ticker", F.col("d_ret").alias("ret"), F.lit("1-day").alias("return_type")))
-    b = PR.box_stats(u, "ret", ["ticker", "return_type"])
+    b = PR.box_stats(_trimmed(spark, sf), "ret", ["ticker", "return_type"])
     return b.select("ticker", "return_type", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
 
 
