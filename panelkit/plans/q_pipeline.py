@@ -170,13 +170,15 @@ def top_titles_per_day(spark, sf):
         "date", "title", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("sample_titles_per_day")
+@query("sample_titles_per_day", PIPE_SQL + """
+SELECT fin.ticker, fin.sample_id, fin.replica, CAST(x.day_idx AS BIGINT) AS day_idx, CAST(coalesce(x.n_day, 0) AS BIGINT) AS n_titles
+FROM fin JOIN x USING (split, ticker, sample_id, replica) WHERE fin.split = 'train'""")
 def sample_titles_per_day(spark, sf):
-    """Training draws (random): rows-only check."""
-    s = samples(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf), brand_params())
-    t = s.filter(F.col("split") == "train").select(
-        "ticker", "sample_id", "replica", F.posexplode("title").alias("day_idx", "titles"))
-    return t.select("ticker", "sample_id", "replica", "day_idx", F.explode("titles").alias("title"))
+    """How many titles each training window-day has drawn (which ones is random)."""
+    train = _dataset(spark, sf).filter(F.col("split") == "train")
+    t = train.select("ticker", "sample_id", "replica", F.posexplode("title").alias("day_idx", "titles"))
+    return t.select("ticker", "sample_id", "replica", F.col("day_idx").cast("bigint").alias("day_idx"),
+                    F.size("titles").cast("bigint").alias("n_titles"))
 
 
 @query("replicate_samples", PIPE_SQL + """

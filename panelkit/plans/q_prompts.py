@@ -118,10 +118,12 @@ def prediction_lookup(spark, sf):
     return PD.prediction_lookup(req, preds).select("account", "date", "symbol", "side", "label")
 
 
-@query("predict_random")
+@query("predict_random", PROMPT_SQL + """
+SELECT DISTINCT "index", true AS in_label_set FROM prompts""")
 def predict_random(spark, sf):
     keys = _dataset(spark, sf).select(PT.sample_key().alias("index")).distinct()
-    return PD.predict_random(keys, LABELS, seed=7)
+    # the draw itself is a hash; every key gets a label of the set
+    return PD.predict_random(keys, LABELS, seed=7).select("index", F.col("label").isin(*LABELS).alias("in_label_set"))
 
 
 MODEL = "babbage-002"
@@ -148,7 +150,20 @@ def stub_scorer(model: str, prompt: str) -> str:
     return " " + ("very good" if v > 1.05 else "very bad" if v < 0.95 else "neutral") + "\n"
 
 
-@query("predict_batch")
+# the stub scorer in SQL: the last open price of the prompt, answered by a label
+_STUB_SQL = """CASE WHEN v = 'nan' THEN NULL WHEN CAST(v AS DOUBLE) > 1.05 THEN 'very good'
+  WHEN CAST(v AS DOUBLE) < 0.95 THEN 'very bad' ELSE 'neutral' END"""
+
+
+@query("predict_batch", PROMPT_SQL + f""",
+kept AS (SELECT prompt, min(regexp_replace(completion, '^\\s+|\\s+$', '', 'g')) AS completion FROM prompts WHERE split = 'val' GROUP BY prompt),
+ask AS (SELECT "index", prompt, CASE WHEN trim(string_split(regexp_extract(prompt, '- Open Prices: ([^\\n]*)', 1), ',')[-1]) = 'nan' THEN 'nan'
+          ELSE trim(string_split(regexp_extract(prompt, '- Open Prices: ([^\\n]*)', 1), ',')[-1]) END AS v
+        FROM prompts WHERE split <> 'train'),
+got AS (SELECT ask."index", CASE WHEN kept.prompt IS NOT NULL THEN kept.completion ELSE {_STUB_SQL} END AS completion
+        FROM ask LEFT JOIN kept ON kept.prompt = ask.prompt)
+SELECT "index", '{MODEL}' AS model, completion,
+  CASE WHEN list_contains({S.labels_sql(LABELS)}, completion) THEN completion END AS label FROM got""")
 def predict_batch(spark, sf):
     p = _prompts(spark, sf).withColumn("model", F.lit(MODEL))
     cache = p.filter(F.col("split") == "val").select("model", "prompt", strip_ws("completion").alias("completion"))

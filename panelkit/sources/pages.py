@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NOISE = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-H1 = r"(?s)<h1[^>]*>(.*?)</h1>"
-ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
-P_OPEN = r"<p(?:\s[^>]*)?>"
-P_TAIL = r"(?s)</p>.*$"
+NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
+ARTICLE = r"(?is)<article[^>]*>(.*?)</article>"
+P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+P_TAIL = r"(?is)</p>.*$"
 TAG = r"<[^>]*>"
-LINK = r"""<a\s[^>]*href="([^"]*)\""""
+LINK = r"""(?i)<a\s[^>]*href="([^"]*)\""""
 # Named character references decoded in extracted text
 # (&amp; last, so "&amp;lt;" stays "&lt;").
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
