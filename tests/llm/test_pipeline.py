@@ -1,6 +1,9 @@
+import pytest
+
 import corpus_pipeline
 from panelkit.llm import op10_decontamination as op10
 from panelkit.llm.op8_quality_rules import quality_rules
+from panelkit.session import stage_table
 
 from .test_op2 import brute
 
@@ -33,12 +36,12 @@ def test_stages_on_their_own_inputs(spark):
 
 def test_run_is_the_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage_table(stage(spark, docs, SF), f"test-{name}")
     assert sorted(docs.collect(), key=str) == sorted(corpus_pipeline.run(spark, SF).collect(), key=str)
 
 
-def test_stages_on_no_rows(spark):
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_no_rows(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).collect() == []
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect() == []
