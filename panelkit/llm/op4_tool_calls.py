@@ -4,8 +4,8 @@ Calls and results of a conversation are hash-joined by identifier, calls are put
 in topological order of the calls they depend on, their arguments are validated
 against the tools' schemas, and each call is serialised as canonical JSON (keys
 sorted, no white space).  No conversation is gathered into one row or task: the
-order is made by rounds of joins on (conversation, call), one per level of
-dependencies, and a call's position by running sums in two steps.
+order is made by rounds of joins on (conversation, call), with pointers that
+double along chains, and a call's position by running sums in two steps.
 
 calls:   conv_id long, call_id string, turn long, name string, arguments string
          (JSON), after array<string> (call ids it depends on)
@@ -45,10 +45,9 @@ def _quoted(name: str) -> str:
     return "$['" + name.replace("'", "\\'") + "']"
 
 
-def arguments_fit(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Whether JSON arguments fit the tool's schema; NULL for an unknown tool."""
-    parsed = F.try_parse_json(arguments)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
+def arguments_fit(name: Column, parsed: Column, keys: Column, schemas: Schemas) -> Column:
+    """Whether parsed JSON arguments with these keys fit the tool's schema; NULL
+    for an unknown tool."""
     out = F.lit(None).cast("boolean")
     for tool, parameters in schemas.items():
         tests = [F.size(F.array_except(keys, F.array(*[F.lit(p) for p in parameters]).cast("array<string>"))) == 0,
@@ -61,27 +60,51 @@ def arguments_fit(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return out
 
 
+def _chains(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, far): the call that a chain of single
+    dependencies leads back to, and how many steps away.  Pointers double each
+    round; chains that lead into a cycle, or to an unknown call, have no row."""
+    several = (needs.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("on")))
+    d = calls.select("conv_id", "call_id").join(several, ["conv_id", "call_id"], "left")
+    chained = F.coalesce(F.col("n"), F.lit(0)) == 1
+    d = stage_table(d.select("conv_id", "call_id", F.when(chained, F.col("on")).otherwise(F.col("call_id")).alias("root"),
+                             F.when(chained, 1).otherwise(0).cast("bigint").alias("far"), (~chained).alias("ended")), "op4-chains")
+    ended = d.filter("ended").count()
+    while True:
+        up = d.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("up"), F.col("far").alias("more"), F.col("ended").alias("up_ended"))
+        d = stage_table(d.join(up, ["conv_id", "root"], "left").select(
+            "conv_id", "call_id", F.when(F.col("ended"), F.col("root")).otherwise(F.coalesce("up", "root")).alias("root"),
+            F.when(F.col("ended"), F.col("far")).otherwise(F.col("far") + F.coalesce("more", F.lit(0))).alias("far"),
+            (F.col("ended") | F.coalesce("up_ended", F.lit(False))).alias("ended")), "op4-chains")
+        now = d.filter("ended").count()
+        if now == ended:
+            return d.filter("ended").select("conv_id", "call_id", "root", "far")
+        ended = now
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without dependencies, else one more than the
     highest.  Calls on or behind a cycle or an unknown call are left out.
 
-    `calls` has each (conv_id, call_id) once.  Rounds: the longest chain."""
+    `calls` has each (conv_id, call_id) once.  A chain of single dependencies of
+    any length takes rounds of its logarithm; beyond that, rounds follow how
+    deep calls of several dependencies stand behind each other."""
     need = stage_table(calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("on")), "op4-needs")
-    waits = need.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("open"))
-    placed = calls.join(waits, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    placed = stage_table(placed, "op4-level")
-    last, level = placed, 0
+    chain = _chains(calls, need)
+    count = need.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("open"))
+    many = count.filter("open > 1")
+    free = calls.join(count, ["conv_id", "call_id"], "left_anti").select("conv_id", F.col("call_id").alias("root"), F.lit(0).cast("bigint").alias("base"))
+    # what a call of several dependencies waits for: the roots of their chains
+    waits = stage_table(need.join(many, ["conv_id", "call_id"]).join(
+        chain.select("conv_id", F.col("call_id").alias("on"), "root", "far"), ["conv_id", "on"], "left"), "op4-waits")
+    placed = stage_table(free, "op4-level")
     while True:
-        # calls with a dependency placed in the last round whose others are placed too
-        touched = need.join(last.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]).select("conv_id", "call_id").distinct()
-        met = (need.join(touched, ["conv_id", "call_id"], "left_semi")
-               .join(placed.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"])
-               .groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("met")))
-        level += 1
-        last = stage_table(met.join(waits, ["conv_id", "call_id"]).filter("met = open")
-                           .select("conv_id", "call_id", F.lit(level).alias("level")), "op4-level")
+        ready = (waits.join(placed, ["conv_id", "root"]).groupBy("conv_id", "call_id", "open")
+                 .agg(F.count(F.lit(1)).alias("met"), F.max(F.col("base") + F.col("far") + 1).alias("base")).filter("met = open")
+                 .select("conv_id", F.col("call_id").alias("root"), "base"))
+        last = stage_table(ready.join(placed, ["conv_id", "root"], "left_anti"), "op4-level")
         if last.isEmpty():
-            return placed
+            return chain.join(placed, ["conv_id", "root"]).select("conv_id", "call_id", (F.col("base") + F.col("far")).cast("int").alias("level"))
         placed = placed.unionByName(last)
 
 
@@ -105,8 +128,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
               .agg(F.min(F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("content").cast("string").alias("content"))).alias("answer")))
     d = (rows.withColumn("is_call", F.lit(True)).hint("shuffle_hash").join(answer.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
          .join(level, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left"))
-    fits = arguments_fit(F.col("name"), F.col("arguments"), schemas)
-    parsed = F.try_parse_json("arguments")
+    # parsed once, then judged once: both are used several times above
+    d = d.withColumns({"parsed": F.try_parse_json("arguments"),
+                       "keys": F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))})
+    d = d.withColumn("fits", arguments_fit(F.col("name"), F.col("parsed"), F.col("keys"), schemas))
+    fits, parsed = F.col("fits"), F.col("parsed")
     status = (F.when(F.col("is_call").isNull(), "orphan").when(F.col("repeat") > 1, "duplicate").when(parsed.isNull(), "bad_json")
               .when(fits.isNull(), "unknown_tool").when(~fits, "bad_arguments").when(F.col("lost"), "unknown_call")
               .when(known & F.col("level").isNull(), "cycle").when(F.col("answer").isNull(), "no_result").otherwise("ok"))
