@@ -20,8 +20,9 @@ Consecutive windows with one anchor form a zone, about 170 bytes apart.
    A bucket sorts its suffixes by multikey quicksort, eight bytes a key, and
    takes each one's longest common prefix with its neighbours; windows that
    would need more go.  The others are compared by content per anchor string.
-   Anchor strings that lie across a boundary of buckets are compared over all
-   of their buckets by Spark's aggregation.
+   Where an anchor string lies across a boundary of buckets, the windows that
+   suffixes beyond the boundary can share are compared over all of its buckets
+   by Spark's aggregation, after the left contexts have been.
 4. The spans of a document are merged and cut out of its text.
 
 Equality is of 64-bit content hashes within one 64-bit anchor hash.  A NULL text
@@ -164,24 +165,21 @@ def multikey_order(suffixes: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, body: list[bytes],
-                     length: int, reach: np.ndarray | None = None) -> np.ndarray:
-    """rows x distances: whether the window that starts d bytes before the
-    anchor equals one of another row of the same group.  `reach`: the longest
-    prefix a row's suffix shares with another; windows that need more are not
-    looked at."""
+                     length: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows x distances, twice: whether the window that starts d bytes before the
+    anchor equals one of another row of the same group, and whether no earlier
+    row has it.  `reach`: the longest prefix a row's suffix shares with another;
+    windows that need more are not looked at."""
     width = length - KGRAM + 1
     wide = np.zeros((len(body), width - 1 + length), dtype=np.uint8)
     for k, b in enumerate(body):
         wide[k, width - 1 - left[k]:width - 1 - left[k] + len(b)] = np.frombuffer(b, dtype=np.uint8)
     prefix = np.zeros((len(body), wide.shape[1] + 1), dtype=np.uint64)
     np.cumsum(BYTE_VALUE[wide] * powers(wide.shape[1]), axis=1, out=prefix[:, 1:])
-    out = np.zeros((len(body), width), dtype=bool)
+    out, lead = np.zeros((len(body), width), dtype=bool), np.ones((len(body), width), dtype=bool)
     least = left - windows + 1
     for d in range(width):
-        fit = (least <= d) & (d <= left)
-        if reach is not None:
-            fit &= reach >= length - d
-        at = np.flatnonzero(fit)
+        at = np.flatnonzero((least <= d) & (d <= left) & (reach >= length - d))
         if len(at) < 2:
             continue
         h = prefix[at, width - 1 - d + length] - prefix[at, width - 1 - d]
@@ -191,7 +189,8 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, b
         twice[1:] |= same
         twice[:-1] |= same
         out[at[order[twice]], d] = True
-    return out
+        lead[at[order[1:][same]], d] = False
+    return out, lead
 
 
 def _runs(rep: np.ndarray, anchor: np.ndarray, length: int):
@@ -205,7 +204,7 @@ def _runs(rep: np.ndarray, anchor: np.ndarray, length: int):
 
 _FOUND = ["k1", "k2", "a", "b", "kg", "bucket", "piece"]
 _FOUND_TYPE = ("k1 bigint, k2 bigint, a bigint, b bigint, kg bigint, bucket int, "
-               "piece struct<k1:bigint,k2:bigint,start:bigint,windows:int,left:int,kg:bigint,alone:boolean,body:binary>")
+               "piece struct<k1:bigint,k2:bigint,start:bigint,windows:int,left:int,kg:bigint,alone:boolean,body:binary,least:int,lead:binary>")
 
 
 def _bucket(length: int):
@@ -234,25 +233,38 @@ def _bucket(length: int):
         reach[order[:-1]] = np.maximum(reach[order[:-1]], common)
         first, last = kg[order[0]], kg[order[-1]]
         ask = np.flatnonzero(reach >= length - left)
+        lead = np.full((len(kg), length - KGRAM + 1), True)
         for part in _by_anchor(ask, kg):
-            rep = repeated_windows(kg[part], left[part], windows[part], [body[i] for i in part], length, reach[part])
+            rep, lead[part] = repeated_windows(kg[part], left[part], windows[part], [body[i] for i in part], length, reach[part])
             rep[~alone[part]] = False
             row, a, b = _runs(rep, start[part] + left[part], length)
             at = part[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1[at]), pa.array(k2[at]), pa.array(a), pa.array(b), pa.nulls(len(at), pa.int64()),
                  pa.nulls(len(at), pa.int32()), pa.nulls(len(at), _PIECE_ARROW)], _FOUND)
-        edge = np.flatnonzero((kg == first) | (kg == last))
-        piece = table.take(pa.array(edge)).to_struct_array().combine_chunks() if len(edge) else None
-        if piece is not None:
+        # A suffix shares with one in another bucket at most what it shares with
+        # its own bucket's first or last; those two may share more.  One row of
+        # the bucket stands for a window that several have.
+        rows = np.arange(len(kg))
+        beyond = np.zeros(len(kg), dtype=np.int64)
+        for end in (order[0], order[-1]):
+            differ = suffix != suffix[end]
+            beyond = np.maximum(beyond, np.where((rows == end) | ~differ.any(axis=1), length, differ.argmax(axis=1)))
+        least = np.maximum(left - windows + 1, length - np.minimum(beyond, length))
+        edge = np.flatnonzero(((kg == first) | (kg == last)) & (least <= left))
+        if len(edge):
+            piece = (table.take(pa.array(edge)).append_column("least", pa.array(least[edge], pa.int32()))
+                     .append_column("lead", pa.array([np.packbits(lead[i]).tobytes() for i in edge], pa.binary())))
             none = pa.nulls(len(edge), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(kg[edge]), pa.array([bucket] * len(edge), pa.int32()), piece], _FOUND)
+                [none, none, none, none, pa.array(kg[edge]), pa.array([bucket] * len(edge), pa.int32()),
+                 piece.to_struct_array().combine_chunks()], _FOUND)
     return run
 
 
 _PIECE_ARROW = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()),
-                          ("left", pa.int32()), ("kg", pa.int64()), ("alone", pa.bool_()), ("body", pa.binary())])
+                          ("left", pa.int32()), ("kg", pa.int64()), ("alone", pa.bool_()), ("body", pa.binary()),
+                          ("least", pa.int32()), ("lead", pa.binary())])
 
 
 def _by_anchor(rows: np.ndarray, kg: np.ndarray, most: int = 4096) -> Iterator[np.ndarray]:
@@ -267,19 +279,43 @@ def _by_anchor(rows: np.ndarray, kg: np.ndarray, most: int = 4096) -> Iterator[n
         begin = end
 
 
+_STEPS = 64     # lengths of left contexts that are compared first
+
+
+def _left_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor string, length, hash) of the bytes before each piece's anchor, at
+    every multiple of _STEPS, and whether the piece's least window needs it: an
+    equal window stands only where that mark is found twice."""
+    for batch in batches:
+        out = []
+        for k1, k2, start, left, kg, least, body in zip(
+                *(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 8, 7)), strict=True):
+            prefix = prefix_hash(BYTE_VALUE[np.frombuffer(body[:left], dtype=np.uint8)])
+            size = np.arange(0, left + 1, _STEPS)
+            h = span_hash(prefix, left - size, np.full(len(size), left)).view(np.int64)
+            out += [(k1, k2, start, kg, n, x, n == least // _STEPS * _STEPS)
+                    for n, x in zip(size.tolist(), h.tolist(), strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = [pa.int64()] * 6 + [pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                                         ["k1", "k2", "start", "kg", "size", "h", "asks"])
+
+
 def _window_rows(length: int):
-    """Every window of the pieces given: for anchor strings over several buckets."""
+    """The windows of the pieces given that a neighbour bucket may hold too, one
+    for each bucket that has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, start, windows, left, kg, alone, body in zip(
-                    *(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for k1, k2, start, windows, left, kg, alone, body, least, lead in zip(
+                    *(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 prefix = prefix_hash(BYTE_VALUE[np.frombuffer(body, dtype=np.uint8)])
-                w = np.arange(windows)
+                w = np.arange(min(windows, left - least + 1))
+                w = w[np.unpackbits(np.frombuffer(lead, dtype=np.uint8))[left - w] > 0]
                 h = span_hash(prefix, w, w + length).view(np.int64)
                 n = len(w)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(start + w),
-                     pa.array([kg] * n, pa.int64()), pa.array(left - w), pa.array(h), pa.array([alone] * n)],
+                     pa.array([kg] * n, pa.int64()), pa.array(left - w), pa.array(h), pa.array([alone] * n, pa.bool_())],
                     ["k1", "k2", "a", "kg", "d", "h", "alone"])
     return run
 
@@ -347,10 +383,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     edge = found.filter("piece is not null")
     across = (edge.groupBy("kg").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y"))
               .filter("x < y").select("kg"))
-    split = edge.join(across, "kg", "left_semi").select("piece.*")
-    rows = stage_table(split.mapInArrow(
-        _window_rows(length), "k1 bigint, k2 bigint, a bigint, kg bigint, d bigint, h bigint, alone boolean")
-        .dropDuplicates(["k1", "k2", "a", "kg"]), "op3-across")
+    split = stage_table(edge.join(across, "kg", "left_semi").select("piece.*")
+                        .dropDuplicates(["k1", "k2", "start", "kg"]), "op3-split")
+    marks = stage_table(split.mapInArrow(
+        _left_marks, "k1 bigint, k2 bigint, start bigint, kg bigint, size bigint, h bigint, asks boolean"), "op3-marks")
+    met = marks.groupBy("kg", "size", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg", "size", "h")
+    alive = marks.filter("asks").join(met, ["kg", "size", "h"], "left_semi").select("k1", "k2", "start", "kg")
+    rows = stage_table(split.join(alive, ["k1", "k2", "start", "kg"], "left_semi").select(*split.columns).mapInArrow(
+        _window_rows(length), "k1 bigint, k2 bigint, a bigint, kg bigint, d bigint, h bigint, alone boolean"), "op3-across")
     twice = rows.groupBy("kg", "d", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg", "d", "h")
     return spans.unionByName(rows.filter("alone").join(twice, ["kg", "d", "h"], "left_semi")
                              .select("k1", "k2", "a", (F.col("a") + length).alias("b")))
