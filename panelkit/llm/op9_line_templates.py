@@ -12,9 +12,10 @@ rest.  So a line stands under three templates of its leaf:
 A template recurs when it stands in at least `min_docs` documents (ids); lines
 under a recurring template are dropped.  Lines of fewer than `min_tokens` tokens
 have no template, and the two generalised ones need `min_general` tokens.  A
-document most of whose lines recur (more than `max_share` of its lines with a
-template) is a copy, not a carrier of boilerplate: it is left whole, for the
-near-duplicate operators.
+document with more than `max_share` of its templated lines recurring is left
+whole; it need not be a copy of anything.  `max_share=1` drops recurring lines
+in every document, and a text hash as the id counts copies once; the corpus
+pipeline runs it so.
 
 Counting is by partial aggregation on template hashes; a frequent template's
 lines are joined back by a skew-split join.  Only ids, positions and hashes are

@@ -45,3 +45,13 @@ def test_run_is_the_stages_in_order(spark):
 def test_stages_on_no_rows(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect() == []
+
+
+def test_line_dedup_drops_boilerplate_in_every_document(spark):
+    own = ["amber birds circle", "dry leaves settle", "old maps crumble", "quiet rivers bend"]
+    rows = [(k, f"Sign up today please\n{x}\nFollow us on radio") for k, x in enumerate(own)]
+    # exact copies are one text, however many ids they have
+    rows += [(10 + k, "copied words stand here\nand others follow them") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == dict(enumerate(own)) | {10 + k: rows[4][1] for k in range(3)}
