@@ -9,6 +9,12 @@ rest.  So a line stands under three templates of its leaf:
     front   count + lead + the tokens up to 7/10 of the line
     back    count + lead + the tokens from 1/2 of the line on
 
+With `every_field` a word field may stand anywhere: a line is cut into five equal
+parts, and has a template for each two parts left out (lines under `min_general`
+tokens: for each one that leaves `min_tokens` tokens), so one field at any position and two fields at any two
+positions meet a template.  Two equal tokens are no evidence of a template, so
+lines of three tokens have digit fields only.
+
 A template recurs when it stands in at least `min_docs` documents (ids); lines
 under a recurring template are dropped.  Lines of fewer than `min_tokens` tokens
 have no template, and the two generalised ones need `min_general` tokens.  A
@@ -29,6 +35,8 @@ all.  Columns beside the text are kept as they are.  An empty table gives none.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +45,7 @@ from ..session import stage_table
 SPACE = r"[\x20\x09-\x0D]"
 FIELD = "<*>"
 LEAD = 3
+PARTS = 5
 
 
 def _tokens(line: Column) -> Column:
@@ -45,8 +54,9 @@ def _tokens(line: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, min_tokens: int = 3, min_general: int = 10, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """(id, pos, template): up to three template hashes of every line."""
+                   text_col: str = "text", every_field: bool = False) -> DataFrame:
+    """(id, pos, template): up to three template hashes of every line, and with
+    `every_field` up to ten more."""
     lines = (docs.filter(F.col(id_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line")))
     t, n = F.col("tokens"), F.col("n")
@@ -62,16 +72,28 @@ def line_templates(docs: DataFrame, min_tokens: int = 3, min_general: int = 10,
     front = F.floor(n * 7 / 10).cast("int")
     back = F.floor(n / 2).cast("int")
     general = n >= min_general
-    keys = F.array(key("whole", F.array_join(t, " ")),
-                   F.when(general, key("front", text(1, front))),
-                   F.when(general, key("back", text(1, LEAD), text(back + 1, n - back))))
+    keys = [key("whole", F.array_join(t, " ")),
+            F.when(general, key("front", text(1, front))),
+            F.when(general, key("back", text(1, LEAD), text(back + 1, n - back)))]
+    if every_field:
+        cut = [F.floor(n * k / PARTS).cast("int") for k in range(PARTS + 1)]
+        lines = lines.select("*", F.array(*[F.xxhash64(text(a + 1, b - a)) for a, b in zip(cut, cut[1:], strict=False)]).alias("parts"))
+
+        def without(*gone: int) -> Column:
+            return key("part" + "".join(map(str, gone)), *[F.col("parts")[k] for k in range(PARTS) if k not in gone])
+
+        # a short line has one field, in one of the parts that are not empty, beside `min_tokens` others
+        keys += [F.when(~general & (cut[k] < cut[k + 1]) & (n - cut[k + 1] + cut[k] >= min_tokens), without(k)) for k in range(PARTS)]
+        keys += [F.when(general, without(*pair)) for pair in combinations(range(PARTS), 2)]
+    keys = F.array(*keys)
     return lines.select("id", "pos", F.explode(F.array_compact(keys)).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 3, max_share: float = 0.5, min_tokens: int = 3,
-                    min_general: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    min_general: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                    every_field: bool = False) -> DataFrame:
     """(id, drop): per document the positions of the lines to drop."""
-    lines = stage_table(line_templates(docs, min_tokens, min_general, id_col, text_col), "op9-lines")
+    lines = stage_table(line_templates(docs, min_tokens, min_general, id_col, text_col, every_field), "op9-lines")
     often = (lines.select("template", "id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
              .filter(F.col("docs") >= min_docs).select("template"))
     hit = lines.join(often, "template").select("id", "pos").distinct().withColumn("hit", F.lit(1))
@@ -82,10 +104,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, max_share: float = 0.5,
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, max_share: float = 0.5, min_tokens: int = 3,
-                         min_general: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                         min_general: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                         every_field: bool = False) -> DataFrame:
     """`docs` with the lines gone, plus n_lines and n_dropped (which replace
     columns of these names)."""
-    drops = recurring_lines(docs, min_docs, max_share, min_tokens, min_general, id_col, text_col)
+    drops = recurring_lines(docs, min_docs, max_share, min_tokens, min_general, id_col, text_col, every_field)
     rows = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)])
     packed = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("_row"), F.col(id_col).alias("_id"),
                          F.split(F.col(text_col).cast("string"), "\n").alias("_lines"))

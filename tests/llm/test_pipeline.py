@@ -55,3 +55,19 @@ def test_line_dedup_drops_boilerplate_in_every_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
     assert got == dict(enumerate(own)) | {10 + k: rows[4][1] for k in range(3)}
+
+
+def test_line_dedup_word_fields_at_every_position(spark):
+    words = "this long notice goes out to all our readers before the next issue comes".split()
+    rows = []
+    names = ["ann", "bob", "cy"]
+    for at in range(len(words)):
+        line = [f"{w}{chr(97 + at)}" for w in words]     # a notice of its own for every place
+        rows += [(100 * at + k, " ".join([*line[:at], name, *line[at + 1:]])) for k, name in enumerate(names)]
+    pair = [f"{w}zz" for w in words]
+    rows += [(5000 + k, " ".join([*pair[:4], name, *pair[5:11], name[::-1], *pair[12:]])) for k, name in enumerate(names)]
+    rows += [(6000 + k, f"written by {name} yesterday") for k, name in enumerate(names)]
+    kept = [(7000 + k, f"{name} walks home\n{name * 2} sleeps {name}ly") for k, name in enumerate(["dee", "eve"])]
+    docs = spark.createDataFrame(rows + kept, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {i: "" for i, _ in rows} | dict(kept)
