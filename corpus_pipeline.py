@@ -28,10 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines under recurring templates go, in every document; every document
-    stays.  A template's documents are its distinct texts, so copies count once."""
+    """Lines under recurring templates go, in every document, and lines of twenty
+    tokens in all texts but one; every document stays.  A template's documents
+    are its distinct texts, so copies count once."""
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    out = drop_recurring_lines(keyed, max_share=1.0, id_col="_text_key", every_field=True).select(*docs.columns)
+    out = drop_recurring_lines(keyed, max_share=1.0, id_col="_text_key", every_field=True, long_tokens=20).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -23,6 +23,11 @@ whole; it need not be a copy of anything.  `max_share=1` drops recurring lines
 in every document, and a text hash as the id counts copies once; the corpus
 pipeline runs it so.
 
+With `long_tokens`, lines of that many tokens are passages rather than boilerplate:
+an equal one (fields masked) recurs from two documents on, and one occurrence
+stays, so that no passage is lost: a long line goes where one of its recurring
+templates stands in a document of a smaller id.
+
 Counting is by partial aggregation on template hashes; a frequent template's
 lines are joined back by a skew-split join.  Only ids, positions and hashes are
 shuffled until the last join.
@@ -54,9 +59,10 @@ def _tokens(line: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, min_tokens: int = 3, min_general: int = 10, id_col: str = "doc_id",
-                   text_col: str = "text", every_field: bool = False) -> DataFrame:
-    """(id, pos, template): up to three template hashes of every line, and with
-    `every_field` up to ten more."""
+                   text_col: str = "text", every_field: bool = False, long_tokens: int | None = None) -> DataFrame:
+    """(id, pos, long, template): up to three template hashes of every line, and
+    with `every_field` up to ten more; `long` is 2 for the whole of a long line,
+    1 for its other templates."""
     lines = (docs.filter(F.col(id_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line")))
     t, n = F.col("tokens"), F.col("n")
@@ -85,18 +91,23 @@ def line_templates(docs: DataFrame, min_tokens: int = 3, min_general: int = 10,
         # a short line has one field, in one of the parts that are not empty, beside `min_tokens` others
         keys += [F.when(~general & (cut[k] < cut[k + 1]) & (n - cut[k + 1] + cut[k] >= min_tokens), without(k)) for k in range(PARTS)]
         keys += [F.when(general, without(*pair)) for pair in combinations(range(PARTS), 2)]
-    keys = F.array(*keys)
-    return lines.select("id", "pos", F.explode(F.array_compact(keys)).alias("template"))
+    is_long = n >= long_tokens if long_tokens else F.lit(False)
+    return (lines.select("id", "pos", is_long.alias("is_long"), F.posexplode(F.array(*keys)).alias("kind", "template"))
+            .filter("template is not null")
+            .select("id", "pos", F.when(~F.col("is_long"), 0).when(F.col("kind") == 0, 2).otherwise(1).alias("long"), "template"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 3, max_share: float = 0.5, min_tokens: int = 3,
                     min_general: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                    every_field: bool = False) -> DataFrame:
+                    every_field: bool = False, long_tokens: int | None = None) -> DataFrame:
     """(id, drop): per document the positions of the lines to drop."""
-    lines = stage_table(line_templates(docs, min_tokens, min_general, id_col, text_col, every_field), "op9-lines")
-    often = (lines.select("template", "id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-             .filter(F.col("docs") >= min_docs).select("template"))
-    hit = lines.join(often, "template").select("id", "pos").distinct().withColumn("hit", F.lit(1))
+    lines = stage_table(line_templates(docs, min_tokens, min_general, id_col, text_col, every_field, long_tokens), "op9-lines")
+    often = (lines.select("template", "id", "long").distinct().groupBy("template")
+             .agg(F.count(F.lit(1)).alias("docs"), F.max("long").alias("kind"), F.min("id").alias("first"))
+             .filter(F.col("docs") >= F.when(F.col("kind") == 2, F.least(F.lit(2), F.lit(min_docs))).otherwise(min_docs))
+             .select("template", "first"))
+    hit = (lines.join(often, "template").filter((F.col("long") == 0) | (F.col("id") > F.col("first")))
+           .select("id", "pos").distinct().withColumn("hit", F.lit(1)))
     per_doc = (lines.select("id", "pos").withColumn("hit", F.lit(0)).unionByName(hit).groupBy("id", "pos").agg(F.max("hit").alias("hit"))
                .groupBy("id").agg(F.count(F.lit(1)).alias("lines"),
                                   F.collect_list(F.when(F.col("hit") == 1, F.col("pos"))).alias("drop")))
@@ -105,10 +116,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, max_share: float = 0.5,
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, max_share: float = 0.5, min_tokens: int = 3,
                          min_general: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                         every_field: bool = False) -> DataFrame:
+                         every_field: bool = False, long_tokens: int | None = None) -> DataFrame:
     """`docs` with the lines gone, plus n_lines and n_dropped (which replace
     columns of these names)."""
-    drops = recurring_lines(docs, min_docs, max_share, min_tokens, min_general, id_col, text_col, every_field)
+    drops = recurring_lines(docs, min_docs, max_share, min_tokens, min_general, id_col, text_col, every_field, long_tokens)
     rows = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)])
     packed = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("_row"), F.col(id_col).alias("_id"),
                          F.split(F.col(text_col).cast("string"), "\n").alias("_lines"))

@@ -71,3 +71,17 @@ def test_line_dedup_word_fields_at_every_position(spark):
     docs = spark.createDataFrame(rows + kept, "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
     assert got == {i: "" for i, _ in rows} | dict(kept)
+
+
+def test_line_dedup_long_lines_recur_from_two_texts(spark):
+    long = " ".join(f"w{'abcdefghijklmnopqrstuvwxyz'[k]}x" for k in range(24))
+    wide = " ".join(f"v{'abcdefghijklmnopqrstuvwxyz'[k]}x" for k in range(24))
+    short = "two texts share this one"
+    rows = [(k, f"{long}\n{short}\n{x}") for k, x in enumerate(["amber birds circle", "dry leaves settle"])]
+    rows += [(10 + k, f"{wide}\n{x}") for k, x in enumerate(["old maps crumble", "quiet rivers bend", "thin ice cracks"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    for line, ids in ((long, (0, 1)), (wide, (10, 11, 12))):
+        assert sum(line in got[k] for k in ids) == 1             # one occurrence stays
+    for k, text in rows:
+        assert got[k] in (text, text.split("\n", 1)[1])
