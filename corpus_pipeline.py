@@ -22,6 +22,9 @@ from panelkit.llm.op10_decontamination import drop_leaks
 from panelkit.session import stage_table
 
 
+KEY = "_row_key"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return keep_good(docs)
@@ -38,18 +41,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of every row's own, which its id need not be: an id may be NULL
+    or stand on several texts.  Equal rows have equal keys."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the least id stays.
-    Documents without an id stay, and of rows repeated under an id one."""
-    joined = ngram_join(docs, width=5, percent=80)
-    extra = joined.filter("component_id < doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(extra, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each group of near duplicates (five words, 0.8) the row of the least id
+    stays, one without an id only where no other is; of rows repeated with id and
+    text, one."""
+    rows = stage_table(_keyed(docs), "pipeline-keyed")
+    joined = ngram_join(rows, width=5, percent=80, id_col=KEY).select(KEY, "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
+    least = (rows.select("doc_id", KEY).distinct().join(joined, KEY)
+             .groupBy("component_id").agg(F.min(rank).alias("least")).select(F.col(f"least.{KEY}").alias(KEY)))
+    return rows.dropDuplicates([KEY]).join(least, KEY, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a verified benchmark passage go."""
-    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents with a verified benchmark passage go, whatever their id."""
+    return drop_leaks(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,17 @@ def test_line_dedup_long_lines_recur_from_two_texts(spark):
         assert sum(line in got[k] for k in ids) == 1             # one occurrence stays
     for k, text in rows:
         assert got[k] in (text, text.split("\n", 1)[1])
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    leak = "Which river runs through the old town of Eastmere? The broad river Tamsin."
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, base), (1, "another text altogether under the same id as before it"), (2, base + " more"), (None, base + " tail"),
+            (None, "a text of its own without any id stands here"), (None, f"some quite other words come first here, eight of them\n{leak}\nand they end it"), (3, f"and then\n{leak}"),
+            (3, "clean words under an id whose other text holds a leak")]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    near = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(map(tuple, near.collect()), key=str) == sorted([r for r in rows if r not in (rows[2], rows[3])], key=str)
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted([r for r in rows + rows[:1] if leak not in r[1]], key=str)
