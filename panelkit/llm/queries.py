@@ -19,6 +19,7 @@ from .op6_mixing import mix_sources
 from .op8_quality_rules import quality_rules
 from .op9_line_templates import drop_recurring_lines
 from .op10_decontamination import find_leaks
+from .op11_minhash import minhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +92,8 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
