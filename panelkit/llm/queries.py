@@ -20,6 +20,7 @@ from .op8_quality_rules import quality_rules
 from .op9_line_templates import drop_recurring_lines
 from .op10_decontamination import find_leaks
 from .op11_minhash import minhash_dedup
+from .op12_whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +98,8 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16)
