@@ -21,6 +21,7 @@ from .op9_line_templates import drop_recurring_lines
 from .op10_decontamination import find_leaks
 from .op11_minhash import minhash_dedup
 from .op12_whitening import whiten
+from .op13_lexical_search import lexical_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +104,8 @@ def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+@_query
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=20)

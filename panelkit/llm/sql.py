@@ -135,3 +135,22 @@ SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coales
        md5(CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS kept_md5
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
+
+ORACLE["op13_ranked_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, unnest(w) AS term FROM d),
+f AS (SELECT r, term, count(*) AS tf FROM o GROUP BY r, term),
+x AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+z AS (SELECT r, count(*) AS n FROM o GROUP BY r),
+t AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM z),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, term, count(*) AS k FROM i GROUP BY item_id, term),
+s AS (SELECT q.item_id, f.r, CAST(sum(k * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN x ON x.term = q.term JOIN f ON f.term = q.term JOIN z ON z.r = f.r CROSS JOIN t GROUP BY q.item_id, f.r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s JOIN d ON d.r = s.r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
