@@ -98,7 +98,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def without(chars: str) -> Column:
         return F.length("_text") - F.length(F.translate("_text", chars, ""))
 
-    d = d.withColumns({
+    counts = {
         "n_words": n.cast("bigint"),
         "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("bigint"),
         "n_symbols": without(SYMBOLS).cast("bigint"),
@@ -108,8 +108,11 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.size("_lines").cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_repeat_words": F.size(covered).cast("bigint"),
-    })
-    return d.drop("_text", "_words", "_lines", "_grams", "_sorted")
+    }
+    # one struct a row, opened again: filters on the counts stay above it, where
+    # below they would hold a copy of every array the counts are made of
+    rows = F.inline(F.array(F.struct(*[c.alias(name) for name, c in counts.items()])))
+    return d.select(*[c for c in docs.columns if c not in clash], rows)
 
 
 def verdict(measured: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 50,
@@ -132,7 +135,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     """The rows of `docs` that pass, with their own columns."""
     columns = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_raw"))
-    # the row number keeps the filter above the projections: pushed below them it
-    # would hold a copy of every measure, arrays in lambdas included
-    judged = verdict(measures(packed, "_raw"), rules).withColumn("_number", F.monotonically_increasing_id())
-    return judged.filter("kept and _number >= 0").select(*columns)
+    return verdict(measures(packed, "_raw"), rules).filter("kept").select(*columns)

@@ -168,3 +168,12 @@ def test_quality_rules(spark):
     good = keep_good(docs)
     assert good.columns == docs.columns and sorted(str(r.doc_id) for r in good.collect()) == ["1", "1", "None"]
     assert quality_rules(docs.limit(0)).collect() == [] and keep_good(docs.limit(0)).collect() == []
+
+
+def test_filters_on_the_rules_hold_no_copies_of_the_measures(spark, capsys):
+    docs = spark.createDataFrame([(1, "the a b. " * 60), (2, "x"), (3, None)], "doc_id long, text string")
+    for condition in ("kept", "base_failed", "n_words > 50", "not kept and n_symbols = 0"):
+        kept = quality_rules(docs).filter(condition)
+        kept.explain()
+        assert capsys.readouterr().out.count("array_remove") == 1
+    assert {r.doc_id for r in quality_rules(docs).filter("base_failed").collect()} == {1, 2, 3}
