@@ -118,22 +118,28 @@ FROM d
 
 ORACLE["op9_line_templates"] = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
-t AS (SELECT doc_id, pos, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
-             '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM l WHERE doc_id IS NOT NULL),
-n AS (SELECT *, len(w) AS n FROM t WHERE len(w) >= 3),
-k AS (SELECT doc_id, pos, n || ' whole ' || array_to_string(w, ' ') AS template FROM n
-      UNION ALL SELECT doc_id, pos, n || ' front ' || array_to_string(w[:n * 7 // 10], ' ') FROM n WHERE n >= 10
-      UNION ALL SELECT doc_id, pos, n || ' back ' || array_to_string(w[:3], ' ') || ' | ' || array_to_string(w[n // 2 + 1:], ' ') FROM n WHERE n >= 10),
-o AS (SELECT template FROM k GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
-h AS (SELECT DISTINCT doc_id, pos FROM k WHERE template IN (SELECT template FROM o)),
-c AS (SELECT n.doc_id, count(*) AS lines, count(h.pos) AS hits FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.pos = n.pos GROUP BY n.doc_id),
-g AS (SELECT h.doc_id, h.pos FROM h JOIN c ON c.doc_id = h.doc_id WHERE hits <= 0.5 * lines),
-s AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS kept, count(g.pos) AS n_dropped
-      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+u AS (SELECT DISTINCT text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS t, lines FROM d WHERE text IS NOT NULL),
+l AS (SELECT text, t, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM u),
+w AS (SELECT text, t, pos, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+             '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM l),
+n AS (SELECT text, t, pos, len(w) AS n, array_to_string(w, ' ') AS whole,
+             list_transform([0, 1, 2, 3, 4], lambda k: array_to_string(w[len(w) * k // 5 + 1:len(w) * (k + 1) // 5], ' ')) AS p FROM w WHERE len(w) >= 3),
+two AS (SELECT a, b FROM range(5) x(a), range(5) y(b) WHERE a < b),
+k AS (SELECT text, t, pos, n, 2 AS kind, n || ' whole ' || whole AS template FROM n
+      UNION ALL SELECT text, t, pos, n, 1, n || ' without ' || a || b || ' '
+             || array_to_string(list_transform([0, 1, 2, 3, 4], lambda i: CASE WHEN i = a OR i = b THEN '' ELSE p[i + 1] END), ' | ')
+      FROM n, two WHERE n >= 10
+      UNION ALL SELECT text, t, pos, n, 1, n || ' without ' || a || ' '
+             || array_to_string(list_transform([0, 1, 2, 3, 4], lambda i: CASE WHEN i = a THEN '' ELSE p[i + 1] END), ' | ')
+      FROM n, range(5) x(a) WHERE n < 10 AND n * a // 5 < n * (a + 1) // 5 AND n - n * (a + 1) // 5 + n * a // 5 >= 3),
+o AS (SELECT template, min(t) AS first FROM k GROUP BY template
+      HAVING count(DISTINCT t) >= CASE WHEN max(kind) = 2 AND max(n) >= 20 THEN 2 ELSE 3 END),
+h AS (SELECT DISTINCT text, pos FROM k JOIN o ON o.template = k.template WHERE n < 20 OR t > first),
+s AS (SELECT l.text, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE h.pos IS NULL) AS kept, count(h.pos) AS n_dropped
+      FROM l LEFT JOIN h ON h.text = l.text AND h.pos = l.pos GROUP BY l.text)
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
-       md5(CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS kept_md5
-FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+       md5(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS kept_md5
+FROM d LEFT JOIN s ON s.text = d.text
 """
 
 ORACLE["op13_ranked_lexical_search"] = r"""

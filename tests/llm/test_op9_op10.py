@@ -81,13 +81,17 @@ def test_leaks_of_empty_tables(spark):
     assert drop_leaks(d, none).count() == 1
 
 
+def word(*parts):
+    return hashlib.md5(repr(parts).encode()).hexdigest().translate(LETTERS)
+
+
 def test_recurring_lines(spark):
     rows = []
     for k in range(6):
-        own = "\n".join(f"own {hashlib.md5(f'{k}{j}'.encode()).hexdigest().translate(LETTERS)} of {'abcdefgh'[j]} x{'z' * j}" for j in range(3))
+        own = "\n".join(f"own {word(k, j)} of {word(j, k)}y {'abcdefgh'[j]} x{'z' * j}" for j in range(3))
         rows.append((k, f"Read more on page {k} of 20\n{own}\nAll rights reserved.\n\n  All\trights   reserved."))
     long = "this long line names the sender {} and asks for an answer by the end"
-    rows += [(10 + k, f"{long.format(n)}\nsomething new with {n} here\nand another thing {n * 2}") for k, n in enumerate(["ann", "bob", "cy"])]
+    rows += [(10 + k, f"{long.format(n)}\nsomething new {n} came {n * 2} here\n{n} says {n * 2}") for k, n in enumerate(["ann", "bob", "cy"])]
     rows += [(20, None), (21, ""), (22, "\n\n"), (23, "All rights reserved."), (24, "same text here\nand here too then"),
              (25, "same text here\nand here too then"), (26, "same text here\nand here too then"), (None, "All rights reserved.")]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_lines int")
@@ -98,8 +102,62 @@ def test_recurring_lines(spark):
     for k in (10, 11, 12):
         assert got[k].n_dropped == 1 and got[k].text.startswith("something new")
     assert got[20].text is None and got[21].text == "" and got[22].text == "\n\n"
-    assert got[None].text == "All rights reserved."
-    # copies and one-line documents are left for the near-duplicate operators
-    assert all(got[k].n_dropped == 0 for k in (23, 24, 25, 26))
+    # recurring lines go from every text, with or without an id or other lines
+    assert all(got[k].n_dropped == 1 and got[k].text == "" for k in (23, None))
+    # copies are one text, so their lines do not recur
+    assert all(got[k].n_dropped == 0 for k in (24, 25, 26))
     assert drop_recurring_lines(docs.limit(0)).collect() == []
     assert sorted(drop_recurring_lines(docs).columns) == ["doc_id", "n_dropped", "n_lines", "text"]
+
+
+def test_recurring_lines_equal_a_plain_count(spark):
+    """Every template of every line counted over distinct texts, in Python."""
+    rng = np.random.default_rng(8)
+    words = [word(k)[:5] for k in range(40)]
+    forms = [[words[j] for j in rng.integers(0, 40, n)] for n in (3, 4, 5, 7, 9, 10, 11, 14, 19, 20, 23, 31) for _ in range(2)]
+    rows = []
+    for k in range(60):
+        lines = []
+        for form in (forms[j] for j in rng.integers(0, len(forms), int(rng.integers(1, 9)))):
+            line = list(form)
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.integers(0, len(line)))
+                line[at] = words[int(rng.integers(0, 40))] if rng.random() < 0.6 else f"n{k}"
+            lines.append("  ".join(line) if rng.random() < 0.2 else " ".join(line))
+        rows.append((k, "\n".join(lines)))
+    rows += [(100 + k, rows[k][1]) for k in range(20)] + [(200, None), (None, rows[3][1]), (201, " ".join(words * 3000))]
+
+    def templates(line):
+        w = re.findall(r"[^\x20\x09-\x0D]+", line)
+        w = ["<*>" if re.search("[0-9]", x) else x for x in w]
+        n = len(w)
+        if n < 3:
+            return n, []
+        part = [tuple(w[n * k // 5:n * (k + 1) // 5]) for k in range(5)]
+        gone = [(a, b) for a in range(5) for b in range(a)] if n >= 10 else [
+            (k,) for k in range(5) if part[k] and n - len(part[k]) >= 3]
+        return n, [(n, "whole", tuple(w))] + [(n, g, tuple(p for k, p in enumerate(part) if k not in g)) for g in gone]
+
+    texts = {t for _, t in rows if t is not None}
+    place = {t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in texts}
+    held = {}
+    for t in texts:
+        for line in t.split("\n"):
+            for x in templates(line)[1]:
+                held.setdefault(x, set()).add(place[t])
+    often = {x: min(p) for x, p in held.items() if len(p) >= (2 if x[1] == "whole" and x[0] >= 20 else 3)}
+
+    def kept(t):
+        out = []
+        for line in t.split("\n"):
+            n, under = templates(line)
+            first = [often[x] for x in under if x in often]
+            if not (first and (n < 20 or place[t] > min(first))):
+                out.append(line)
+        return "\n".join(out)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, drop_recurring_lines(docs).select("doc_id", "text").collect()), key=str)
+    want = sorted([(i, None if t is None else kept(t)) for i, t in rows], key=str)
+    assert got == want
+    assert 20 < sum(t != kept(t) for t in texts) < len(texts)
