@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,21 +128,49 @@ def resume_point(store: DataFrame, default_start) -> DataFrame:
                                 F.lit(as_date(default_start))).alias("resume_date"))
 
 
+def iso_timestamp(c) -> Column:
+    """ISO-8601 text -> wall-clock time in UTC (TIMESTAMP_NTZ); NULL where it is none.
+
+    Calendar dates in extended or basic form, alone (midnight) or with hours,
+    minutes, seconds and a fraction (cut after microseconds), and an offset `Z`,
+    +hh, +hhmm or +hh:mm; without one the time is UTC.  White space around it is
+    ignored; week and ordinal dates are not read."""
+    text = F.trim(F.col(c) if isinstance(c, str) else c)
+    shape = (r"^(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{4})([0-9]{2})([0-9]{2}))"
+             r"(?:[Tt ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?)?"
+             r" ?(?:([Zz])|([+-])([0-9]{2})(?::?([0-9]{2}))?)?$")
+
+    def part(k: int) -> Column:
+        return F.regexp_extract(text, shape, k)
+
+    def number(*k: int) -> Column:
+        digits = F.concat(*[part(x) for x in k])
+        return F.when(digits == "", 0).otherwise(digits.cast("int"))
+
+    second = F.concat(F.lpad(number(9).cast("string"), 2, "0"), F.lit("."), F.rpad(F.substring(part(10), 1, 6), 6, "0"))
+    wall = F.try_make_timestamp_ntz(number(1, 4), number(2, 5), number(3, 6), number(7), number(8), second.cast("decimal(8,6)"))
+    away = (number(13) * 60 + number(14)) * F.when(part(12) == "-", -1).otherwise(1)
+    ok = text.rlike(shape) & (number(13) < 24) & (number(14) < 60) & (number(9) < 60)
+    # a fraction is digits of the second, so the offset is whole minutes
+    return F.when(ok, F.try_subtract(wall, F.make_dt_interval(mins=away)))
+
+
 def published_time_local(df: DataFrame, ts_col: str, tz: str = "US/Eastern") -> DataFrame:
     """UTC publication time -> local time and the date in each zone.
 
-    A string column is parsed as ISO-8601 (NULL when unparsable)."""
+    A string column is parsed as ISO-8601 (`iso_timestamp`; NULL when unparsable)."""
     c = F.col(ts_col)
     dtype = df.schema[ts_col].dataType
     if isinstance(dtype, T.StringType):
-        c = F.try_to_timestamp(c)
+        c = iso_timestamp(c)
+        dtype = T.TimestampNTZType()
     if isinstance(dtype, T.TimestampNTZType):
         # wall-clock UTC time: convert without the session time zone
-        local = F.convert_timezone(F.lit("UTC"), F.lit(tz), c)
+        local = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col("time_utc"))
     else:
-        local = F.from_utc_timestamp(c, tz)
-    return df.select("*", c.alias("time_utc"), local.alias("time_et"),
-                     F.to_date(c).alias("date_utc"), F.to_date(local).alias("date_et"))
+        local = F.from_utc_timestamp(F.col("time_utc"), tz)
+    timed = df.drop(*[x for x in ("time_utc", "time_et", "date_utc", "date_et") if x != ts_col]).withColumn("time_utc", c)
+    return timed.withColumn("time_et", local).withColumns({"date_utc": F.to_date("time_utc"), "date_et": F.to_date("time_et")})
 
 
 def news_scan(spark: SparkSession, path: str | None, fmt: str = "parquet") -> DataFrame:

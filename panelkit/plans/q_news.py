@@ -135,35 +135,33 @@ def published_time_local(spark, sf):
     return out.select("event_id", "time_utc", "time_et", "date_utc", "date_et")
 
 
-def _sql_text_of(expr: str) -> str:
-    e = f"regexp_replace({expr}, '{PG.TAG}', '', 'g')"
-    for ent, ch in PG.ENTITIES:
-        e = "replace({}, '{}', '{}')".format(e, ent.replace("'", "''"), ch.replace("'", "''"))
-    return e
+@query("published_time_of_pages", S.published(S.classed_pages()))
+def published_time_of_pages(spark, sf):
+    """The time in each page's own meta tag, in the ISO forms that sites use."""
+    timed = N.published_time_local(PG.page_published(FX.classed_pages(spark, sf)), "published")
+    return timed.select("page_id", "published", "time_utc", "time_et", "date_utc", "date_et")
 
 
-_CLEAN = f"regexp_replace(html, '{PG.NOISE}', '', 'g')"
-
-
-@query("page_extract", f"""
-WITH c AS (SELECT page_id, url, {_CLEAN} AS clean FROM pages),
-a AS (SELECT page_id, url, clean, string_split_regex(regexp_extract(clean, '{PG.ARTICLE}', 1), '{PG.P_OPEN}') AS chunks FROM c)
-SELECT page_id, url,
-  CASE WHEN regexp_matches(clean, '{PG.H1}') THEN {_sql_text_of(f"regexp_extract(clean, '{PG.H1}', 1)")} END AS title,
-  CASE WHEN regexp_matches(clean, '{PG.ARTICLE}') THEN array_to_string(list_transform(chunks[2:],
-     lambda ch: {_sql_text_of(f"regexp_replace(ch, '{PG.P_TAIL}', '')")}), ' ') END AS article
-FROM a""")
+@query("page_extract", S.page_text("SELECT page_id, url, html FROM pages", "article"))
 def page_extract(spark, sf):
     return PG.page_extract(FX.table(spark, sf, "pages"))
 
 
-@query("page_links", f"""
-SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS url, 'fixture' AS source
-FROM (SELECT page_id, regexp_extract_all({_CLEAN}, '{PG.LINK.replace(chr(39), chr(39) * 2)}', 1) AS l FROM pages)""")
+@query("page_extract_classed", S.page_text(S.classed_pages(), "div", "article-content"))
+def page_extract_classed(spark, sf):
+    return PG.page_extract(FX.classed_pages(spark, sf), "div", "article-content")
+
+
+@query("page_links", S.page_links("SELECT page_id, url, html FROM pages"))
 def page_links(spark, sf):
     return PG.page_links(FX.table(spark, sf, "pages"), "fixture")
 
 
+@query("page_links_classed", S.page_links(S.classed_pages(), "post-link"))
+def page_links_classed(spark, sf):
+    return PG.page_links(FX.classed_pages(spark, sf), "fixture", "post-link")
+
+
 @query("paragraph_split", """
 SELECT doc_id, pos, replace(p, chr(10), ' ') AS paragraph FROM (
   SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS pos, unnest(ps) AS p

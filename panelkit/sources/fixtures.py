@@ -79,6 +79,29 @@ def dated_news(spark: SparkSession, sf_dir: str, base: str = "1995-01-02",
     )
 
 
+def classed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a site with classed, nested blocks would serve them: attributes
+    with `>` in them, numeric references, inner blocks, relative links."""
+    h = F.replace(F.col("html"), F.lit("<article>"), F.concat(
+        F.lit('<div class="teaser"><p>short of it</p></div><div title="a > b" class=\'lead article-content\'><p>n&#176; '),
+        F.col("page_id").cast("string"),
+        F.lit(" of the day&#8217;s<br/>list &amp;#38; more</p><blockquote><p>said &#x201C;so&quot;</p></blockquote>")))
+    h = F.replace(h, F.lit("</article>"), F.lit("<p>end</div></div><p>outside"))
+    n = F.col("page_id").cast("int")
+    day = F.date_add(F.lit(dt.date(2023, 1, 1)), F.pmod(n * 37, F.lit(365)))
+    clock = F.date_format(F.timestamp_seconds(F.pmod(n.cast("bigint") * 7919, F.lit(86400))), "HH:mm:ss")
+    both = F.concat(day.cast("string"), F.lit("T"), clock)
+    basic = F.translate(both, "-:", "")
+    forms = [F.concat(both, F.lit("+00:00")), F.concat(both, F.lit("Z")), F.concat(both, F.lit("+05:30")), F.concat(both, F.lit(".1234567")),
+             day.cast("string"), F.concat(both, F.lit("-0800")), F.lit("a while ago"), F.concat(basic, F.lit("Z")),
+             F.concat(day.cast("string"), F.lit(" "), F.substring(clock, 1, 5)), F.concat(both, F.lit("+25:00"))]
+    meta = F.concat(F.lit('<meta property="article:published_time" content="'),
+                    F.element_at(F.array(*forms), F.pmod(n, F.lit(len(forms))) + 1), F.lit('"/></head>'))
+    h = F.replace(h, F.lit("</head>"), F.when(n % 11 == 10, F.lit("</head>")).otherwise(meta))
+    h = F.replace(h, F.lit('<li><a href="/'), F.lit('<li><a title="x > y" class="plain post-link" href="../a/./b?c=1&amp;d='))
+    return table(spark, sf_dir, "pages").select("page_id", "url", h.alias("html"))
+
+
 def event_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated_news(spark, sf_dir, base="2024-01-01", days=30)
 
