@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import order_ranges, same_keys
 from .util import as_date
 from .windows import field_getter
 
@@ -66,43 +67,45 @@ def drop_untitled(news: DataFrame) -> DataFrame:
 
 def rank_within(df: DataFrame, group: Sequence[str], order: str, bucket: int = 100_000,
                 out: str = "pos") -> DataFrame:
-    """0-based position of each row inside its group by the integer `order`
-    column, without a window over a whole group: rows are cut into ranges
-    of `bucket` order values, counted per (group, range), the counts of the
-    earlier ranges are summed (a window over range counts) and a row number
-    is taken inside each range (at most `bucket` rows per task)."""
-    from pyspark.sql import Window
+    """0-based position of each row inside its group by the `order` column, without
+    a window over a whole group: groups above `bucket` rows are cut into ranges by
+    splitters of their own values (`order_ranges`), rows are counted per range, the
+    counts of the earlier ranges are summed (a window over range counts) and a row
+    number is taken inside each range."""
     group = list(group)
-    b = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)))
+    b = order_ranges(df, group, order, bucket, "_b")
     per = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*group).orderBy("_b")
-                              .rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_c").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offs = per.select(*group, "_b", F.coalesce(before, F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order))
-    return (b.join(offs, [*group, "_b"]).withColumn(out, (F.col("_off") + rn - 1).cast("bigint"))
-             .drop("_b", "_off"))
+    ranked = b.withColumn("_rn", rn)
+    return (ranked.alias("x").join(offs.alias("y"), same_keys("x", "y", [*group, "_b"])).select("x.*", "y._off")
+            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_b", "_off", "_rn"))
 
 
 def daily_news_positions(news: DataFrame, fields: Sequence[str] = ("title", "keywords_count"),
                          order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
-    """Long form of the per-day lists: (date, pos, fields...), NULLs kept.
-    Skew-safe: a day holding a large share of all articles is ranked in
-    bounded ranges instead of being collected into one row."""
+    """Long form of the per-day lists: (date, pos, fields...), NULLs kept.  A day
+    holding a large share of all articles is ranked in bounded ranges."""
     return rank_within(news.select(*by, "date", order, *fields), [*by, "date"], order) \
         .select(*by, "date", "pos", *fields)
 
 
 def daily_news_lists(news: DataFrame, fields: Sequence[str] = ("title", "keywords_count"),
-                     order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
-    """Per date: parallel lists of `fields` in `order`, NULL values kept.
-
-    Each list holds a whole day, so it suits days of bounded size; the
-    pipeline itself never builds it (it selects titles per day first), and
-    `daily_news_positions` is the skew-safe long form."""
-    g = news.groupBy(*by, "date").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(f) for f in fields])))
-        .alias("_rows"))
-    return g.select(*by, "date", *[F.transform("_rows", field_getter(f)).alias(f) for f in fields])
+                     order: str = "ord", by: Sequence[str] = (), most: int = 10_000) -> DataFrame:
+    """Per date: parallel lists of `fields` in `order`, NULL values kept, as
+    (by, date, part, lists...).  A day is one row while it has at most `most`
+    articles; a larger one continues in further parts of `most`, so no row or task
+    grows with the day.  Lists of a day in order of part are the whole day's."""
+    long = daily_news_positions(news, fields, order, by).withColumn("part", F.floor(F.col("pos") / most).cast("int"))
+    g = long.groupBy(*by, "date", "part").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_o"), *[F.col(f) for f in fields]))).alias("_rows"))
+    return g.select(*by, "date", "part", *[F.transform("_rows", field_getter(f)).alias(f) for f in fields])
+
+
+def daily_news_totals(news: DataFrame, count_col: str = "keywords_count", by: Sequence[str] = ()) -> DataFrame:
+    """Per date: articles and keyword total (all that a price join needs of a day)."""
+    return news.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("n_titles"), F.sum(count_col).cast("bigint").alias("kw"))
 
 
 def missing_dates(news: DataFrame, start, end, spark: SparkSession | None = None) -> DataFrame:

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div, weekday_name, word_count
+from ..session import stage_table
+from .ranges import grouped_quantiles
 from .util import one_row_join
 
 METRICS = ("open", "high", "low", "close", "adj_close", "volume")
@@ -128,6 +132,86 @@ def nearest_vector(vectors: DataFrame, query_id: int, id_col: str = "vec_id",
                        (-F.col("_b.neg_id")).alias("match_id"), F.col("_b.sim").alias("sim"))
 
 
+BLOCK_BYTES = 32 << 20   # vectors that one search task holds
+QUERY_BYTES = 8 << 20    # queries that one search task holds
+DIGITS = 12              # similarities equal to so many digits are ties
+
+
+def _best_in_cell(k: int, exclude_self: bool):
+    """The k best vectors of a cell for each of its queries."""
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        def unit(t: pa.Table) -> np.ndarray:
+            m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+        if not len(queries) or not len(vectors):       # a cell with one side only
+            return pa.table({"query_id": pa.array([], pa.int64()), "match_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        q_id, v_id = queries.column("id").to_numpy(), vectors.column("id").to_numpy()
+        order = np.argsort(v_id, kind="stable")
+        v_id, side = v_id[order], unit(vectors)[order]
+        found: list[tuple] = []
+        ask = unit(queries)
+        for at in range(0, len(ask), 256):
+            sim = np.round(ask[at:at + 256] @ side.T, DIGITS)
+            for row, q in zip(sim, q_id[at:at + 256], strict=True):
+                if exclude_self:
+                    row = np.where(v_id == q, -np.inf, row)
+                # ids ascend, so a stable order breaks ties by the smaller id
+                if len(row) > 4 * k:
+                    least = np.partition(row, len(row) - k)[len(row) - k]
+                    near = np.flatnonzero(row >= least)
+                else:
+                    near = np.arange(len(row))
+                near = near[np.argsort(-row[near], kind="stable")][:k]
+                found += [(int(q), int(v_id[j]), float(row[j])) for j in near if row[j] > -np.inf]
+        cols = list(zip(*found, strict=True)) if found else [[]] * 3
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(
+            ("query_id", "match_id", "sim"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+    return run
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 1, id_col: str = "vec_id",
+                    vec_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """(query_id, rank, match_id, sim): the k vectors of greatest cosine with each
+    query, ties (equal to DIGITS digits) by the smaller id.
+
+    A blocked similarity join: queries and vectors are dealt to cells of bounded
+    bytes, a cell multiplies its two blocks and keeps k rows a query, and the
+    cells' best are merged; no pair table exists.  Only vectors of a query's own
+    length meet it.  Rows with a NULL id, a NULL, empty, zero or non-finite vector
+    take no part; of an id's several rows each searches or is found."""
+    from pyspark.sql import Window
+    spark = vectors.sparkSession
+    v = F.col(vec_col).cast("array<double>")
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+
+    def clean(df: DataFrame, name: str) -> DataFrame:
+        d = df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(sound)
+        return stage_table(d.withColumn("width", F.size("v")), name)
+
+    ask, side = clean(queries, "nearest-queries"), clean(vectors, "nearest-vectors")
+
+    def blocks(d: DataFrame, most: int, name: str) -> DataFrame:
+        return d.groupBy("width").agg(F.count(F.lit(1)).alias("n")).select(
+            "width", F.ceil(F.col("n") * F.col("width") * 8 / F.lit(most)).cast("int").alias(name))
+
+    # at least as many cells as the session has shuffle partitions
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = (blocks(ask, QUERY_BYTES, "qs").join(blocks(side, BLOCK_BYTES, "vs"), "width")
+            .withColumn("vs", F.greatest("vs", F.ceil(F.lit(few) / F.col("qs")).cast("int"))))
+    dealt = (ask.join(size, "width").select("width", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int").alias("qb"),
+                                            F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"), "id", "v"))
+    held = (side.join(size, "width").select("width", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"),
+                                            F.pmod(F.xxhash64("id"), F.col("vs")).cast("int").alias("vb"), "id", "v"))
+    cell = ["width", "qb", "vb"]
+    best = (dealt.groupBy(*cell).cogroup(held.groupBy(*cell))
+            .applyInArrow(_best_in_cell(k, exclude_self), "query_id bigint, match_id bigint, sim double"))
+    # at most k rows a cell and query meet here
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "match_id")
+    ranked = best.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "match_id", "sim")
+
+
 def group_percent(hist: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
     """Percent of each bin inside its group (groups hold at most `bins` rows)."""
     from pyspark.sql import Window
@@ -136,7 +220,5 @@ def group_percent(hist: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """min, quartiles (linear interpolation) and max per group."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(*by).agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return g.select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max")
+    q = grouped_quantiles(df, (0.0, 0.25, 0.5, 0.75, 1.0), by, value)
+    return q.select(*by, *[F.col("q")[k].alias(c) for k, c in enumerate(("min", "q1", "median", "q3", "max"))])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import grouped_quantiles
 from .util import one_row_join
 
 
@@ -131,9 +132,10 @@ def return_bin_target_freq(df: DataFrame, bins: int = 30, value: str = "return",
 
 def grouped_equal_frequency_edges(df: DataFrame, q: int, by: Sequence[str],
                                   value_col: str = "return") -> DataFrame:
-    """Per group: q-quantile edges, duplicates dropped (exact percentile)."""
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    return df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(value_col), probs)).alias("edges"))
+    """Per group: q-quantile edges, duplicates dropped; exact, without a group's
+    values in one buffer."""
+    found = grouped_quantiles(df, [i / q for i in range(q + 1)], by, value_col)
+    return found.select(*by, F.array_distinct("q").alias("edges"))
 
 
 def grouped_equal_width_edges(df: DataFrame, n: int, by: Sequence[str],

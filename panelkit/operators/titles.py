@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
+from .ranges import order_ranges
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
@@ -128,13 +129,13 @@ def weight_intervals(cand: DataFrame, day_keys: Sequence[str], count_col: str =
                      order_col: str = "ord", bucket: int = 100_000) -> DataFrame:
     """Per day, each candidate's [lo, hi) slice of the day's total weight
     W = sum ln(1 + count), in `order_col` order.  Prefix sums are two-level
-    (ranges of `bucket` order values, then rows inside a range) so no task
-    holds a whole day; range totals are taken from the same running sums, so
-    consecutive slices meet exactly and tile [0, W)."""
+    (ranges cut by splitters of the day's own order values, then rows inside a
+    range) so no task holds a day of more than `bucket` candidates; range totals
+    are taken from the same running sums, so consecutive slices meet exactly and
+    tile [0, W)."""
     day_keys = list(day_keys)
     w = F.log1p(F.col(count_col).cast("double"))
-    b = cand.select(*day_keys, order_col, w.alias("_w"),
-                    F.floor(F.col(order_col) / F.lit(bucket)).alias("_rb"))
+    b = order_ranges(cand.select(*day_keys, order_col, w.alias("_w")), day_keys, order_col, bucket, "_rb")
     inner = Window.partitionBy(*day_keys, "_rb").orderBy(order_col)
     part = b.withColumn("_ps", F.sum("_w").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
             .withColumn("_pp", F.coalesce(F.lag("_ps").over(inner), F.lit(0.0)))

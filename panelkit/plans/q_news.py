@@ -89,7 +89,10 @@ def relevant_flag(spark, sf):
 SELECT date, row_number() OVER (PARTITION BY date ORDER BY ord) - 1 AS pos, title,
   {S.kw_count()} AS keywords_count FROM n""")
 def daily_news_lists(spark, sf):
-    return N.daily_news_positions(_kw(spark, sf), ("title", "keywords_count"))
+    most = 10_000
+    lists = N.daily_news_lists(_kw(spark, sf), ("title", "keywords_count"), most=most)
+    z = lists.select("date", "part", F.posexplode(F.arrays_zip("title", "keywords_count")).alias("at", "z"))
+    return z.select("date", (F.col("part") * F.lit(most) + F.col("at")).cast("bigint").alias("pos"), "z.title", "z.keywords_count")
 
 
 @query("keyword_volume_by_year", S.with_(n=S.DATED_NEWS) + f"""

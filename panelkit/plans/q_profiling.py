@@ -91,6 +91,20 @@ def nearest_vector(spark, sf):
     return nv.select("query_id", "match_id", r6("sim").alias("sim"))
 
 
+@query("nearest_vectors", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS match_id,
+        round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 12) AS sim
+      FROM e, e q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, match_id, round(sim, 6) AS sim FROM r WHERE rank <= 5""")
+def nearest_vectors(spark, sf):
+    """The queries are the rows whose id is divisible by 20, against all rows."""
+    vectors = FX.table(spark, sf, "embeddings")
+    found = PR.nearest_vectors(vectors.filter(F.col("vec_id") % 20 == 0), vectors, 5)
+    return found.select("query_id", "rank", "match_id", r6("sim").alias("sim"))
+
+
 def _nday_returns(spark, sf):
     """n-day returns for n in N_DAYS plus the overnight return as n = 0 (the
     notebook's period list starts with 0 = overnight)."""

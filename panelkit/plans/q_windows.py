@@ -198,11 +198,7 @@ def _daily_news_sql():
 
 
 def _daily_news(spark, sf):
-    news = N.keyword_count(FX.dated_news(spark, sf), FX.FIXTURE_KEYWORDS)
-    lists = N.daily_news_lists(news, ("title", "keywords_count"))
-    return lists.select("date", F.size("title").cast("bigint").alias("n_titles"),
-                        F.aggregate("keywords_count", F.lit(0).cast("bigint"),
-                                    lambda a, v: a + v).alias("kw"))
+    return N.daily_news_totals(N.keyword_count(FX.dated_news(spark, sf), FX.FIXTURE_KEYWORDS))
 
 
 @query("price_news_join", _panel_sql(1) + f""",
