@@ -53,38 +53,71 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
         cache.select("model", "prompt"), ["model", "prompt"], "left_anti")
 
 
-def _score_partition(scorer: Callable[[str, str], str], retries: int):
+BatchScorer = Callable[[str, list[str]], Sequence[str | None]]
+
+
+def each(scorer: Callable[[str, str], str]) -> BatchScorer:
+    """A batch scorer from one that takes a prompt at a time; a call that raises
+    leaves its prompt without an answer."""
+    def run(model: str, prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for p in prompts:
+            try:
+                out.append(scorer(model, p))
+            except Exception:  # noqa: BLE001 - a failed call is retried
+                out.append(None)
+        return out
+    return run
+
+
+def _score_partition(scorer: BatchScorer, retries: int, size: int):
     def run(batches):
         for pdf in batches:
-            out = []
-            for model, prompt in zip(pdf["model"], pdf["prompt"]):
-                completion = None
+            answers: dict[tuple, str | None] = {}
+            for model, prompts in pdf.groupby("model", dropna=False)["prompt"]:
+                left = list(prompts)
                 for _ in range(retries):
-                    try:
-                        completion = scorer(model, prompt).strip()
+                    missed: list[str] = []
+                    for at in range(0, len(left), size):
+                        part = left[at:at + size]
+                        try:
+                            got = list(scorer(model, part))
+                        except Exception:  # noqa: BLE001 - a failed call is retried
+                            got = [None] * len(part)
+                        if len(got) != len(part):
+                            raise ValueError(f"the scorer gave {len(got)} answers to {len(part)} prompts")
+                        for p, a in zip(part, got):
+                            if a is None:
+                                missed.append(p)
+                            else:
+                                answers[model, p] = a.strip()
+                    left = missed
+                    if not left:
                         break
-                    except Exception:  # noqa: BLE001 - a failed call is retried
-                        continue
-                out.append(completion)
-            yield pd.DataFrame({"model": pdf["model"], "prompt": pdf["prompt"], "completion": out})
+            pairs = zip(pdf["model"], pdf["prompt"])
+            yield pd.DataFrame({"model": pdf["model"], "prompt": pdf["prompt"],
+                                "completion": [answers.get(k) for k in pairs]})
     return run
 
 
-def predict_batch(requests: DataFrame, cache: DataFrame, scorer: Callable[[str, str], str],
+def predict_batch(requests: DataFrame, cache: DataFrame, scorer: BatchScorer,
                   labels: Sequence[str], retries: int = 3,
-                  cache_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+                  cache_path: str | None = None, size: int = 256) -> tuple[DataFrame, DataFrame]:
     """Completions for (model, prompt) requests.
 
-    Cache hits are reused; the distinct misses go through `scorer` in
-    Arrow batches (`mapInPandas`), each call tried up to `retries` times.
-    Returns (answers, new_cache_rows): a failed call gives NULL and is not
+    Cache hits are reused; the distinct misses go through `scorer`, which takes a
+    model and up to `size` prompts at a time and gives an answer, or None, for each
+    (`each` makes one of a scorer for single prompts).  Prompts without an answer
+    are asked again, up to `retries` times in all; a call that raises answers none.
+    Returns (answers, new_cache_rows): what stays unanswered is NULL and is not
     cached; an answer outside `labels` is kept in the cache but labelled NULL.
     Each miss is scored once; with `cache_path` the new rows are appended to the
-    cache table there.  Of a cache's repeats the least completion is used.
+    cache table there.  Of a cache's repeats the least completion is used.  NULL
+    models or prompts are not asked and have no answer.
     """
-    misses = cache_misses(requests, cache)
+    misses = cache_misses(requests, cache).filter(F.col("model").isNotNull() & F.col("prompt").isNotNull())
     # written once: answers and cache rows come from the same calls
-    scored = stage_table(misses.mapInPandas(_score_partition(scorer, retries),
+    scored = stage_table(misses.mapInPandas(_score_partition(scorer, retries, size),
                                             "model string, prompt string, completion string"), "scored")
     fresh = scored.filter(F.col("completion").isNotNull())
     cached = cache.groupBy("model", "prompt").agg(F.min("completion").alias("completion"))
@@ -124,22 +157,36 @@ def token_count(c) -> F.Column:
 
 def tail_rows(df: DataFrame, n: DataFrame, date_col: str = "date",
               tie_cols: Sequence[str] = ("ticker", "replica")) -> DataFrame:
-    """The last n rows of `df` by (date, ties...), n from a one-row table.
+    """The last n rows of `df` by (date, ties...), n from a one-row table; NULL dates
+    and ties stand before all others, and a hash of the whole row decides last.
 
-    No global sort: per-date counts (one row per day) give the cut-off day
-    through a window over the days, and only the rows of that single day are
-    ranked (partitioned by day, so a task holds one day at most)."""
+    Counts per day (one row a day) give the day the cut falls on; later days are
+    taken whole.  The rows of that one day are range-partitioned by the ties, each
+    counted within its range, and the ranges' counts (one row a range) give every
+    row its place: no window holds a day, and no more than the day is sorted."""
     from pyspark.sql import Window
     per_day = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_c"))
-    after = F.sum("_c").over(Window.orderBy(F.col(date_col).desc())
-                             .rowsBetween(Window.unboundedPreceding, -1))
-    days = one_row_join(per_day.withColumn("_after", F.coalesce(after, F.lit(0))), n) \
-        .filter(F.col("_after") < F.col("_n")) \
-        .select(date_col, (F.col("_n") - F.col("_after")).alias("_take"))
-    j = df.join(F.broadcast(days), date_col)
-    w = Window.partitionBy(date_col).orderBy(*[F.col(c).desc() for c in tie_cols])
-    return j.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= F.col("_take")) \
-            .drop("_rk", "_take")
+    later = F.sum("_c").over(Window.orderBy(F.col(date_col).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    days = one_row_join(per_day.withColumn("_after", F.coalesce(later, F.lit(0))), n)
+    on_cut = (F.col("_after") < F.col("_n")) & (F.col("_after") + F.col("_c") > F.col("_n"))
+    # one row: the day that is cut and what it gives, or none, where days are whole
+    cut = days.agg(F.max(F.when(on_cut, F.struct(F.col(date_col).alias("day"), (F.col("_n") - F.col("_after")).alias("take")))).alias("_cut"),
+                   F.min(F.when(F.col("_after") + F.col("_c") <= F.col("_n"), F.struct(F.col(date_col).isNotNull(), F.col(date_col).alias("day")))).alias("_last"))
+    marked = one_row_join(df, cut)
+    last = F.col("_last.day")
+    whole = F.col("_last").isNotNull() & (last.isNull() | (F.col(date_col) >= last))
+    the_day = F.col("_cut").isNotNull() & F.col(date_col).eqNullSafe(F.col("_cut.day"))
+    order = [*[F.col(c).desc_nulls_last() for c in tie_cols], F.xxhash64(*[F.col(c) for c in df.columns]).desc()]
+    placed = stage_table(
+        marked.filter(the_day).repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id()), "tail-day")
+    # the id is (partition, row of it)
+    placed = placed.withColumns({"_part": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    held = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offset = held.select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
+    of_day = placed.join(offset, "_part").filter(F.col("_off") + F.col("_row") < F.col("_cut.take"))
+    return marked.filter(whole).select(*df.columns).unionByName(of_day.select(*df.columns))
 
 
 def token_cost_estimate(train: DataFrame, val: DataFrame, model: str, epochs: int | None = None,

@@ -24,16 +24,17 @@ BRAND_BARS = f"""SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS ticker,
 FROM ({BRAND_LINES}) GROUP BY 1, 2"""
 
 
-def dated_news(base: str = "1995-01-02", days: int = 120) -> str:
-    return f"""SELECT DATE '{base}' + CAST(doc_id % {days} AS INTEGER) AS date,
-  concat('doc://', CAST(doc_id AS VARCHAR)) AS url, source,
+def dated_news(base: str = "1995-01-02", days: int = 2498, copies: int = 1) -> str:
+    return f"""SELECT DATE '{base}' + CAST((doc_id * 37 + copy * 419) % {days} AS INTEGER) AS date,
+  concat('doc://', CAST(doc_id AS VARCHAR), '/', CAST(copy AS VARCHAR)) AS url, source,
   CASE WHEN doc_id % 97 = 5 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
   CASE WHEN doc_id % 89 = 7 THEN NULL ELSE text END AS article,
-  doc_id AS ord
-FROM documents"""
+  doc_id * {copies} + copy AS ord
+FROM documents, range({copies}) c(copy)"""
 
 
 DATED_NEWS = dated_news()
+DAILY_NEWS = dated_news(copies=6)
 EVENT_NEWS = dated_news("2024-01-01", 30)
 
 TRADES = f"""SELECT l_suppkey % 5 AS account, CAST(l_shipdate AS DATE) AS date, p_brand AS symbol,
@@ -58,8 +59,8 @@ def frames_values(frames) -> str:
     return f"SELECT * FROM (VALUES {rows}) t(split, fstart, fend)"
 
 
-BRAND_FRAMES = (("train", "1995-01-02", "1995-03-02"), ("val", "1995-03-03", "1995-04-01"),
-                ("test", "1995-04-02", "1995-05-01"))
+BRAND_FRAMES = (("train", "1995-01-01", "1999-12-31"), ("val", "2000-01-01", "2000-12-31"),
+                ("test", "2001-01-01", "2001-12-31"))
 
 
 def labels_sql(labels) -> str:

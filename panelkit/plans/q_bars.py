@@ -234,8 +234,8 @@ def time_frame_split(spark, sf):
 
 @query("train_tail_frame", S.with_(b=S.BRAND_BARS) + f"""
 SELECT {_sql_bar_cols()} FROM b
-WHERE b.date BETWEEN greatest(DATE '1995-03-02' - CAST(DATE '1995-05-01' - DATE '1995-04-02' AS INTEGER), DATE '1995-01-02')
-  AND DATE '1995-03-02'""")
+WHERE b.date BETWEEN greatest(DATE '1999-12-31' - CAST(DATE '2001-12-31' - DATE '2001-01-01' AS INTEGER), DATE '1995-01-01')
+  AND DATE '1999-12-31'""")
 def train_tail_frame(spark, sf):
     fr = frames_df(spark, FX.BRAND_FRAMES)
     tail = TG.train_tail_frame(fr)

@@ -37,20 +37,20 @@ def news_snapshot_write(spark, sf):
 
 
 @query("missing_dates", S.with_(n=S.DATED_NEWS) + """
-SELECT d AS date FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '1995-06-30', INTERVAL 1 DAY)) AS DATE) AS d)
+SELECT d AS date FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
 WHERE d NOT IN (SELECT date FROM n)""")
 def missing_dates(spark, sf):
-    return N.missing_dates(_news(spark, sf), "1994-12-01", "1995-06-30")
+    return N.missing_dates(_news(spark, sf), "1994-12-01", "2001-12-31")
 
 
 @query("append_new_days", S.with_(n=S.DATED_NEWS) + """,
-st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n WHERE date <= DATE '1995-02-28'),
-nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1995-02-15')
+st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n WHERE date <= DATE '1998-06-30'),
+nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1998-05-15')
 SELECT * FROM st UNION ALL SELECT * FROM nw WHERE date NOT IN (SELECT date FROM st)""")
 def append_new_days(spark, sf):
     n = _news(spark, sf).select("date", "url", "source", "title", "article", "ord")
-    store = n.filter(F.col("date") <= F.lit("1995-02-28").cast("date"))
-    new = n.filter(F.col("date") >= F.lit("1995-02-15").cast("date")) \
+    store = n.filter(F.col("date") <= F.lit("1998-06-30").cast("date"))
+    new = n.filter(F.col("date") >= F.lit("1998-05-15").cast("date")) \
            .withColumn("url", F.replace("url", F.lit("doc://"), F.lit("new://")))
     out = N.append_new_days(store, new)
     return out.withColumn("article_md5", F.md5("article")).drop("article")
@@ -69,9 +69,9 @@ def drop_untitled(spark, sf):
 
 @query("news_slice", S.with_(n=S.DATED_NEWS) + f"""
 SELECT date, url, source, title, ord, {S.kw_count()} AS keywords_count FROM n
-WHERE date BETWEEN DATE '1995-02-01' AND DATE '1995-02-28'""")
+WHERE date BETWEEN DATE '1998-02-01' AND DATE '1998-12-31'""")
 def news_slice(spark, sf):
-    return N.news_slice(_news(spark, sf), "1995-02-01", "1995-02-28", drop_articles=True,
+    return N.news_slice(_news(spark, sf), "1998-02-01", "1998-12-31", drop_articles=True,
                         keywords=FX.FIXTURE_KEYWORDS)
 
 
@@ -176,18 +176,18 @@ def paragraph_split(spark, sf):
 
 
 @query("append_new_days_stream", S.with_(n=S.DATED_NEWS) + """,
-st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n WHERE date <= DATE '1995-02-28'),
-nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1995-02-15')
+st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n WHERE date <= DATE '1998-06-30'),
+nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1998-05-15')
 SELECT * FROM st UNION ALL SELECT * FROM nw WHERE date NOT IN (SELECT date FROM st)""")
 def append_new_days_stream(spark, sf):
-    """The store is seeded with the days up to Feb 28; new day files (from
-    Feb 15, overlapping) arrive in an incoming folder and are streamed in."""
+    """The store is seeded with the days up to June 30; new day files (from
+    May 15, overlapping) arrive in an incoming folder and are streamed in."""
     from ..streaming.incremental import commit_days, ingest_new_days
     root = ST.unique_path(stage_path(spark, "news_stream"), "run")
     n = _news(spark, sf).select("date", "url", "source", "title", "article", "ord")
-    n.filter(F.col("date") <= F.lit("1995-02-28").cast("date")) \
+    n.filter(F.col("date") <= F.lit("1998-06-30").cast("date")) \
      .write.partitionBy("date").parquet(f"{root}/store")
-    new = n.filter(F.col("date") >= F.lit("1995-02-15").cast("date")) \
+    new = n.filter(F.col("date") >= F.lit("1998-05-15").cast("date")) \
            .withColumn("url", F.replace("url", F.lit("doc://"), F.lit("new://")))
     new.write.parquet(f"{root}/incoming")
     q = ingest_new_days(spark, f"{root}/incoming", new.schema, f"{root}/arrived", f"{root}/_checkpoint")

@@ -1,7 +1,7 @@
 """Catalog: the dataset pipeline, title selection and target binning.
 
 The flagship oracle rebuilds the whole preprocessing in SQL on brand_bars with
-the three fixture frames.  Training titles are random draws, so the value
+the three fixture frames, which cover the bars' whole span.  Training titles are random draws, so the value
 check covers everything except their text (their number per day is fixed:
 min(candidates, k)).
 """
@@ -38,7 +38,7 @@ def flagship(spark, sf):
 
 
 def _dataset(spark, sf, **kw):
-    return build_dataset(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf), brand_params(**kw))
+    return build_dataset(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params(**kw))
 
 
 # --------------------------------------------------------------------------
@@ -49,7 +49,7 @@ def _ref(c):
     return f"arg_min({c}, day_idx) FILTER (WHERE day_idx < {last} AND {c} IS NOT NULL) AS ref_{c}"
 
 
-PIPE_SQL = S.with_(bars=S.BRAND_BARS, f=S.frames_values(S.BRAND_FRAMES), news=S.DATED_NEWS)[:-1] + f""",
+PIPE_SQL = S.with_(bars=S.BRAND_BARS, f=S.frames_values(S.BRAND_FRAMES), news=S.DAILY_NEWS)[:-1] + f""",
 b AS (SELECT f.split, bars.* FROM bars JOIN f ON bars.date BETWEEN f.fstart AND f.fend),
 bo AS (SELECT split, min(date) AS lo, max(date) AS hi FROM b GROUP BY split),
 grid AS (SELECT t.split, t.ticker, CAST(unnest(generate_series(bo.lo, bo.hi, INTERVAL 1 DAY)) AS DATE) AS date
@@ -110,7 +110,7 @@ def _explode_samples(ds):
     return z.select("split", "ticker", "sample_id", "replica", "day_idx", "z.date", "z.weekday",
                     *[r6(f"z.{c}").alias(c) for c in FEATS],
                     F.size("z.title").cast("bigint").alias("n_day"),
-                    F.when(F.col("split") == "train", F.lit(None))
+                    F.when((F.col("split") == "train") | (F.size("z.title") == 0), F.lit(None))
                     .otherwise(F.array_join("z.title", " | ")).alias("titles_text"),
                     r6("return").alias("ret"), "target")
 
@@ -149,22 +149,22 @@ def union_splits(spark, sf):
 
 # ---- stages of the title cut ------------------------------------------------
 
-@query("titles_nonzero", S.with_(news=S.DATED_NEWS) + f"""
+@query("titles_nonzero", S.with_(news=S.DAILY_NEWS) + f"""
 SELECT date, ord, title, {S.kw_count()} AS keywords_count FROM news
 WHERE {S.kw_count()} > 0 AND title IS NOT NULL""")
 def titles_nonzero(spark, sf):
-    n = N.keyword_count(FX.dated_news(spark, sf), FX.FIXTURE_KEYWORDS)
+    n = N.keyword_count(FX.daily_news(spark, sf), FX.FIXTURE_KEYWORDS)
     return TT.titles_nonzero(n).select("date", "ord", "title", "keywords_count")
 
 
-@query("top_titles_per_day", S.with_(news=S.DATED_NEWS) + f""",
+@query("top_titles_per_day", S.with_(news=S.DAILY_NEWS) + f""",
 cand AS (SELECT date, ord, title, {S.kw_count()} AS kc FROM news WHERE {S.kw_count()} > 0 AND title IS NOT NULL),
 cnt AS (SELECT date, count(*) AS m FROM cand GROUP BY date),
 ranked AS (SELECT c.*, row_number() OVER (PARTITION BY date ORDER BY kc DESC, title DESC, ord) AS rk FROM cand c)
 SELECT r.date, r.title, CASE WHEN cnt.m <= 3 THEN row_number() OVER (PARTITION BY r.date ORDER BY r.ord) ELSE r.rk END - 1 AS pos
 FROM ranked r JOIN cnt USING (date) WHERE r.rk <= 3""")
 def top_titles_per_day(spark, sf):
-    n = N.keyword_count(FX.dated_news(spark, sf), FX.FIXTURE_KEYWORDS)
+    n = N.keyword_count(FX.daily_news(spark, sf), FX.FIXTURE_KEYWORDS)
     top = TT.top_titles_per_day(TT.titles_nonzero(n), 3)
     return top.select("date", F.posexplode("titles").alias("pos", "title")).select(
         "date", "title", F.col("pos").cast("bigint").alias("pos"))
@@ -198,7 +198,7 @@ pre AS (SELECT a.split, a.ticker, a.sample_id, a.replica, t.n_titles, t.last_n
 
 
 def _pre_filter(spark, sf):
-    return samples(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf),
+    return samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf),
                    brand_params(min_titles_per_window=0), title_filters=False)
 
 
@@ -235,7 +235,7 @@ def titles_per_window_histogram(spark, sf):
 SELECT unnest(e) AS edge FROM (SELECT list_sort(list_distinct(quantile_cont(ret, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e
   FROM win WHERE split = 'train')""".replace("SELECT unnest(e) AS edge", "SELECT round(unnest(e), 6) AS edge"))
 def equal_frequency_edges(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf), brand_params())
+    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
     e = TG.equal_frequency_edges(s.filter(F.col("split") == "train"), 5)
     return e.select(F.explode("edges").alias("edge")).select(r6("edge").alias("edge"))
 
@@ -246,7 +246,7 @@ e AS (SELECT unnest(range(0, 6)) AS i, mn, mx FROM mm)
 SELECT i, round(CASE WHEN i = 5 THEN mx WHEN i = 0 THEN mn - (mx - mn) * 0.001 ELSE mn + i * ((mx - mn) / 5.0) END, 6) AS edge
 FROM e""")
 def equal_width_edges(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf), brand_params())
+    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
     e = TG.equal_width_edges(s.filter(F.col("split") == "train"), 5)
     return e.select(F.posexplode("edges").alias("i", "edge")).select(F.col("i").cast("bigint").alias("i"),
                                                                     r6("edge").alias("edge"))
@@ -255,7 +255,7 @@ def equal_width_edges(spark, sf):
 @query("apply_bins", PIPE_SQL + """
 SELECT split, ticker, sample_id, replica, round(ret, 6) AS ret, target FROM lab""")
 def apply_bins(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf), brand_params())
+    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
     return label(s, brand_params()).select("split", "ticker", "sample_id", "replica",
                                            r6("return").alias("ret"), "target")
 
@@ -263,7 +263,7 @@ def apply_bins(spark, sf):
 @query("null_target_guard", PIPE_SQL + """
 SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE target IS NULL) AS n_null FROM lab GROUP BY split""")
 def null_target_guard(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.dated_news(spark, sf), brand_params())
+    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
     lab = label(s, brand_params())
     TG.null_target_guard(lab, 0.05, splits=["train", "val", "test"])   # raises when over the limit
     return TG.null_target_counts(lab)

@@ -1,5 +1,7 @@
-"""Catalog: prompts, predictors, cache, cost estimate (val/test samples, whose
-titles are deterministic)."""
+"""Catalog: prompts, predictors, cache, cost estimate, over all three splits.
+
+Training titles are random draws, so the text of training titles is left out of
+the compared columns; everything else of the training rows is compared."""
 
 from __future__ import annotations
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import float_list_text, strip_ws
 from ..operators import predict as PD
 from ..operators import prompts as PT
-from ..session import stage_path
+from ..session import stage_path, stage_table
 from ..sources import fixtures as FX
 from ..sources import stores as ST
 from . import oracle_sql as S
@@ -41,15 +43,30 @@ prompts AS (SELECT split, ticker, sample_id, replica, last_date, ret,
   FROM agg_p)"""
 
 
-def _eval_samples(spark, sf):
-    return _dataset(spark, sf).filter(F.col("split") != "train")
+HIDDEN = "News Titles: (drawn)"
+
+
+def _prompts(spark, sf):
+    return _dataset(spark, sf).select(
+        "split", "ticker", "sample_id", "replica", F.element_at("date", -1).alias("date"),
+        PT.sample_key().alias("index"), PT.prompt_text().alias("prompt"), F.concat("target", F.lit("\n")).alias("completion"))
+
+
+def untitled(c="prompt"):
+    """A prompt up to its titles."""
+    return F.concat(F.substring_index(c, "News Titles:", 1), F.lit(HIDDEN))
+
+
+def _shown(c="prompt"):
+    return F.when(F.col("split") == "train", untitled(c)).otherwise(F.col(c))
 
 
-def _prompts(spark, sf, every=False):
-    ds = _dataset(spark, sf) if every else _eval_samples(spark, sf)
-    return ds.select("split", "ticker", "sample_id", "replica", F.element_at("date", -1).alias("date"),
-                     PT.sample_key().alias("index"), PT.prompt_text().alias("prompt"),
-                     F.concat("target", F.lit("\n")).alias("completion"))
+def _untitled_sql(c="prompt"):
+    return f"split_part({c}, 'News Titles:', 1) || '{HIDDEN}'"
+
+
+_SHOWN_SQL = f"CASE WHEN split = 'train' THEN {_untitled_sql()} ELSE prompt END"
+SPLITS = ("train", "val", "test")
 
 
 @query("float_list_text", PIPE_SQL + f"""
@@ -69,34 +86,43 @@ def sample_key(spark, sf):
     return _dataset(spark, sf).select("split", "ticker", "sample_id", "replica", PT.sample_key().alias("index"))
 
 
-@query("prompt_build", PROMPT_SQL + """
-SELECT split, "index", prompt, completion FROM prompts WHERE split <> 'train'""")
+@query("prompt_build", PROMPT_SQL + f"""
+SELECT split, "index", {_SHOWN_SQL} AS prompt, completion FROM prompts""")
 def prompt_build(spark, sf):
-    return _prompts(spark, sf).select("split", "index", "prompt", "completion")
+    return _prompts(spark, sf).select("split", "index", _shown().alias("prompt"), "completion")
+
 
+def _per_split(spark, sf, name, write):
+    """Every split's file written and read back, as the training set is kept."""
+    p = stage_table(_prompts(spark, sf), "prompts")
+    out = None
+    for split in SPLITS:
+        path = ST.unique_path(stage_path(spark, name), split)
+        back = write(p.filter(F.col("split") == split), path).withColumn("split", F.lit(split))
+        out = back if out is None else out.unionByName(back)
+    return out.select("split", "index", _shown().alias("prompt"), "completion")
 
-@query("training_csv", PROMPT_SQL + """
-SELECT "index", prompt, completion FROM prompts WHERE split <> 'train'""")
+
+@query("training_csv", PROMPT_SQL + f"""
+SELECT split, "index", {_SHOWN_SQL} AS prompt, completion FROM prompts""")
 def training_csv(spark, sf):
-    path = ST.unique_path(stage_path(spark, "training_csv"), "prompts")
-    return ST.training_csv(_prompts(spark, sf), path).select("index", "prompt", "completion")
+    return _per_split(spark, sf, "training_csv", ST.training_csv)
 
 
-@query("training_jsonl", PROMPT_SQL + """
-SELECT prompt, completion, "index" FROM prompts WHERE split <> 'train'""")
+@query("training_jsonl", PROMPT_SQL + f"""
+SELECT split, {_SHOWN_SQL} AS prompt, completion, "index" FROM prompts""")
 def training_jsonl(spark, sf):
-    path = ST.unique_path(stage_path(spark, "training_jsonl"), "prompts")
-    return ST.training_jsonl(_prompts(spark, sf), path)
+    return _per_split(spark, sf, "training_jsonl", ST.training_jsonl)
 
 
-@query("dedupe_prompts", PROMPT_SQL + """
-SELECT DISTINCT "index", prompt FROM prompts WHERE split <> 'train'""")
+@query("dedupe_prompts", PROMPT_SQL + f"""
+SELECT DISTINCT "index", {_untitled_sql()} AS prompt FROM prompts""")
 def dedupe_prompts(spark, sf):
     p = _prompts(spark, sf)
-    # the val prompts twice (as re-read tables would give them) plus test
+    # the val prompts twice, as re-read tables would give them
     both = p.unionByName(p.filter(F.col("split") == "val"))
-    ranked = both.withColumn("split_rank", F.when(F.col("split") == "val", 1).otherwise(2))
-    return PD.dedupe_prompts(ranked)
+    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    return PD.dedupe_prompts(both.withColumn("split_rank", rank)).select("index", untitled().alias("prompt"))
 
 
 _GT_SQL = f"""CASE WHEN ret > 0 THEN '{LABELS[-1]}' WHEN ret < 0 THEN '{LABELS[0]}' ELSE '{LABELS[len(LABELS) // 2]}' END"""
@@ -130,12 +156,12 @@ MODEL = "babbage-002"
 
 
 @query("cache_misses", PROMPT_SQL + f"""
-SELECT DISTINCT '{MODEL}' AS model, prompt FROM prompts WHERE split = 'test'
+SELECT DISTINCT '{MODEL}' AS model, {_untitled_sql()} AS prompt FROM prompts WHERE split <> 'val'
   AND prompt NOT IN (SELECT prompt FROM prompts WHERE split = 'val')""")
 def cache_misses(spark, sf):
     p = _prompts(spark, sf).withColumn("model", F.lit(MODEL))
     cache = p.filter(F.col("split") == "val").select("model", "prompt", strip_ws("completion").alias("completion"))
-    return PD.cache_misses(p.select("model", "prompt"), cache)
+    return PD.cache_misses(p.select("model", "prompt"), cache).select("model", untitled().alias("prompt")).distinct()
 
 
 def stub_scorer(model: str, prompt: str) -> str:
@@ -159,7 +185,7 @@ _STUB_SQL = """CASE WHEN v = 'nan' THEN NULL WHEN CAST(v AS DOUBLE) > 1.05 THEN
 kept AS (SELECT prompt, min(regexp_replace(completion, '^\\s+|\\s+$', '', 'g')) AS completion FROM prompts WHERE split = 'val' GROUP BY prompt),
 ask AS (SELECT "index", prompt, CASE WHEN trim(string_split(regexp_extract(prompt, '- Open Prices: ([^\\n]*)', 1), ',')[-1]) = 'nan' THEN 'nan'
           ELSE trim(string_split(regexp_extract(prompt, '- Open Prices: ([^\\n]*)', 1), ',')[-1]) END AS v
-        FROM prompts WHERE split <> 'train'),
+        FROM prompts),
 got AS (SELECT ask."index", CASE WHEN kept.prompt IS NOT NULL THEN kept.completion ELSE {_STUB_SQL} END AS completion
         FROM ask LEFT JOIN kept ON kept.prompt = ask.prompt)
 SELECT "index", '{MODEL}' AS model, completion,
@@ -167,7 +193,7 @@ SELECT "index", '{MODEL}' AS model, completion,
 def predict_batch(spark, sf):
     p = _prompts(spark, sf).withColumn("model", F.lit(MODEL))
     cache = p.filter(F.col("split") == "val").select("model", "prompt", strip_ws("completion").alias("completion"))
-    answers, _ = PD.predict_batch(p.select("index", "model", "prompt"), cache, stub_scorer, LABELS)
+    answers, _ = PD.predict_batch(p.select("index", "model", "prompt"), cache, PD.each(stub_scorer), LABELS)
     return answers.select("index", "model", "completion", "label")
 
 
@@ -177,7 +203,7 @@ conf AS (SELECT unnest({S.labels_sql(LABELS)}) AS label)
 SELECT coalesce(seen.label, conf.label) AS label, seen.label IS NOT NULL AS in_data, conf.label IS NOT NULL AS in_config
 FROM seen FULL OUTER JOIN conf ON seen.label = conf.label""")
 def label_set_check(spark, sf):
-    return PD.label_set_check(_prompts(spark, sf, every=True), LABELS)
+    return PD.label_set_check(_prompts(spark, sf), LABELS)
 
 
 def _tok_sql(c):
@@ -185,8 +211,8 @@ def _tok_sql(c):
 
 
 @query("token_cost_estimate", PROMPT_SQL + f""",
-tr AS (SELECT *, {_tok_sql('prompt')} + {_tok_sql('completion')} AS t FROM prompts WHERE split = 'val'),
-va AS (SELECT *, {_tok_sql('prompt')} + {_tok_sql('completion')} AS t FROM prompts WHERE split = 'test'),
+tr AS (SELECT *, {_tok_sql('(' + _untitled_sql() + ')')} + {_tok_sql('completion')} AS t FROM prompts WHERE split = 'train'),
+va AS (SELECT *, {_tok_sql('(' + _untitled_sql() + ')')} + {_tok_sql('completion')} AS t FROM prompts WHERE split = 'val'),
 tail AS (SELECT t FROM tr ORDER BY last_date DESC, ticker DESC, replica DESC LIMIT (SELECT count(*) FROM va)),
 s AS (SELECT (SELECT sum(t) FROM tr) AS train_tokens, (SELECT coalesce(sum(t), 0) FROM tail) AS train_tail_tokens,
              (SELECT sum(t) FROM va) AS val_tokens)
@@ -201,8 +227,10 @@ SELECT '{MODEL}' AS model, CAST(train_tokens AS BIGINT) AS train_tokens, CAST(tr
         + (train_tail_tokens + val_tokens) * {PD.INFERENCE_COST_PER_1000[MODEL]} / 1000.0 <= 2 AS within_budget
 FROM s""")
 def token_cost_estimate(spark, sf):
-    p = _prompts(spark, sf)
-    est = PD.token_cost_estimate(p.filter(F.col("split") == "val"), p.filter(F.col("split") == "test"),
+    """Training on the train frame, inference over its tail and over val; titles are
+    not counted, as those of train are random draws."""
+    p = stage_table(_prompts(spark, sf).withColumn("prompt", untitled()), "prompts")
+    est = PD.token_cost_estimate(p.filter(F.col("split") == "train"), p.filter(F.col("split") == "val"),
                                  MODEL, epochs=None, budget=2)
     from .catalog import r6
     return est.select("model", F.col("train_tokens").cast("bigint").alias("train_tokens"),
@@ -217,19 +245,20 @@ SELECT count(*) AS rows_before, count(*) FILTER (WHERE "index" IS NOT NULL AND p
   count(*) FILTER (WHERE "index" IS NULL) AS null_index, count(*) FILTER (WHERE prompt IS NULL) AS null_prompt,
   count(*) FILTER (WHERE completion IS NULL) AS null_completion,
   count(*) - count(*) FILTER (WHERE "index" IS NOT NULL AND prompt IS NOT NULL AND completion IS NOT NULL) AS rows_dropped
-FROM prompts WHERE split <> 'train'""")
+FROM prompts""")
 def null_row_report(spark, sf):
     from ..operators.quality import null_profile
     return null_profile(_prompts(spark, sf).select("index", "prompt", "completion"))
 
 
 @query("train_tail_rows", PROMPT_SQL + """
-SELECT "index", replica FROM prompts WHERE split = 'val'
-ORDER BY last_date DESC, ticker DESC, replica DESC LIMIT (SELECT count(*) FROM prompts WHERE split = 'test')""")
+SELECT "index", replica FROM prompts WHERE split = 'train'
+ORDER BY last_date DESC, ticker DESC, replica DESC LIMIT (SELECT count(*) FROM prompts WHERE split = 'val')""")
 def train_tail_rows(spark, sf):
-    p = _prompts(spark, sf)
-    n = p.filter(F.col("split") == "test").agg(F.count(F.lit(1)).alias("_n"))
-    return PD.tail_rows(p.filter(F.col("split") == "val"), n).select("index", "replica")
+    """As many of the train frame's last rows as val has."""
+    p = stage_table(_prompts(spark, sf).select("split", "index", "date", "ticker", "replica"), "prompt-keys")
+    n = p.filter(F.col("split") == "val").agg(F.count(F.lit(1)).alias("_n"))
+    return PD.tail_rows(p.filter(F.col("split") == "train"), n).select("index", "replica")
 
 
 @query("predictor_interface", PROMPT_SQL + f""",

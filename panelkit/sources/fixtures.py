@@ -61,24 +61,34 @@ def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dated_news(spark: SparkSession, sf_dir: str, base: str = "1995-01-02",
-               days: int = 120) -> DataFrame:
-    """News with a date, some null titles and null articles."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+# The days that the test bars span, from the first one on.
+FIRST_DAY, SPAN = "1995-01-02", 2498
+
+
+def dated_news(spark: SparkSession, sf_dir: str, base: str = FIRST_DAY, days: int = SPAN, copies: int = 1) -> DataFrame:
+    """News with a date, some null titles and null articles; with `copies`, every
+    document is published on so many days."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "source", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     return d.select(
         F.date_add(F.lit(dt.date.fromisoformat(base)),
-                   (F.col("doc_id") % days).cast("int")).alias("date"),
-        F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
+                   F.pmod(F.col("doc_id") * 37 + F.col("copy") * 419, F.lit(days)).cast("int")).alias("date"),
+        F.concat(F.lit("doc://"), F.col("doc_id").cast("string"), F.lit("/"), F.col("copy").cast("string")).alias("url"),
         F.col("source"),
         F.when(F.col("doc_id") % 97 == 5, F.lit(None).cast("string"))
         .otherwise(F.substring_index("text", "\n", 1))
         .alias("title"),
         F.when(F.col("doc_id") % 89 == 7, F.lit(None).cast("string"))
         .otherwise(F.col("text")).alias("article"),
-        F.col("doc_id").alias("ord"),
+        (F.col("doc_id") * copies + F.col("copy")).alias("ord"),
     )
 
 
+def daily_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News on most days of the bars' span."""
+    return dated_news(spark, sf_dir, copies=6)
+
+
 def classed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a site with classed, nested blocks would serve them: attributes
     with `>` in them, numeric references, inner blocks, relative links."""
@@ -121,11 +131,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Fixed values of the test fixtures: keywords (plain, so Java regex and RE2
-# agree) and the three time frames used with brand_bars.
+# agree) and the three time frames used with brand_bars, which cover all of them.
 FIXTURE_KEYWORDS = ("tion", "the", "que")
-BRAND_FRAMES = frames(("train", "1995-01-02", "1995-03-02"),
-                      ("val", "1995-03-03", "1995-04-01"),
-                      ("test", "1995-04-02", "1995-05-01"))
+BRAND_FRAMES = frames(("train", "1995-01-01", "1999-12-31"),
+                      ("val", "2000-01-01", "2000-12-31"),
+                      ("test", "2001-01-01", "2001-12-31"))
 EVENT_FRAMES = frames(("train", "2024-01-01", "2024-01-30"),
                       ("val", "2024-01-01", "2024-01-30"),
                       ("test", "2024-01-01", "2024-01-30"))

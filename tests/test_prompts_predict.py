@@ -81,7 +81,7 @@ def test_predict_batch_cache_retries_and_labels(spark):
     req = spark.createDataFrame([("m", "p0"), ("m", "p1"), ("m", "p2"), ("m", "fail"), ("m", "p1")],
                                 "model string, prompt string")
     cache = spark.createDataFrame([("m", "p0", "bad")], "model string, prompt string, completion string")
-    answers, fresh = PD.predict_batch(req, cache, scorer, ["bad", "good"])
+    answers, fresh = PD.predict_batch(req, cache, PD.each(scorer), ["bad", "good"])
     got = {(r.prompt, r.completion, r.label) for r in answers.collect()}
     assert got == {("p0", "bad", "bad"), ("p1", "good", "good"), ("p2", "weird", None), ("fail", None, None)}
     assert {r.prompt for r in fresh.collect()} == {"p1", "p2"}       # failures are not cached
@@ -94,3 +94,40 @@ def test_random_predictor_is_repeatable_and_uses_all_labels(spark):
     b = PD.predict_random(keys.repartition(7), ["x", "y", "z"], seed=5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert {r.label for r in a.collect()} == {"x", "y", "z"}
+
+
+def test_predict_batch_asks_in_batches_and_again_for_what_is_missing(spark):
+    def scorer(model, prompts):
+        assert len(prompts) <= 4
+        if any(p == "boom" for p in prompts) and len(prompts) > 1:
+            raise RuntimeError("one bad prompt fails the call")
+        # every third prompt is answered on its own only
+        return [None if int(p[1:]) % 3 == 0 and len(prompts) > 2 else f" {model}{p[1:]} " for p in prompts]
+
+    req = spark.createDataFrame([("m", f"p{k}") for k in range(30)] + [("n", "p5"), (None, "p1"), ("m", None)],
+                                "model string, prompt string").repartition(3)
+    cache = spark.createDataFrame([], "model string, prompt string, completion string")
+    answers, fresh = PD.predict_batch(req, cache, scorer, ["m1"], retries=40, size=4)
+    got = {(r.model, r.prompt): (r.completion, r.label) for r in answers.collect()}
+    assert got["m", "p1"] == ("m1", "m1") and got["n", "p5"] == ("n5", None)
+    assert got[None, "p1"] == got["m", None] == (None, None)
+    assert all(got["m", f"p{k}"][0] == f"m{k}" for k in range(30) if k % 3)
+    assert fresh.count() == sum(c is not None for c, _ in got.values())
+    with pytest.raises(Exception, match="2 answers"):
+        PD.predict_batch(req, cache, lambda m, p: ["a", "b"], ["a"], size=4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 40, 47, 48, 60])
+def test_tail_rows_cut_within_a_day(spark, n):
+    days = [dt.date(2024, 1, 1)] * 7 + [dt.date(2024, 1, 2)] * 33 + [dt.date(2024, 1, 3)] * 8
+    rows = [(d, f"T{k % 5}" if k % 11 else None, k % 3, k) for k, d in enumerate(days)] + [(None, "A", 0, 900), (None, "B", 1, 901)]
+    df = spark.createDataFrame(rows, "date date, ticker string, replica int, k int").repartition(4)
+    count = spark.createDataFrame([(n,)], "_n long")
+
+    def place(r):
+        return (r[0] or dt.date.min, r[1] is not None, r[1] or "", r[2])
+
+    want = sorted((place(r) for r in rows), reverse=True)[:n]
+    got = PD.tail_rows(df, count).collect()
+    assert sorted((place(r) for r in got), reverse=True) == want
+    assert len({r.k for r in got}) == len(got) and PD.tail_rows(df, count).columns == df.columns
