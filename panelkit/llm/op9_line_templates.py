@@ -44,15 +44,16 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 
-SPACE = r"[\x20\x09-\x0D]"
 FIELD = "<*>"
 PARTS = 5
 _PART = [f"p{k}" for k in range(PARTS)]
 
 
 def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line)
-    return F.array_remove(F.split(masked, SPACE), "")
+    """A line's words, those with a digit masked; its white space is blanks only.
+    A word is tried from its own start alone, so a very long one is read once."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(^| )[^ 0-9]*[0-9][^ ]*", f"$1{FIELD}")).otherwise(line)
+    return F.array_remove(F.split(masked, " "), "")
 
 
 def _text_key(text: Column) -> tuple[Column, Column]:
@@ -70,12 +71,15 @@ def line_table(docs: DataFrame, min_tokens: int = 3, text_col: str = "text") ->
     text's key, its place, its tokens, the hash of all and of each part."""
     text = F.col(text_col).cast("string")
     t1, t2 = _text_key(text)
+    blank = F.translate(text, "\t\x0b\x0c\r", "    ")
     t, n = F.col("tokens"), F.col("n")
-    lines = (docs.filter(text.isNotNull()).select(t1.alias("t1"), t2.alias("t2"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-             .select("t1", "t2", "pos", _tokens(F.col("line")).alias("tokens"))
+    # cut into tokens before the lines become rows: the filter on their number then
+    # stays above, where below it would cut every line a second time
+    lines = (docs.filter(text.isNotNull())
+             .select(t1.alias("t1"), t2.alias("t2"), F.posexplode(F.transform(F.split(blank, "\n"), _tokens)).alias("pos", "tokens"))
              .select("t1", "t2", "pos", "tokens", F.size("tokens").alias("n")).filter(n >= min_tokens))
     cut = _cuts(n)
-    parts = [F.xxhash64(F.lit(k), F.array_join(F.slice(t, a + 1, b - a), " ")).alias(_PART[k])
+    parts = [F.xxhash64(F.lit(k), F.slice(t, a + 1, b - a)).alias(_PART[k])
              for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
     # the whole is hashed from its parts, which have fixed places
     return lines.select("t1", "t2", "pos", "n", *parts).withColumn("whole", F.xxhash64("n", *_PART))
