@@ -17,14 +17,17 @@ threshold for every item cannot reach it.  Nothing else is skipped.
 
 The index goes to the executors as a whole while the items hold at most
 `index_bytes` of text, which is checked; a larger benchmark is cut by a hash of
-the item id into that many parts, each an index with its own statistics, and the
-documents are read once per part.
+(item, text) into that many parts, each an index of its own, and the documents
+are read once per part.  Number of items, document frequencies, mean length and
+the longest item are those of all items, counted once in Spark, so scores and
+passages, and with them the result, do not depend on the parts.
 
 Words are runs of ASCII letters (lower-cased), digits and bytes of other
 characters.  NULL and empty texts have no passages; NULL or empty items match
 nothing.  NULL ids are kept as they stand.  Repeated documents give repeated
-rows, repeated items one row each.  Extra columns are ignored; empty tables
-give no rows.
+rows; repeated (item, text) rows are one item, further texts of an item id items
+of their own.  A very long document is searched passage by passage, a very long
+item makes passages longer.  Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from .shingles import BYTE_VALUE, ngram_hashes, prefix_hash, span_hash, text_chunks
 
 K1, B = 1.2, 0.75
@@ -90,24 +94,41 @@ def question_and_answer(text: str) -> tuple[int, np.ndarray, np.ndarray]:
     return width, np.unique(g[:cut]), np.unique(g[cut:])
 
 
+class ItemStatistics:
+    """What a score needs of all items: their number, mean length, the longest, and
+    how many hold each of some terms (ascending)."""
+
+    def __init__(self, items: int, words_: int, span: int, terms: np.ndarray, df: np.ndarray):
+        self.items, self.mean, self.span, self.terms, self._df = items, words_ / max(1, items), max(1, span), terms, df
+
+    @classmethod
+    def of(cls, texts: list[str]) -> ItemStatistics:
+        hashed = [h for t in texts if len(h := _hash_words(t))]
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(h) for h in hashed]]), return_counts=True)
+        return cls(len(hashed), sum(map(len, hashed)), max(map(len, hashed), default=1), terms, df)
+
+    def df(self, terms: np.ndarray) -> np.ndarray:
+        return self._df[np.searchsorted(self.terms, terms)]
+
+
 class ItemIndex:
     """Inverted lists of normalised BM25 weights, in blocks with their maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], least_score: float):
+    def __init__(self, items: list[tuple[int, str]], least_score: float, about: ItemStatistics | None = None):
+        about = about or ItemStatistics.of([t for _, t in items])
         hashed = [(i, t, _hash_words(t)) for i, t in items]
         hashed = [x for x in hashed if len(x[2])]
         self.ids = [i for i, _, _ in hashed]
         self.parts = [question_and_answer(t) for _, t, _ in hashed]
-        self.span = max((len(h) for _, _, h in hashed), default=1)
-        n = len(hashed)
+        self.span = about.span
         tf = [np.unique(h, return_counts=True) for _, _, h in hashed]
-        self.vocabulary, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in tf]]), return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = sum(len(h) for _, _, h in hashed) / max(1, n)
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in tf]]))
+        df = about.df(self.vocabulary)
+        idf = np.log(1 + (about.items - df + 0.5) / (df + 0.5))
         term, item, weight = [], [], []
         for k, (t, c) in enumerate(tf):
             at = np.searchsorted(self.vocabulary, t)
-            w = idf[at] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(hashed[k][2]) / mean))
+            w = idf[at] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(hashed[k][2]) / about.mean))
             term.append(at)
             item.append(np.full(len(t), k))
             weight.append(w / w.sum())
@@ -117,9 +138,9 @@ class ItemIndex:
         self.at = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
         self.least = least_score
         # words so frequent that they cannot carry an item over the threshold
-        self.frequent = df > max(2, FREQUENT * n)
+        self.frequent = df > max(2, FREQUENT * about.items)
         common = np.repeat(self.frequent, np.diff(self.at))
-        self.slack = np.bincount(self.item[common], self.weight[common], minlength=n)
+        self.slack = np.bincount(self.item[common], self.weight[common], minlength=len(self.ids))
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Term of every word, -1 where no item has it."""
@@ -249,21 +270,43 @@ def _search(index: ItemIndex, least_overlap: float):
     return run
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term, words): a row per distinct term of an item, and one without a
+    term that has the item's words."""
+    for batch in batches:
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = _hash_words(text)
+            terms = np.unique(h).view(np.int64).tolist()
+            if terms:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * (len(terms) + 1), pa.int32()), pa.array([*terms, None], pa.int64()),
+                     pa.array([None] * len(terms) + [len(h)], pa.int64())], ["part", "term", "words"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.6, least_overlap: float = 0.5,
                index_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, score, question_overlap, answer_overlap) of every
     verified pair, with its best passage's figures."""
     items = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.filter("item is not null and text is not null")
+    items = items.filter("item is not null and text is not null").distinct()
     weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(weight / index_bytes))
+    items = stage_table(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int")), "op10-items")
+    terms = stage_table(items.select("part", "text").mapInArrow(_item_terms, "part int, term bigint, words bigint"), "op10-terms")
+    n, words_, span = terms.filter("term is null").agg(F.count(F.lit(1)), F.sum("words"), F.max("words")).first()
+    held = terms.filter("term is not null")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for part in range(parts):
-        # at most about index_bytes of text come to the driver here
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        index = ItemIndex([(r["item"], r["text"]) for r in rows], least_score)
+        # at most about index_bytes of text come to the driver here, and its terms
+        rows = items.filter(F.col("part") == part).orderBy("item", "text").collect()
+        own = df.join(held.filter(F.col("part") == part).select("term").distinct(), "term").collect()
+        order = sorted((np.int64(r["term"]).view(np.uint64), r["df"]) for r in own)
+        about = ItemStatistics(n, words_ or 0, span or 1, np.array([t for t, _ in order], dtype=np.uint64),
+                               np.array([d for _, d in order], dtype=np.int64))
+        index = ItemIndex([(r["item"], r["text"]) for r in rows], least_score, about)
         hits = texts.mapInArrow(_search(index, least_overlap),
                                 "id bigint, item bigint, score double, question double, answer double")
         found = hits if found is None else found.unionByName(hits)

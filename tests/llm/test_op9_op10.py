@@ -4,6 +4,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelkit.llm import op10_decontamination as op10
 from panelkit.llm.op9_line_templates import drop_recurring_lines
@@ -68,9 +69,27 @@ def test_leaks_found_and_clean_documents_left(spark, monkeypatch):
                     want.add((i, item))
     assert got == want
     assert {r.doc_id for r in drop_leaks(d, b).select("doc_id").collect()} == {i for i, _ in docs} - {i for i, _ in want}
-    # a benchmark above the bound is cut into several indexes
-    parts = {(r.doc_id, r.item_id) for r in find_leaks(d, b, index_bytes=800).collect()}
-    assert {(100 + k, k) for k in range(20)} <= parts
+
+
+def test_cut_indexes_give_the_same(spark):
+    """A benchmark above the bound is cut into several indexes; scores are of all items."""
+    docs, items = corpus()
+    # one item id with a third of all texts, in parts of their own
+    items = items + [(7, f"{t} {i}") for i, t in items[:20] if t]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items + items[:5], "item_id long, text string").withColumn("part", F.lit(1))
+    for score, overlap in ((0.2, 0.0), (0.6, 0.5)):
+        one, many = (sorted(map(tuple, find_leaks(d, b, score, overlap, index_bytes=size).collect())) for size in (16 << 20, 900))
+        assert len(one) >= 20 and [r[:2] for r in one] == [r[:2] for r in many]
+        np.testing.assert_allclose([r[2:] for r in one], [r[2:] for r in many])
+
+
+def test_leak_in_a_very_long_document(spark):
+    leak = "Which river runs through the old town of Eastmere? The broad river Tamsin."
+    long = " ".join(f"w{k % 5000}" for k in range(300_000))
+    d = spark.createDataFrame([(1, f"{long}\n{leak}\n{long}"), (2, long)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, leak), (2, "Some other question with words? An answer too.")], "item_id long, text string")
+    assert [tuple(r) for r in find_leaks(d, b).select("doc_id", "item_id").collect()] == [(1, 1)]
 
 
 def test_leaks_of_empty_tables(spark):
