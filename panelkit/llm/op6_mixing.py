@@ -5,7 +5,10 @@ point frac((n + 1) * phi) mapped through the cumulative target weights, so every
 prefix of the mix holds each source in proportion.  A slot's rank among its
 source's slots names a block of that source's stream: its documents shuffled by
 a seeded hash, one after the other, again and again up to `most_repeats` times.
-A document is taken for the words of its blocks.
+A document is taken for the words of its blocks, up to its source's target.  The
+mix has as many slots as the targets have blocks, so the schedule decides how far
+each stream is read: a source that the first slots serve too seldom ends short of
+its target, by no more than the sequence's discrepancy (a few blocks).
 
 Targets: source weights cycle over the sources in code point order, NULL last;
 each source gets its share of `amount` times all words, but at most
@@ -13,14 +16,14 @@ each source gets its share of `amount` times all words, but at most
 until none is above.  That is the level L with target = min(cap, L * weight),
 found by one sort of the sources by cap / weight.
 
-Slots that the schedule gives a source beyond its target are passed over, and
-ranks it has not reached are put at the end, so the words taken are the target
-rounded down.  All ranks and running sums are taken in two steps (per range,
-then within it), so no source is sorted in one task; only the table of sources
-(one row each) is ordered as a whole.  Everything is DataFrame functions.
+Slots that the schedule gives a source beyond its target are passed over.  All
+ranks and running sums are taken in two steps (per range, then within it), so no
+source is sorted in one task; only the table of sources (one row each) is ordered
+as a whole.  Everything is DataFrame functions.
 
 NULL texts have size 0 and are taken for 0 words; NULL sources are one source;
-NULL ids are kept.  Repeated rows count each on their own (rows equal in id,
+NULL ids are kept.  `first_slot` is the first slot that takes a document, NULL where
+none does.  An empty table gives no rows; other columns are ignored.  Repeated rows count each on their own (rows equal in id,
 text and source are interchangeable).  Reruns agree whatever the partitioning.
 """
 
@@ -74,46 +77,37 @@ def _running(d: DataFrame, keys: list[str], part: str, order: list, value: str,
             .select("d.*", (F.col("t._earlier") + F.col("_own")).cast("bigint").alias(name)).drop("_own"))
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
+def schedule(targets: DataFrame, block: int, step: float = PHI) -> DataFrame:
     """(slot, source, rank): which block of which source each slot holds.
 
-    `targets` needs source and target; ranks of a source run from 0 to
-    ceil(floor(target) / block) - 1, each once."""
+    `targets` needs source and target; there are as many slots as the targets have
+    whole blocks, and a source's ranks count its slots from 0."""
     spark = targets.sparkSession
     own = targets.select("source", F.floor("target").cast("bigint").alias("words")).filter("words > 0")
-    own = own.withColumn("blocks", F.ceil(F.col("words") / F.lit(block)).cast("bigint"))
     # cumulative weights over the sources (one row each), in [0, 1)
     so_far = Window.orderBy(F.col("source").isNull(), "source")
     total = F.sum("words").over(Window.partitionBy(F.lit(0)))
-    lines = own.select("source", "blocks",
-                       ((F.sum("words").over(so_far) - F.col("words")) / total).alias("lo"),
+    lines = own.select("source", ((F.sum("words").over(so_far) - F.col("words")) / total).alias("lo"),
                        (F.sum("words").over(so_far) / total).alias("hi"))
-    n = own.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    n = math.ceil((own.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]) / block)
     slots = spark.range(n).select(F.col("id").alias("slot"))
-    x = (F.col("slot") + 1).cast("double") * F.lit(PHI)
+    x = (F.col("slot") + 1).cast("double") * F.lit(step)
     # the unit interval is cut into cells, so that slots find their line by an
     # equality; a line is copied into the cells it reaches
     cells = 1024
     slots = slots.withColumn("point", x - F.floor(x)).withColumn("cell", F.floor(F.col("point") * cells).cast("int"))
     lines = lines.withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("lo") * cells).cast("int"), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)).cast("int"))))
-    drawn = (slots.join(lines, "cell").filter("point >= lo and point < hi").select("slot", "source", "blocks")
+    drawn = (slots.join(lines, "cell").filter("point >= lo and point < hi").select("slot", "source")
              .withColumns({"range": F.floor(F.col("slot") / RANGE_SLOTS), "one": F.lit(1).cast("bigint")}))
-    ranked = (_running(drawn, ["source"], "range", ["slot"], "one", "rank").filter("rank < blocks")
-              .select("slot", "source", "rank"))
-    # ranks the schedule has not reached stand at the end
-    reached = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("got"))
-    missing = (own.alias("o").join(reached.alias("r"), F.col("o.source").eqNullSafe(F.col("r.source")), "left")
-               .select("o.source", "o.blocks", F.coalesce("r.got", F.lit(0)).cast("bigint").alias("got"))
-               .filter("got < blocks")
-               .select("source", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("rank")))
-    return ranked.unionByName(missing.select((F.lit(n) + F.col("rank")).alias("slot"), "source", "rank"))
+    return _running(drawn, ["source"], "range", ["slot"], "one", "rank").select("slot", "source", "rank")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), amount: float = 1.5,
-                most_repeats: int = 2, block: int = 128, seed: str = "mix", id_col: str = "doc_id",
-                text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, source, size, source_size, target, taken) for every row of `docs`."""
+                most_repeats: int = 2, block: int = 32, seed: str = "mix", id_col: str = "doc_id",
+                text_col: str = "text", source_col: str = "source", step: float = PHI) -> DataFrame:
+    """(id_col, source, size, source_size, target, taken, first_slot) for every row
+    of `docs`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a word starts where a character that is none is followed by one that is
     plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
@@ -134,21 +128,24 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), a
     r = r.withColumn("range", F.floor(head * F.ceil(F.col("n") / RANGE_ROWS)).cast("bigint"))
     lain = _running(r, ["source"], "range", ["place", "id", "size"], "size", "start")
     lain = stage_table(lain.withColumn("key", F.monotonically_increasing_id()).drop("range", "n", "place"), "op6-streams")
+    # how far the slots read each stream
+    slots = stage_table(schedule(targets.select("source", "target"), block, step), "op6-slots")
+    read = slots.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    read = (targets.alias("t").join(read.alias("r"), F.col("t.source").eqNullSafe(F.col("r.source")))
+            .select("t.source", F.least(F.floor("t.target").cast("bigint"), F.col("r.slots") * block).alias("words")))
     # the words of each pass, piece by block
-    words = F.floor("target").cast("bigint")
-    piece = (lain.filter("size > 0").withColumn("words", words)
-             .select("key", "source", "size", "words",
+    piece = (lain.filter("size > 0").alias("x").join(read.alias("r"), F.col("x.source").eqNullSafe(F.col("r.source")))
+             .select("x.key", "x.source", "x.size", "r.words",
                      F.explode(F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)),
-                                           lambda p: F.col("start") + p * F.col("source_size"))).alias("a"))
+                                           lambda p: F.col("x.start") + p * F.col("x.source_size"))).alias("a"))
              .withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words"))).filter("a < b")
              .select("key", "source", "a", "b", F.explode(F.sequence(
                  F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
              .select("key", "source", "rank", (F.least(F.col("b"), (F.col("rank") + 1) * block)
                                                - F.greatest(F.col("a"), F.col("rank") * block)).alias("words")))
-    slots = schedule(targets.select("source", "target"), block)
     taken = (piece.alias("p").join(slots.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))
                                    & (F.col("p.rank") == F.col("s.rank")))
-             .groupBy("p.key").agg(F.sum("p.words").alias("taken")))
+             .groupBy("p.key").agg(F.sum("p.words").alias("taken"), F.min("s.slot").alias("first_slot")))
     return lain.join(taken, "key", "left").select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot")

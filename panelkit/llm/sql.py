@@ -17,12 +17,19 @@ l AS (SELECT *, (wanted - coalesce(sum(cap) OVER (ORDER BY cap / weight, source
                 / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce((SELECT level FROM f), 'inf'::DOUBLE) * weight) END AS target FROM l),
-p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+o AS (SELECT source, CAST(floor(target) AS BIGINT) AS words FROM t WHERE floor(target) > 0),
+c AS (SELECT source, words, CAST(sum(words) OVER (ORDER BY source IS NULL, source) - words AS DOUBLE) / CAST(sum(words) OVER () AS DOUBLE) AS lo,
+             CAST(sum(words) OVER (ORDER BY source IS NULL, source) AS DOUBLE) / CAST(sum(words) OVER () AS DOUBLE) AS hi FROM o),
+x AS (SELECT i AS slot, CAST(i + 1 AS DOUBLE) * ((sqrt(5.0::DOUBLE) - 1) / 2) AS x FROM range(CAST((SELECT coalesce(ceil(sum(words) / 32.0), 0) FROM o) AS BIGINT)) g(i)),
+g AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM x JOIN c ON x - floor(x) >= lo AND x - floor(x) < hi),
+r AS (SELECT o.source, least(words, 32 * slots) AS words FROM o JOIN (SELECT source, count(*) AS slots FROM g GROUP BY source) n ON n.source IS NOT DISTINCT FROM o.source),
+p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(r.words, 0) AS words,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, round(target, 6) AS target,
-       CAST(greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - a - source_size) AS BIGINT) AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN r ON r.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, p.source, size, source_size, round(target, 6) AS target,
+       CAST(greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - a - source_size) AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND a < words THEN g.slot END AS first_slot
+FROM p LEFT JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.rank = a // 32
 """
 
 
