@@ -6,6 +6,11 @@ row per (account, symbol, day) / (account, day) with map-side combine, so an
 ordered window holds at most one row per calendar day of one account (and
 symbol), however many trades a busy account has.  Within a day, sells settle
 before buys (the reference's order).
+
+Which orders execute depends on every earlier refusal, so a ledger of orders may
+say so itself: where the table has a boolean `accepted`, holdings and cash are those
+of the accepted orders alone (NULL is not accepted), and `order_checks` holds every
+order against that state.  Without the column every order counts as executed.
 """
 
 from __future__ import annotations
@@ -47,9 +52,14 @@ def signed_shares(side="side", shares="shares"):
     return F.when(F.col(side) == "buy", F.col(shares)).otherwise(-F.col(shares))
 
 
+def is_executed(trades: DataFrame):
+    """Whether an order changes the account."""
+    return F.coalesce(F.col("accepted"), F.lit(False)) if "accepted" in trades.columns else F.lit(True)
+
+
 def daily_positions(trades: DataFrame) -> DataFrame:
     """(account, symbol, date, shares): holdings after each trading day."""
-    d = trades.groupBy("account", "symbol", "date").agg(F.sum(signed_shares()).alias("_net"))
+    d = trades.filter(is_executed(trades)).groupBy("account", "symbol", "date").agg(F.sum(signed_shares()).alias("_net"))
     w = Window.partitionBy("account", "symbol").orderBy("date") \
               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.select("account", "symbol", "date", F.sum("_net").over(w).cast("bigint").alias("shares"))
@@ -79,7 +89,7 @@ def daily_cash(trades: DataFrame, bars: DataFrame, buying_at: str = "open", sell
     p = _priced(trades, bars, buying_at, selling_at)
     flow = F.when(F.col("side") == "buy", -F.col("shares") * F.col("buy_px")) \
             .otherwise(F.col("shares") * F.col("sell_px"))
-    d = p.groupBy("account", "date").agg(F.sum(flow).alias("_flow"))
+    d = p.filter(is_executed(p)).groupBy("account", "date").agg(F.sum(flow).alias("_flow"))
     days = account_days(trades).join(d, ["account", "date"], "left")
     w = Window.partitionBy("account").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dep = deposits_until("_first", "date", initial, monthly)
@@ -96,6 +106,36 @@ def ledger_positions(trades: DataFrame, bars: DataFrame, buying_at: str = "open"
     return pos.join(cash.select("account", "date", "cash"), ["account", "date"], "left")
 
 
+def holdings_before(trades: DataFrame) -> DataFrame:
+    """(account, symbol, date, held_before): holdings as each order day begins, for
+    every day with an order of the symbol."""
+    moves = daily_positions(trades)
+    asked = trades.select("account", "symbol", "date").distinct().join(moves, ["account", "symbol", "date"], "left")
+    w = Window.partitionBy("account", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    return asked.select("account", "symbol", "date",
+                        F.coalesce(F.last("shares", ignorenulls=True).over(w), F.lit(0)).alias("held_before"))
+
+
+def cash_at_open(trades: DataFrame, bars: DataFrame, buying_at: str = "open", selling_at: str = "close",
+                 initial: float = 0.0, monthly: float = 0.0) -> DataFrame:
+    """(account, date, cash_open): the previous day's cash and the deposits since."""
+    cash = daily_cash(trades, bars, buying_at, selling_at, initial, monthly)
+    w = Window.partitionBy("account").orderBy("date")
+    since = F.col("total_deposits") - F.coalesce(F.lag("total_deposits").over(w), F.lit(0.0))
+    return cash.select("account", "date", (F.coalesce(F.lag("cash").over(w), F.lit(0.0)) + since).alias("cash_open"))
+
+
+def sized_orders(trades: DataFrame, bars: DataFrame, buying_at: str = "open", selling_at: str = "close",
+                 initial: float = 0.0, monthly: float = 0.0) -> DataFrame:
+    """What each order could be at most as its day begins, by `order_size`: a buy from
+    the ledger's cash at the as-of buying price, a sell from its holdings."""
+    p = _priced(trades, bars, buying_at, selling_at)
+    p = (p.join(cash_at_open(trades, bars, buying_at, selling_at, initial, monthly), ["account", "date"], "left")
+         .join(holdings_before(trades), ["account", "symbol", "date"], "left")
+         .withColumn("cash_open", F.round("cash_open", 2)))
+    return order_size(p, "side", "cash_open", "buy_px", "held_before")
+
+
 def order_checks(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
                  selling_at: str = "close", initial: float = 0.0, monthly: float = 0.0) -> DataFrame:
     """Orders the account could not execute, with the rule broken:
@@ -103,30 +143,19 @@ def order_checks(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
     after the earlier sells of the day), insufficient_cash on buys (cash after
     the day's sells and its earlier buys, taken in symbol order).  Several
     orders of one symbol and day go by `order_id`, where the table has it, else
-    by size.  State assumes every order in the table executes."""
+    by size.  The state is that of the executed orders (`is_executed`)."""
     order = ["order_id"] if "order_id" in trades.columns else []
-    pos = daily_positions(trades)
-    w_prev = Window.partitionBy("account", "symbol").orderBy("date")
-    held_before = pos.select("account", "symbol", "date",
-                             F.coalesce(F.lag("shares").over(w_prev), F.lit(0)).alias("held_before"))
-    cash = daily_cash(trades, bars, buying_at, selling_at, initial, monthly)
-    w_acc = Window.partitionBy("account").orderBy("date")
-    cash_before = cash.select("account", "date", "total_deposits",
-                              F.lag("cash").over(w_acc).alias("_prev_cash"),
-                              F.lag("total_deposits").over(w_acc).alias("_prev_dep"))
-    # cash at the start of the day: previous close + deposits made since
-    cash_open = cash_before.select(
-        "account", "date",
-        (F.coalesce("_prev_cash", F.lit(0.0)) + F.col("total_deposits")
-         - F.coalesce("_prev_dep", F.lit(0.0))).alias("cash_open"))
+    held_before = holdings_before(trades)
+    cash_open = cash_at_open(trades, bars, buying_at, selling_at, initial, monthly)
     p = _priced(trades, bars, buying_at, selling_at)
-    sells = p.filter(F.col("side") == "sell").groupBy("account", "date") \
+    done = is_executed(p)
+    sells = p.filter((F.col("side") == "sell") & done).groupBy("account", "date") \
              .agg(F.sum(F.col("shares") * F.col("sell_px")).alias("_proceeds"))
     buys = p.filter(F.col("side") == "buy")
     w_day = Window.partitionBy("account", "date").orderBy("symbol", *order, "shares") \
                   .rowsBetween(Window.unboundedPreceding, -1)
-    buys = buys.withColumn("_spent_before", F.coalesce(F.sum(F.col("shares") * F.col("buy_px")).over(w_day),
-                                                       F.lit(0.0)))
+    buys = buys.withColumn("_spent_before", F.coalesce(
+        F.sum(F.when(done, F.col("shares") * F.col("buy_px"))).over(w_day), F.lit(0.0)))
     buys = (buys.join(cash_open, ["account", "date"], "left").join(sells, ["account", "date"], "left")
             .withColumn("cash_available", F.col("cash_open") + F.coalesce("_proceeds", F.lit(0.0))
                         - F.col("_spent_before")))
@@ -137,7 +166,8 @@ def order_checks(trades: DataFrame, bars: DataFrame, buying_at: str = "open",
          .alias("violation"))
     w_sold = Window.partitionBy("account", "symbol", "date").orderBy(*order, "shares") \
                    .rowsBetween(Window.unboundedPreceding, -1)
-    s = (p.filter(F.col("side") == "sell").withColumn("_sold_before", F.coalesce(F.sum("shares").over(w_sold), F.lit(0)))
+    s = (p.filter(F.col("side") == "sell").withColumn("_sold_before", F.coalesce(
+        F.sum(F.when(done, F.col("shares"))).over(w_sold), F.lit(0)))
          .join(held_before, ["account", "symbol", "date"], "left")
          .withColumn("held_before", F.col("held_before") - F.col("_sold_before")))
     sell_bad = s.select(

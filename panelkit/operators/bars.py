@@ -30,16 +30,16 @@ def check_price_request(start, end, tickers, store_min, store_max, known) -> Non
     """Argument checks done on the driver before a plan is built."""
     start, end = as_date(start), as_date(end)
     if start > end:
-        raise ValueError("start_date should be less than or equal to end_date")
+        raise ValueError(f"the range runs backwards: {start} to {end}")
     if end < as_date(store_min) or start > as_date(store_max):
-        raise ValueError(f"start_date and end_date must be between {store_min} and {store_max}")
+        raise ValueError(f"the store holds {store_min} to {store_max}, nothing of {start} to {end}")
     if isinstance(tickers, str):
         tickers = [tickers]
     if not tickers:
-        raise ValueError("tickers must be a non-empty list of strings")
+        raise ValueError("no ticker was asked for")
     unknown = [t for t in tickers if t not in set(known)]
     if unknown:
-        raise ValueError(f"unsupported tickers: {unknown}")
+        raise ValueError(f"the store has no bars of {unknown}")
 
 
 def price_catalog(bars: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def price_asof(bars: DataFrame, requests: DataFrame, metric: str = "close",
     to the latest complete bar; requests before the store start get NULL.
     `strict`: requests the store cannot answer raise instead."""
     if metric.lower() not in BAR_METRICS:
-        raise ValueError(f"metric {metric} is not supported")
+        raise ValueError(f"bars have no metric {metric}; they have {', '.join(BAR_METRICS)}")
     if strict and (bad := unanswerable(bars, requests).take(3)):
         raise ValueError("no price for " + ", ".join(f"{r.ticker} on {r.date}: {r.problem}" for r in bad))
     out = asof_prices(bars, requests, metric.lower())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import iso_date_check
+from .util import one_row_join
 
 
 def ticker_checks(asked: DataFrame, store: DataFrame) -> DataFrame:
@@ -22,6 +23,16 @@ def unknown_tickers(asked: DataFrame, store: DataFrame) -> DataFrame:
     return asked.join(store.select("ticker").distinct(), "ticker", "left_anti")
 
 
+def range_checks(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """Per asked (start, end): does it run forwards, does it meet the store's days,
+    those days, and whether the request can be answered.  NULL bounds cannot."""
+    span = store.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    forwards = F.coalesce(F.col("start") <= F.col("end"), F.lit(False))
+    meets = F.coalesce((F.col("end") >= F.col("first_date")) & (F.col("start") <= F.col("last_date")), F.lit(False))
+    return one_row_join(asked, span).withColumns(
+        {"is_forwards": forwards, "overlaps_store": meets, "is_answerable": forwards & meets})
+
+
 def date_parse_check(df: DataFrame, col: str) -> DataFrame:
     """Format check (regex only, so 2021-99-99 passes), parsed date (NULL when
     not a real date) and the date formatted back."""

@@ -22,7 +22,13 @@ DAY_IDX = "day_idx"
 AGGREGATIONS = ("first", "last", "mean", "max", "min")
 
 
-def _with_bounds(panel: DataFrame, by: Sequence[str]) -> DataFrame:
+BOUNDS = ("_lo", "_hi")
+
+
+def with_bounds(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The panel with its first and last day (per `by`), where it has not got them."""
+    if set(BOUNDS) <= set(panel.columns):
+        return panel
     bounds = panel.groupBy(*by).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     if by:
         return panel.join(bounds, on=list(by))
@@ -32,7 +38,7 @@ def _with_bounds(panel: DataFrame, by: Sequence[str]) -> DataFrame:
 def window_positions(panel: DataFrame, window: int, by: Sequence[str] = ()) -> DataFrame:
     """Every window of `window` consecutive days: adds sample_id (0-based start
     offset) and day_idx (0..window-1).  Panels shorter than a window give no rows."""
-    p = _with_bounds(panel, by)
+    p = with_bounds(panel, by)
     pos = F.datediff("date", "_lo")
     n = F.datediff("_hi", "_lo") + 1
     lo = F.greatest(pos - (window - 1), F.lit(0))
@@ -64,17 +70,20 @@ def sliding_windows(panel: DataFrame, lookback: int, horizon: int,
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
     w = lookback + horizon
-    long = window_positions(panel, w, by)
     t = target_index(lookback, horizon, aggregation)
-    keys = [*by, "ticker", SAMPLE_ID]
-    # valid starts follow from the panel: no second copy of the windows
-    sold = _with_bounds(panel, by).filter(F.col(selling_at).isNotNull())
-    pos = F.datediff("date", "_lo")
+    # whether the days around each day sell, from w - 1 before it to w - 1 after: a
+    # window's start tells where in that list its horizon lies.  A ticker's series is
+    # bounded by the calendar, and no copy of the windows is joined or shuffled
+    around = Window.partitionBy(*by, "ticker").orderBy("date").rowsBetween(-(w - 1), w - 1)
+    p = with_bounds(panel, by).withColumn("_sold", F.collect_list(F.col(selling_at).isNotNull()).over(around))
+    long = window_positions(p, w, by)
+    # place of the window's first day in the list
+    first = F.col(SAMPLE_ID) - F.greatest(F.col(SAMPLE_ID) + F.col(DAY_IDX) - (w - 1), F.lit(0))
     if t is not None:
-        ok = sold.select(*by, "ticker", (pos - t).alias(SAMPLE_ID))
+        valid = F.get("_sold", first + t)
     else:
-        ok = sold.select(*by, "ticker", F.explode(F.sequence(pos - (w - 1), pos - lookback)).alias(SAMPLE_ID)).distinct()
-    return long.join(ok.filter(F.col(SAMPLE_ID) >= 0), on=keys, how="left_semi")
+        valid = F.exists(F.slice("_sold", first + lookback + 1, horizon), lambda x: x)
+    return long.filter(valid).drop("_sold")
 
 
 def sliding_windows_frame(panel: DataFrame, window: int, metric: str,
@@ -86,7 +95,7 @@ def sliding_windows_frame(panel: DataFrame, window: int, metric: str,
     """
     wspec = (Window.partitionBy(*by, "ticker").orderBy("date")
              .rowsBetween(Window.currentRow, window - 1))
-    p = _with_bounds(panel, by)
+    p = with_bounds(panel, by)
     out = (p.withColumn("_vals", F.collect_list(F.struct("date", F.col(metric).alias("v"))).over(wspec))
              .filter(F.size("_vals") == window)
              .select(*by, "ticker", F.datediff("date", "_lo").alias(SAMPLE_ID),
@@ -168,28 +177,35 @@ def forward_return(long: DataFrame, lookback: int, buying_at: str = "open",
                     (safe_div("sell_value", "buy_value") - F.lit(1.0)).alias("return"))
 
 
-def relative_scaling(long_x: DataFrame, features: Sequence[str], relative_to: str = "first",
-                     by: Sequence[str] = ()) -> DataFrame:
-    """Every feature divided by its own first/last/min/max/mean inside the
-    window (NULLs skipped).  Window partitions are single samples (<= W rows)."""
+def relative_scaling(long: DataFrame, features: Sequence[str], relative_to: str = "first",
+                     by: Sequence[str] = (), lookback: int | None = None) -> DataFrame:
+    """Every feature divided by its own first/last/min/max/mean inside the window
+    (NULLs skipped).  With `lookback`, `long` holds whole windows: the reference is
+    that of the look-back days alone and the horizon is scaled by it too.  Window
+    partitions are single samples (<= W rows)."""
     part = Window.partitionBy(*by, "ticker", SAMPLE_ID)
     full = part.orderBy(DAY_IDX).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = long_x
-    for f in features:
-        if relative_to == "first":
-            ref = F.first(f, ignorenulls=True).over(full)
-        elif relative_to == "last":
-            ref = F.last(f, ignorenulls=True).over(full)
-        elif relative_to == "mean":
-            ref = F.avg(f).over(part)
-        elif relative_to == "max":
-            ref = F.max(f).over(part)
-        elif relative_to == "min":
-            ref = F.min(f).over(part)
-        else:
-            raise ValueError(f"unsupported relative_to {relative_to}")
-        out = out.withColumn(f, safe_div(F.col(f), ref))
-    return out
+    over = {"first": (lambda c: F.first(c, ignorenulls=True), full), "last": (lambda c: F.last(c, ignorenulls=True), full),
+            "mean": (F.avg, part), "max": (F.max, part), "min": (F.min, part)}
+    if relative_to not in over:
+        raise ValueError(f"unsupported relative_to {relative_to}")
+    take, frame = over[relative_to]
+
+    def reference(f: str) -> Column:
+        return take(F.col(f) if lookback is None else F.when(F.col(DAY_IDX) < lookback, F.col(f))).over(frame)
+
+    return long.withColumns({f: safe_div(F.col(f), reference(f)) for f in features})
+
+
+def feature_project(long_x: DataFrame, params, by: Sequence[str] = ()) -> DataFrame:
+    """The columns a sample is made of: its key, date, keyword counts (where the
+    news are joined) and the numerical and textual features that `params` names."""
+    wanted = list(dict.fromkeys([*by, SAMPLE_ID, "date", *[c for c in ("keywords_count",) if c in long_x.columns],
+                                 *params.numerical_features, *params.textual_features, "ticker"]))
+    missing = [c for c in wanted if c not in long_x.columns]
+    if missing:
+        raise ValueError(f"no column for the features {missing}")
+    return long_x.select(*wanted)
 
 
 def field_getter(name: str):

@@ -182,4 +182,5 @@ def build_dataset(spark: SparkSession, bars: DataFrame, news: DataFrame, params:
     if guard:
         labelled = TG.null_target_guard(labelled, params.null_target_limit,
                                         splits=[f.split for f in params.frames])
-    return labelled
+    # titles decide which windows stay, whether or not they are a feature themselves
+    return labelled.drop(*[c for c in ("title", "weekday") if c not in params.textual_features])

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accounts as AC
-from ..operators import bars as B
 from ..operators import predict as PD
 from ..sources import fixtures as FX
 from . import oracle_sql as S
@@ -37,16 +36,21 @@ def _args(spark, sf):
 _DEP = (f"CAST({INITIAL} + {MONTHLY} * ((year(days.date) * 12 + month(days.date)) - (year(f) * 12 + month(f)) "
         "+ CASE WHEN day(f) = 1 THEN 1 ELSE 0 END) AS DOUBLE)")
 
-LEDGER_SQL = S.with_(t=S.TRADES, b=S.BRAND_BARS)[:-1] + f""",
+def _ledger_sql(accepted: bool = False) -> str:
+    """px: every order with its prices; pos, cash, held: the state, of the accepted
+    orders where `accepted`."""
+    done = "WHERE accepted" if accepted else ""
+    trades = f"SELECT *, {_ACCEPTED} AS accepted FROM ({S.TRADES})" if accepted else S.TRADES
+    return S.with_(t=trades, b=S.BRAND_BARS)[:-1] + f""",
 px AS (SELECT t.*, (SELECT bo.{BUY_AT} FROM b bo WHERE bo.ticker = t.symbol AND bo.date <= t.date ORDER BY bo.date DESC LIMIT 1) AS buy_px,
               (SELECT bc.{SELL_AT} FROM b bc WHERE bc.ticker = t.symbol AND bc.date <= t.date ORDER BY bc.date DESC LIMIT 1) AS sell_px
        FROM t),
 pos AS (SELECT account, symbol, date, CAST(sum(sum(CASE WHEN side = 'buy' THEN shares ELSE -shares END))
           OVER (PARTITION BY account, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS shares
-        FROM t GROUP BY account, symbol, date),
+        FROM t {done} GROUP BY account, symbol, date),
 fst AS (SELECT account, min(date) AS f FROM t GROUP BY account),
 flows AS (SELECT account, date, sum(CASE WHEN side = 'buy' THEN -shares * buy_px ELSE shares * sell_px END) AS flow
-          FROM px GROUP BY account, date),
+          FROM px {done} GROUP BY account, date),
 days AS (SELECT account, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM t GROUP BY account),
 cash AS (SELECT days.account, days.date, {_DEP} AS total_deposits,
            {_DEP} + sum(coalesce(flow, 0)) OVER (PARTITION BY days.account ORDER BY days.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash
@@ -56,6 +60,23 @@ held AS (SELECT d.account, d.date, p.symbol, p.shares FROM days d
          ASOF JOIN pos p ON p.account = d.account AND p.symbol = s.symbol AND d.date >= p.date)"""
 
 
+# state as a day begins
+_OPEN_SQL = """,
+asked AS (SELECT DISTINCT account, symbol, date FROM t),
+hb AS (SELECT a.account, a.symbol, a.date, coalesce(last_value(p.shares IGNORE NULLS) OVER (PARTITION BY a.account, a.symbol ORDER BY a.date
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held_before
+       FROM asked a LEFT JOIN pos p ON p.account = a.account AND p.symbol = a.symbol AND p.date = a.date),
+co AS (SELECT account, date, coalesce(lag(cash) OVER w, 0) + total_deposits - coalesce(lag(total_deposits) OVER w, 0) AS cash_open
+       FROM cash WINDOW w AS (PARTITION BY account ORDER BY date))"""
+# Some orders were refused: stand-in for a ledger that says which.
+_ACCEPTED = "(shares * 7 + account) % 5 <> 0"
+LEDGER_SQL = _ledger_sql()
+
+
+def _refusing(trades):
+    return trades.withColumn("accepted", (F.col("shares") * 7 + F.col("account")) % 5 != 0)
+
+
 @query("trade_signal", PROMPT_SQL + f""",
 gt AS (SELECT DISTINCT "index", {_GT_SQL} AS label FROM prompts)
 SELECT "index", label, CASE WHEN label IN ('very good') THEN 'buy' WHEN label IN ('very bad') THEN 'sell' ELSE 'hold' END AS signal
@@ -65,34 +86,43 @@ def trade_signal(spark, sf):
     return AC.trade_signal(preds, "label", BUY_LABELS, SELL_LABELS)
 
 
-@query("order_size", LEDGER_SQL + """
-SELECT account, date, symbol, side, CASE WHEN side = 'buy' THEN CAST(floor(1000.0 * (account + 1) / buy_px) AS BIGINT)
-  ELSE shares END AS order_shares
-FROM px WHERE (CASE WHEN side = 'buy' THEN CAST(floor(1000.0 * (account + 1) / buy_px) AS BIGINT) ELSE shares END) > 0""")
+@query("order_size", LEDGER_SQL + _OPEN_SQL + """
+SELECT * FROM (SELECT px.account, px.date, px.symbol, px.side, CASE WHEN side = 'buy' THEN CAST(floor(round(cash_open, 2) / buy_px) AS BIGINT)
+    ELSE CAST(held_before AS BIGINT) END AS order_shares
+  FROM px LEFT JOIN co USING (account, date) LEFT JOIN hb USING (account, symbol, date)) WHERE order_shares > 0""")
 def order_size(spark, sf):
+    """Sizes from the ledger's own cash and holdings as each day begins."""
     t, b = _args(spark, sf)
-    req = t.select(F.col("symbol").alias("ticker"), "date").distinct()
-    px = B.asof_prices(b, req, BUY_AT, out="price").withColumnRenamed("ticker", "symbol")
-    rows = t.join(px, ["symbol", "date"], "left").withColumn("cash", (F.col("account") + 1) * 1000.0) \
-            .withColumn("held", F.col("shares"))
-    return AC.order_size(rows).select("account", "date", "symbol", "side", "order_shares")
+    return AC.sized_orders(t, b, BUY_AT, SELL_AT, INITIAL, MONTHLY).select("account", "date", "symbol", "side", "order_shares")
 
 
-@query("ledger_positions", LEDGER_SQL + """
+def _positions(t, b):
+    lp = AC.ledger_positions(t, b, BUY_AT, SELL_AT, INITIAL, MONTHLY)
+    return lp.select("account", "date", "symbol", "shares", r0("cash").alias("cash"))
+
+
+_POSITIONS_SQL = """
 SELECT pos.account, pos.date, pos.symbol, pos.shares, round(cash.cash, 2) AS cash
-FROM pos LEFT JOIN cash USING (account, date) WHERE pos.shares <> 0""")
+FROM pos LEFT JOIN cash USING (account, date) WHERE pos.shares <> 0"""
+
+
+@query("ledger_positions", LEDGER_SQL + _POSITIONS_SQL)
 def ledger_positions(spark, sf):
+    return _positions(*_args(spark, sf))
+
+
+@query("ledger_positions_accepted", _ledger_sql(True) + _POSITIONS_SQL)
+def ledger_positions_accepted(spark, sf):
+    """Refused orders change nothing."""
     t, b = _args(spark, sf)
-    lp = AC.ledger_positions(t, b, BUY_AT, SELL_AT, INITIAL, MONTHLY)
-    return lp.select("account", "date", "symbol", "shares", r0("cash").alias("cash"))
+    return _positions(_refusing(t), b)
 
 
-@query("order_checks", LEDGER_SQL + """,
-hb AS (SELECT account, symbol, date, coalesce(lag(shares) OVER (PARTITION BY account, symbol ORDER BY date), 0) AS held_before FROM pos),
-co AS (SELECT account, date, coalesce(lag(cash) OVER w, 0) + total_deposits - coalesce(lag(total_deposits) OVER w, 0) AS cash_open
-       FROM cash WINDOW w AS (PARTITION BY account ORDER BY date)),
-pr AS (SELECT account, date, sum(shares * sell_px) AS proceeds FROM px WHERE side = 'sell' GROUP BY account, date),
-bu AS (SELECT px.*, coalesce(sum(shares * buy_px) OVER (PARTITION BY account, date ORDER BY symbol
+def _checks_sql(accepted: bool = False) -> str:
+    done = "accepted" if accepted else "TRUE"
+    return _ledger_sql(accepted) + _OPEN_SQL + f""",
+pr AS (SELECT account, date, sum(shares * sell_px) AS proceeds FROM px WHERE side = 'sell' AND {done} GROUP BY account, date),
+bu AS (SELECT px.*, coalesce(sum(CASE WHEN {done} THEN shares * buy_px END) OVER (PARTITION BY account, date ORDER BY symbol
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM px WHERE side = 'buy'),
 bb AS (SELECT bu.account, bu.date, bu.symbol, bu.side, bu.shares,
          CASE WHEN bu.shares <= 0 THEN 'non_positive'
@@ -102,13 +132,21 @@ sb AS (SELECT px.account, px.date, px.symbol, px.side, px.shares,
          CASE WHEN px.shares <= 0 THEN 'non_positive' WHEN hb.held_before <= 0 THEN 'not_owned'
               WHEN hb.held_before < px.shares THEN 'insufficient_shares' END AS violation
        FROM px LEFT JOIN hb USING (account, symbol, date) WHERE px.side = 'sell')
-SELECT * FROM bb WHERE violation IS NOT NULL UNION ALL SELECT * FROM sb WHERE violation IS NOT NULL""".replace(
-    "\n,", ","))
+SELECT * FROM bb WHERE violation IS NOT NULL UNION ALL SELECT * FROM sb WHERE violation IS NOT NULL"""
+
+
+@query("order_checks", _checks_sql())
 def order_checks(spark, sf):
     t, b = _args(spark, sf)
     return AC.order_checks(t, b, BUY_AT, SELL_AT, INITIAL, MONTHLY)
 
 
+@query("order_checks_accepted", _checks_sql(True))
+def order_checks_accepted(spark, sf):
+    t, b = _args(spark, sf)
+    return AC.order_checks(_refusing(t), b, BUY_AT, SELL_AT, INITIAL, MONTHLY)
+
+
 @query("monthly_deposits", S.with_(t=S.TRADES) + f""",
 sp AS (SELECT account, min(date) AS f, max(date) AS l FROM t GROUP BY account)
 SELECT account, f AS date, {INITIAL} AS amount FROM sp

@@ -223,6 +223,21 @@ def input_checks(spark, sf):
     return ticker_checks(asked, store)
 
 
+@query("input_range_checks", S.with_(b=S.BRAND_BARS) + """,
+st AS (SELECT min(date) AS first_date, max(date) AS last_date FROM b),
+asked AS (SELECT o_orderkey AS request_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3001 AS INTEGER) AS start,
+            CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4001 AS INTEGER) - 300 AS "end" FROM orders)
+SELECT request_id, start, "end", first_date, last_date, start <= "end" AS is_forwards,
+  "end" >= first_date AND start <= last_date AS overlaps_store,
+  start <= "end" AND "end" >= first_date AND start <= last_date AS is_answerable FROM asked, st""".replace("\n,", ","))
+def input_range_checks(spark, sf):
+    from ..operators.quality import range_checks
+    o, day = FX.table(spark, sf, "orders"), F.col("o_orderdate").cast("date")
+    asked = o.select(F.col("o_orderkey").alias("request_id"), F.date_add(day, (F.col("o_orderkey") % 3001).cast("int")).alias("start"),
+                     F.date_add(day, (F.col("o_orderkey") % 4001 - 300).cast("int")).alias("end"))
+    return range_checks(asked, FX.brand_bars(spark, sf))
+
+
 @query("time_frame_split", S.with_(b=S.EVENT_BARS, f=S.frames_values(
     (("train", "2024-01-01", "2024-01-30"), ("val", "2024-01-01", "2024-01-30"),
      ("test", "2024-01-01", "2024-01-30")))) + f"""

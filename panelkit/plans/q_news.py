@@ -9,6 +9,7 @@ from ..session import stage_path
 from ..sources import fixtures as FX
 from ..sources import pages as PG
 from ..sources import stores as ST
+from ..sources.versions import DatedStore
 from . import oracle_sql as S
 from .catalog import query
 
@@ -32,7 +33,7 @@ def news_scan(spark, sf):
 
 @query("news_snapshot_write", S.with_(n=S.DATED_NEWS) + "SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n")
 def news_snapshot_write(spark, sf):
-    back = ST.news_snapshot_write(_news(spark, sf), stage_path(spark, "news_snapshots"))
+    back = ST.news_snapshot_write(_news(spark, sf), ST.unique_path(stage_path(spark, "news_snapshots"), "store"))
     return back.select("date", "url", "source", "title", F.md5("article").alias("article_md5"), "ord")
 
 
@@ -48,12 +49,13 @@ st AS (SELECT date, url, source, title, md5(article) AS article_md5, ord FROM n
 nw AS (SELECT date, replace(url, 'doc://', 'new://') AS url, source, title, md5(article) AS article_md5, ord FROM n WHERE date >= DATE '1998-05-15')
 SELECT * FROM st UNION ALL SELECT * FROM nw WHERE date NOT IN (SELECT date FROM st)""")
 def append_new_days(spark, sf):
+    """A store version of the first days, and one with the days it lacks."""
     n = _news(spark, sf).select("date", "url", "source", "title", "article", "ord")
-    store = n.filter(F.col("date") <= F.lit("1998-06-30").cast("date"))
+    store = DatedStore(spark, ST.unique_path(stage_path(spark, "news_versions"), "store"))
+    store.write(n.filter(F.col("date") <= F.lit("1998-06-30").cast("date")))
     new = n.filter(F.col("date") >= F.lit("1998-05-15").cast("date")) \
            .withColumn("url", F.replace("url", F.lit("doc://"), F.lit("new://")))
-    out = N.append_new_days(store, new)
-    return out.withColumn("article_md5", F.md5("article")).drop("article")
+    return store.append(new).withColumn("article_md5", F.md5("article")).drop("article")
 
 
 @query("resume_point", S.with_(n=S.DATED_NEWS) + """

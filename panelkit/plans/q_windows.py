@@ -8,7 +8,9 @@ from ..functions.columns import weekday_name
 from ..operators import bars as B
 from ..operators import news as N
 from ..operators import windows as WN
+from ..params import Params
 from ..sources import fixtures as FX
+from ..sources import stores as ST
 from . import oracle_sql as S
 from .catalog import query, r6
 
@@ -18,7 +20,9 @@ MASKED = ("close", "adj_close", "high", "low", "volume")
 
 
 def panel(spark, sf):
-    return B.calendar_fill(FX.staged(FX.brand_bars(spark, sf), "brand_bars"))
+    """The calendar panel as it is stored: bucketed by ticker, so that windows are
+    cut, checked and gathered where their ticker lies."""
+    return ST.panel_table(B.calendar_fill(FX.staged(FX.brand_bars(spark, sf), "brand_bars")))
 
 
 def windows(spark, sf, lookback=L, horizon=H, aggregation="last", selling_at="open"):
@@ -31,24 +35,25 @@ def _panel_sql(w: int) -> str:
 bounds AS (SELECT min(date) AS lo, max(date) AS hi FROM b),
 grid AS (SELECT t.ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
          FROM (SELECT DISTINCT ticker FROM b) t, bounds),
-p AS (SELECT g.date, g.ticker, b.open, b.high, b.low, b.close, b.adj_close, b.volume,
+p AS MATERIALIZED (SELECT g.date, g.ticker, b.open, b.high, b.low, b.close, b.adj_close, b.volume,
         datediff('day', bo.lo, g.date) AS pos, datediff('day', bo.lo, bo.hi) + 1 AS n
       FROM grid g CROSS JOIN bounds bo LEFT JOIN b ON b.date = g.date AND b.ticker = g.ticker),
-lw AS (SELECT p.*, p.pos - r.range AS sample_id, r.range AS day_idx
-       FROM p JOIN range(0, {w}) r ON p.pos - r.range BETWEEN 0 AND p.n - {w})"""
+lw AS (SELECT * FROM (SELECT e.*, pos - day_idx AS sample_id FROM (SELECT p.*, unnest(range(0, {w})) AS day_idx FROM p) e)
+       WHERE sample_id BETWEEN 0 AND n - {w})"""
 
 
 def _windows_sql(lookback=L, horizon=H, aggregation="last", selling_at="open") -> str:
+    """ok: the valid windows, found on the panel; sw: their days, by equal keys."""
     w = lookback + horizon
     if aggregation in ("first", "last"):
-        t = lookback if aggregation == "first" else w - 1
-        ok = f"SELECT ticker, sample_id FROM lw WHERE day_idx = {t} AND {selling_at} IS NOT NULL"
+        at = str(lookback if aggregation == "first" else w - 1)
     else:
-        ok = (f"SELECT DISTINCT ticker, sample_id FROM lw WHERE day_idx >= {lookback} "
-              f"AND {selling_at} IS NOT NULL")
-    return _panel_sql(w) + f""",
-ok AS ({ok}),
-sw AS (SELECT lw.* FROM lw SEMI JOIN ok USING (ticker, sample_id))"""
+        at = f"unnest(range({lookback}, {w}))"
+    return _panel_sql(w).rsplit("\nlw AS", 1)[0] + f"""
+ok AS MATERIALIZED (SELECT DISTINCT ticker, sample_id FROM (SELECT ticker, n, pos - {at} AS sample_id FROM p WHERE {selling_at} IS NOT NULL)
+       WHERE sample_id BETWEEN 0 AND n - {w}),
+sw AS (SELECT p.*, k.sample_id, k.day_idx FROM (SELECT ticker, sample_id, unnest(range(0, {w})) AS day_idx FROM ok) k
+       JOIN p ON p.ticker = k.ticker AND p.pos = k.sample_id + k.day_idx)"""
 
 
 def _round_cols(cols, src=""):
@@ -161,6 +166,23 @@ for _how in ("first", "last", "min", "max", "mean"):
     query(f"relative_scaling_{_how}", _scaling_sql(_how))(_scaling_query(_how))
 
 
+_FRAME = "OVER (PARTITION BY ticker, sample_id ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@query("relative_scaling_horizon", _windows_sql(L, 3) + f""",
+m AS (SELECT ticker, sample_id, day_idx, {_MASK_SQL.replace('round(', '(').replace(', 6)', ')')} FROM sw)
+SELECT ticker, sample_id, day_idx, CASE WHEN day_idx < {L} THEN 'x' ELSE 'y' END AS part,
+  {", ".join(f"round({c} / NULLIF(first_value(CASE WHEN day_idx < {L} THEN {c} END IGNORE NULLS) {_FRAME}, 0), 6) AS {c}" for c in FEATS)}
+FROM m""")
+def relative_scaling_horizon(spark, sf):
+    """Look-back and horizon scaled by the look-back's first values."""
+    m = WN.mask_last_day(windows(spark, sf, L, 3), L, MASKED)
+    s = WN.relative_scaling(m, FEATS, "first", lookback=L)
+    x, y = WN.lookback_horizon_split(s, L)
+    both = x.withColumn("part", F.lit("x")).unionByName(y.withColumn("part", F.lit("y")))
+    return both.select("ticker", WN.SAMPLE_ID, WN.DAY_IDX, "part", *[r6(c).alias(c) for c in FEATS])
+
+
 @query("window_feature_lists", _windows_sql() + f"""
 SELECT ticker, sample_id, day_idx AS pos, date, round(open, 6) AS open, round(close, 6) AS close
 FROM sw WHERE day_idx < {L}""")
@@ -186,11 +208,19 @@ def feature_target_join(spark, sf):
                     r6(F.element_at("open", 1)).alias("first_open"), r6("return").alias("return"))
 
 
-@query("feature_project", _windows_sql() + f"""
-SELECT sample_id, date, ticker, round(open, 6) AS open, round(close, 6) AS close FROM sw WHERE day_idx < {L}""")
+PROJECTED = ("open", "close")
+
+
+@query("feature_project", _windows_sql() + f""",
+dn AS (SELECT date, sum({S.kw_count()}) AS kw FROM ({S.DATED_NEWS}) GROUP BY date)
+SELECT sample_id, sw.date, CAST(kw AS BIGINT) AS keywords_count, round(open, 6) AS open, round(close, 6) AS close,
+  dayname(sw.date) AS weekday, ticker FROM sw LEFT JOIN dn ON dn.date = sw.date WHERE day_idx < {L}""")
 def feature_project(spark, sf):
     x, _ = WN.lookback_horizon_split(windows(spark, sf), L)
-    return x.select(WN.SAMPLE_ID, "date", "ticker", r6("open").alias("open"), r6("close").alias("close"))
+    x = WN.weekday_column(x.join(_daily_news(spark, sf).select("date", F.col("kw").alias("keywords_count")), "date", "left"))
+    params = Params(frames=FX.BRAND_FRAMES, numerical_features=PROJECTED, textual_features=("weekday", "ticker"))
+    p = WN.feature_project(x, params)
+    return p.select(*[r6(c).alias(c) if c in PROJECTED else F.col(c) for c in p.columns])
 
 
 def _daily_news_sql():

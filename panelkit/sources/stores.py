@@ -6,7 +6,6 @@ starts from files, not from the lineage that produced them.
 
 from __future__ import annotations
 
-import datetime as dt
 import hashlib
 import os
 import uuid
@@ -15,19 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.news import NEWS_SCHEMA
+from ..operators.windows import with_bounds
+from ..session import stage_path
+from .versions import DatedStore
 
 
 def unique_path(root: str, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def news_snapshot_write(news: DataFrame, root: str, ts: dt.datetime | None = None) -> DataFrame:
-    """Write a versioned snapshot `root/v=<timestamp>` partitioned by date (the
-    previous snapshots stay as the backups) and read it back."""
-    ts = ts or dt.datetime.now(dt.timezone.utc)
-    path = os.path.join(root, f"v={ts.strftime('%Y-%m-%d_%H-%M-%S')}-{uuid.uuid4().hex[:6]}")
-    news.write.mode("error").partitionBy("date").parquet(path)
-    return news.sparkSession.read.parquet(path)
+def news_snapshot_write(news: DataFrame, root: str) -> DataFrame:
+    """A new version of the news store at `root` (`versions.DatedStore`), read back;
+    the versions before it stay as backups."""
+    return DatedStore(news.sparkSession, root).write(news)
+
+
+def panel_table(panel: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The calendar panel stored bucketed by ticker and sorted by (ticker, date), one
+    file a bucket, with its first and last day as columns: what groups or orders by
+    ticker, or by ticker and more, then needs no exchange."""
+    spark = panel.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"panel_{uuid.uuid4().hex[:12]}"
+    (with_bounds(panel).repartition(buckets, "ticker").write.bucketBy(buckets, "ticker").sortBy("ticker", "date")
+     .option("path", stage_path(spark, f"stage/{name}")).option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
 
 
 def news_csv_write(news: DataFrame, path: str) -> None:

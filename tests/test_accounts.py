@@ -68,3 +68,27 @@ def test_orders_of_one_symbol_and_day_add_up(spark):
     values = {r.date: r for r in AC.portfolio_value(orders, bars, initial=100.0).collect()}
     assert sorted(values) == [d(2023, 1, k) for k in (2, 3, 4, 5)]       # every calendar day
     assert values[d(2023, 1, 3)].cash == 40.0 and values[d(2023, 1, 3)].holdings_value == 60.0
+
+
+def test_refused_orders_change_nothing(spark):
+    trades, bars = _ledger(spark)
+    kept = trades.filter("shares <> 9")
+    marked = trades.selectExpr("*", "CASE WHEN shares = 9 THEN NULL ELSE true END AS accepted")
+    for fn in (AC.ledger_positions, AC.portfolio_value):
+        got, want = (sorted(map(tuple, fn(t, bars, "open", "close", 100.0).collect())) for t in (marked, kept))
+        assert got == want and got
+    # the refused order is still held against the state, which it leaves as it is
+    bad = AC.order_checks(marked, bars, "open", "close", 100.0).collect()
+    assert [(r.side, r.shares, r.violation) for r in bad] == [("sell", 9, "insufficient_shares")]
+    none = trades.selectExpr("*", "false AS accepted")
+    assert AC.ledger_positions(none, bars, "open", "close", 100.0).count() == 0
+    assert {r.violation for r in AC.order_checks(none, bars, "open", "close", 100.0).collect()} == {"not_owned"}
+
+
+def test_sized_orders_from_cash_and_holdings(spark):
+    trades, bars = _ledger(spark)
+    trades = trades.filter("shares <> 9")
+    got = {(r.date, r.side): r.order_shares for r in AC.sized_orders(trades, bars, "open", "close", 100.0).collect()}
+    d = dt.date
+    # 100 buys ten at 10; five are held at the sell; 50 + 26 then buys three at 20
+    assert got == {(d(2023, 1, 2), "buy"): 10, (d(2023, 1, 3), "sell"): 5, (d(2023, 2, 1), "buy"): 3}

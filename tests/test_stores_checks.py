@@ -123,3 +123,15 @@ def test_each_prompt_is_scored_once(spark, tmp_path):
     answers, fresh = predict_batch(ask, cache, scorer, ["good", "bad"], cache_path=f"{tmp_path}/cache")
     assert sorted((r.prompt, str(r.label)) for r in answers.collect()) == [("p1", "good"), ("p1", "good"), ("p2", "None"), ("p3", "bad")]
     assert fresh.count() == 2 and spark.read.parquet(f"{tmp_path}/cache").count() == 2 and calls.value == 2
+
+
+def test_range_checks(spark):
+    import datetime as dt
+    from panelkit.operators.quality import range_checks
+    d = dt.date
+    store = spark.createDataFrame([(d(2031, 1, 5),), (d(2031, 2, 1),)], "date date")
+    asked = spark.createDataFrame([(1, d(2031, 1, 1), d(2031, 1, 5)), (2, d(2031, 2, 2), d(2031, 3, 1)), (3, d(2031, 1, 9), d(2031, 1, 8)),
+                                   (4, None, d(2031, 1, 9))], "id int, start date, end date")
+    got = {r.id: (r.is_forwards, r.overlaps_store, r.is_answerable) for r in range_checks(asked, store).collect()}
+    assert got == {1: (True, True, True), 2: (True, False, False), 3: (False, True, False), 4: (False, False, False)}
+    assert {r.is_answerable for r in range_checks(asked, store.limit(0)).collect()} == {False}
