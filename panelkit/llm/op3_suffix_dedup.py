@@ -11,19 +11,24 @@ Consecutive windows with one anchor form a zone, about 170 bytes apart.
 
 1. One pass over the texts writes a row per zone: its anchor's hash, the hash of
    its whole content, its place.  Zones whose anchor string is unique go.
-2. Zones of equal content (partial aggregation and a skew-split join, whatever
-   the number of copies): every window in them is repeated.
-3. What is left are zones alone in content whose anchor string occurs again:
-   the ends of repeated passages.  Their bytes, and one zone of each content
-   they can match, are range-partitioned by sampled splitters on the suffix that
-   starts at the anchor, so a frequent anchor is split further down the string.
-   A bucket sorts its suffixes by multikey quicksort, eight bytes a key, and
-   takes each one's longest common prefix with its neighbours; windows that
-   would need more go.  The others are compared by content per anchor string.
-   Where an anchor string lies across a boundary of buckets, the windows that
-   suffixes beyond the boundary can share are compared over all of its buckets
-   by Spark's aggregation, after the left contexts have been.
-4. The spans of a document are merged and cut out of its text.
+2. Zones of equal content are one class, whatever the number of copies (partial
+   aggregation).  A class sends its first zone to the sort, and its last too where
+   it has several, so that copies meet in the order like any other repeat.
+3. The zones sent are range-partitioned by sampled splitters on the suffix that
+   starts at the anchor, and on what stands before it, so neither a frequent
+   anchor nor a frequent suffix makes one bucket.  A bucket sorts its suffixes by
+   multikey quicksort, eight bytes a key, and takes each one's longest common prefix
+   with its neighbours; windows that would need more go.  The others are compared by
+   content per anchor string.
+4. Where an anchor string lies across a boundary of buckets, the windows that
+   suffixes beyond the boundary can share are compared over all of its buckets in
+   ranges of distances from the anchor: pieces that agree on all the bytes a range
+   of windows covers repeat each of them; a piece that is alone with the bytes
+   which all of them contain repeats none; what is neither is cut in four, from 64
+   windows down to one.  A passage's end costs a piece a few rows a step, however
+   many windows are repeated.
+5. What a class's first zone has repeated, all its zones have.  The spans of a
+   document are merged and cut out of its text.
 
 Equality is of 64-bit content hashes within one 64-bit anchor hash.  A NULL text
 is empty; texts shorter than `length` lose nothing.  Rows are told apart by id
@@ -114,29 +119,31 @@ def _zone_bytes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, asked = batch.column(2), batch.column(3).to_pylist()
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in _PIECE]
             for k, rows in enumerate(asked):
                 data = texts[k].as_buffer()
                 for r in rows:
-                    a = r["start"]
-                    body = data.slice(a, r["windows"] - 1 + length).to_pybytes()
-                    for c, x in zip(cols, (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), a, r["windows"],
-                                           r["left"], r["kg"], r["alone"], body), strict=True):
+                    body = data.slice(r["start"], r["windows"] - 1 + length).to_pybytes()
+                    for c, x in zip(cols, (r["kg"], r["zone"], r["windows"], r["left"], r["tells"], body), strict=True):
                         c.append(x)
                 if len(cols[0]) > 4000:
                     yield _piece_batch(cols)
-                    cols = [[] for _ in range(8)]
+                    cols = [[] for _ in _PIECE]
             yield _piece_batch(cols)
     return run
 
 
-_PIECE = ["k1", "k2", "start", "windows", "left", "kg", "alone", "body"]
-_PIECE_TYPE = "k1 bigint, k2 bigint, start bigint, windows int, left int, kg bigint, alone boolean, body binary"
+# A zone sent to the sort: its class (anchor, content, extent), whether what it
+# has repeated counts for the class, and its bytes.
+_CLASS = ["kg", "zone", "windows", "left"]
+_PIECE = [*_CLASS, "tells", "body"]
+_PIECE_TYPE = "kg bigint, zone bigint, windows int, left int, tells boolean, body binary"
+_PIECE_ARROW = pa.schema([("kg", pa.int64()), ("zone", pa.int64()), ("windows", pa.int32()), ("left", pa.int32()),
+                          ("tells", pa.bool_()), ("body", pa.binary())])
 
 
 def _piece_batch(cols) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _PIECE)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECE_ARROW, strict=True)], _PIECE)
 
 
 def multikey_order(suffixes: np.ndarray) -> np.ndarray:
@@ -165,10 +172,9 @@ def multikey_order(suffixes: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, body: list[bytes],
-                     length: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows x distances, twice: whether the window that starts d bytes before the
-    anchor equals one of another row of the same group, and whether no earlier
-    row has it.  `reach`: the longest prefix a row's suffix shares with another;
+                     length: int, reach: np.ndarray) -> np.ndarray:
+    """rows x distances: whether the window that starts d bytes before the anchor
+    equals one of another row of the same group.  `reach`: the longest prefix a row's suffix shares with another;
     windows that need more are not looked at."""
     width = length - KGRAM + 1
     wide = np.zeros((len(body), width - 1 + length), dtype=np.uint8)
@@ -176,7 +182,7 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, b
         wide[k, width - 1 - left[k]:width - 1 - left[k] + len(b)] = np.frombuffer(b, dtype=np.uint8)
     prefix = np.zeros((len(body), wide.shape[1] + 1), dtype=np.uint64)
     np.cumsum(BYTE_VALUE[wide] * powers(wide.shape[1]), axis=1, out=prefix[:, 1:])
-    out, lead = np.zeros((len(body), width), dtype=bool), np.ones((len(body), width), dtype=bool)
+    out = np.zeros((len(body), width), dtype=bool)
     least = left - windows + 1
     for d in range(width):
         at = np.flatnonzero((least <= d) & (d <= left) & (reach >= length - d))
@@ -189,8 +195,7 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, b
         twice[1:] |= same
         twice[:-1] |= same
         out[at[order[twice]], d] = True
-        lead[at[order[1:][same]], d] = False
-    return out, lead
+    return out
 
 
 def _runs(rep: np.ndarray, anchor: np.ndarray, length: int):
@@ -202,28 +207,25 @@ def _runs(rep: np.ndarray, anchor: np.ndarray, length: int):
     return row, anchor[row] - (end - 1), anchor[row] - first + length
 
 
-_FOUND = ["k1", "k2", "a", "b", "kg", "bucket", "piece"]
-_FOUND_TYPE = ("k1 bigint, k2 bigint, a bigint, b bigint, kg bigint, bucket int, "
-               "piece struct<k1:bigint,k2:bigint,start:bigint,windows:int,left:int,kg:bigint,alone:boolean,body:binary,least:int,lead:binary>")
+_FOUND = [*_CLASS, "a", "b", "bucket", "tells", "body", "least"]
+_FOUND_TYPE = ("kg bigint, zone bigint, windows int, left int, a int, b int, bucket int, tells boolean, body binary, least int")
 
 
 def _bucket(length: int):
-    """One bucket of suffixes: spans found in it, and the pieces of its first and
-    last anchor string, which a neighbour may hold too."""
+    """One bucket of suffixes: the spans found in it, from their zone's start, and
+    the pieces of its first and last anchor string, which a neighbour may hold too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema(
-            [("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()),
-             ("left", pa.int32()), ("kg", pa.int64()), ("alone", pa.bool_()), ("body", pa.binary())]))
+        table = pa.Table.from_batches(list(batches), _PIECE_ARROW)
         if not len(table):
             return
         bucket = TaskContext.get().partitionId()
-        k1, k2, start, windows, left, kg = (table.column(i).to_numpy().astype(np.int64) for i in range(6))
-        alone = table.column(6).to_numpy()
-        body = table.column(7).to_pylist()
+        kg, _, windows, left = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+        tells = table.column("tells").to_numpy()
+        body = table.column("body").to_pylist()
         suffix = np.zeros((len(body), -(-length // 8) * 8), dtype=np.uint8)
         for k, b in enumerate(body):
-            s = np.frombuffer(b, dtype=np.uint8)[left[k]:left[k] + length]
-            suffix[k, :len(s)] = s
+            x = np.frombuffer(b, dtype=np.uint8)[left[k]:left[k] + length]
+            suffix[k, :len(x)] = x
         order = multikey_order(suffix.view(">u8").astype(np.uint64))
         near = suffix[order]
         differ = near[1:] != near[:-1]
@@ -232,41 +234,40 @@ def _bucket(length: int):
         reach[order[1:]] = common
         reach[order[:-1]] = np.maximum(reach[order[:-1]], common)
         first, last = kg[order[0]], kg[order[-1]]
+
+        def rows(at: np.ndarray, **more) -> pa.RecordBatch:
+            got = table.take(pa.array(at)).combine_chunks()
+            cols = {c: got.column(c).combine_chunks() if len(at) else pa.array([], _PIECE_ARROW.field(c).type) for c in _CLASS} | more
+            return pa.RecordBatch.from_arrays([cols[c] for c in _FOUND], _FOUND)
+
         ask = np.flatnonzero(reach >= length - left)
-        lead = np.full((len(kg), length - KGRAM + 1), True)
         for part in _by_anchor(ask, kg):
-            rep, lead[part] = repeated_windows(kg[part], left[part], windows[part], [body[i] for i in part], length, reach[part])
-            rep[~alone[part]] = False
-            row, a, b = _runs(rep, start[part] + left[part], length)
-            at = part[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[at]), pa.array(k2[at]), pa.array(a), pa.array(b), pa.nulls(len(at), pa.int64()),
-                 pa.nulls(len(at), pa.int32()), pa.nulls(len(at), _PIECE_ARROW)], _FOUND)
+            rep = repeated_windows(kg[part], left[part], windows[part], [body[i] for i in part], length, reach[part])
+            rep[~tells[part]] = False
+            row, a, b = _runs(rep, left[part], length)
+            if len(row):
+                none = len(row)
+                yield rows(part[row], a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), bucket=pa.nulls(none, pa.int32()),
+                           tells=pa.nulls(none, pa.bool_()), body=pa.nulls(none, pa.binary()), least=pa.nulls(none, pa.int32()))
         # A suffix shares with one in another bucket at most what it shares with
-        # its own bucket's first or last; those two may share more.  One row of
-        # the bucket stands for a window that several have.
-        rows = np.arange(len(kg))
+        # its own bucket's first or last; those two may share more.
+        every = np.arange(len(kg))
         beyond = np.zeros(len(kg), dtype=np.int64)
         for end in (order[0], order[-1]):
             differ = suffix != suffix[end]
-            beyond = np.maximum(beyond, np.where((rows == end) | ~differ.any(axis=1), length, differ.argmax(axis=1)))
+            same = ~differ.any(axis=1)
+            beyond = np.maximum(beyond, np.where((every == end) | same, length, differ.argmax(axis=1)))
         least = np.maximum(left - windows + 1, length - np.minimum(beyond, length))
         edge = np.flatnonzero(((kg == first) | (kg == last)) & (least <= left))
-        if len(edge):
-            piece = (table.take(pa.array(edge)).append_column("least", pa.array(least[edge], pa.int32()))
-                     .append_column("lead", pa.array([np.packbits(lead[i]).tobytes() for i in edge], pa.binary())))
-            none = pa.nulls(len(edge), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(kg[edge]), pa.array([bucket] * len(edge), pa.int32()),
-                 piece.to_struct_array().combine_chunks()], _FOUND)
+        for at in range(0, len(edge), 4096):
+            k = edge[at:at + 4096]
+            got = table.take(pa.array(k)).combine_chunks()
+            yield rows(k, a=pa.nulls(len(k), pa.int32()), b=pa.nulls(len(k), pa.int32()), bucket=pa.array([bucket] * len(k), pa.int32()),
+                       tells=got.column("tells").combine_chunks(), body=got.column("body").combine_chunks(),
+                       least=pa.array(least[k], pa.int32()))
     return run
 
 
-_PIECE_ARROW = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()),
-                          ("left", pa.int32()), ("kg", pa.int64()), ("alone", pa.bool_()), ("body", pa.binary()),
-                          ("least", pa.int32()), ("lead", pa.binary())])
-
-
 def _by_anchor(rows: np.ndarray, kg: np.ndarray, most: int = 4096) -> Iterator[np.ndarray]:
     """`rows` in runs of whole anchor strings, of about `most` rows each."""
     rows = rows[np.argsort(kg[rows], kind="stable")]
@@ -279,47 +280,68 @@ def _by_anchor(rows: np.ndarray, kg: np.ndarray, most: int = 4096) -> Iterator[n
         begin = end
 
 
-_STEPS = 64     # lengths of left contexts that are compared first
+STEPS = (64, 16, 4, 1)      # windows of the ranges compared across boundaries
 
 
-def _left_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor string, length, hash) of the bytes before each piece's anchor, at
-    every multiple of _STEPS, and whether the piece's least window needs it: an
-    equal window stands only where that mark is found twice."""
-    for batch in batches:
-        out = []
-        for k1, k2, start, left, kg, least, body in zip(
-                *(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 8, 7)), strict=True):
-            prefix = prefix_hash(BYTE_VALUE[np.frombuffer(body[:left], dtype=np.uint8)])
-            size = np.arange(0, left + 1, _STEPS)
-            h = span_hash(prefix, left - size, np.full(len(size), left)).view(np.int64)
-            out += [(k1, k2, start, kg, n, x, n == least // _STEPS * _STEPS)
-                    for n, x in zip(size.tolist(), h.tolist(), strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int64()] * 6 + [pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                                         ["k1", "k2", "start", "kg", "size", "h", "asks"])
-
-
-def _window_rows(length: int):
-    """The windows of the pieces given that a neighbour bucket may hold too, one
-    for each bucket that has it."""
+def _ranges(length: int, step: int):
+    """(piece, anchor string, range, hash of the bytes all its windows contain, hash
+    of those they cover) of every range of `step` distances asked for; the last is
+    NULL where the piece has not got all windows of the range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, start, windows, left, kg, alone, body, least, lead in zip(
-                    *(batch.column(i).to_pylist() for i in range(10)), strict=True):
-                prefix = prefix_hash(BYTE_VALUE[np.frombuffer(body, dtype=np.uint8)])
-                w = np.arange(min(windows, left - least + 1))
-                w = w[np.unpackbits(np.frombuffer(lead, dtype=np.uint8))[left - w] > 0]
-                h = span_hash(prefix, w, w + length).view(np.int64)
-                n = len(w)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(start + w),
-                     pa.array([kg] * n, pa.int64()), pa.array(left - w), pa.array(h), pa.array([alone] * n, pa.bool_())],
-                    ["k1", "k2", "a", "kg", "d", "h", "alone"])
+            ids, kgs, lefts, leasts, asked = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
+            out: list[list] = [[] for _ in range(5)]
+            for k in range(batch.num_rows):
+                body = np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.uint8)
+                left = lefts[k]
+                lo = np.concatenate([np.arange(max(a, leasts[k]) // step * step, min(b, left) + 1, step) for a, b in
+                                     ((r["lo"], r["hi"]) for r in asked[k])] or [np.zeros(0, np.int64)]).astype(np.int64)
+                hi = lo + step - 1
+                lo, hi = lo[hi >= leasts[k]], hi[hi >= leasts[k]]
+                if not len(lo):
+                    continue
+                prefix = prefix_hash(BYTE_VALUE[body])
+                inner = span_hash(prefix, left - lo, left - hi + length)
+                whole = (hi <= left) & (left - lo + length <= len(body))
+                outer = span_hash(prefix, np.where(whole, left - hi, 0), np.where(whole, left - lo + length, 0))
+                out[0] += [ids[k]] * len(lo)
+                out[1] += [kgs[k]] * len(lo)
+                out[2] += lo.tolist()
+                out[3] += inner.view(np.int64).tolist()
+                out[4] += [x if w else None for x, w in zip(outer.view(np.int64).tolist(), whole.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "kg", "lo", "inner", "outer"])
     return run
 
 
+def _across(split: DataFrame, length: int) -> DataFrame:
+    """Spans, from their zone's start, that pieces of different buckets share.
+
+    `split` has the pieces with an id of their own and the least distance to look at."""
+    ask = split.select("id", F.array(F.struct(F.lit(0).alias("lo"), F.col("left").alias("hi"))).alias("asked"))
+    found = None
+    for step in STEPS:
+        rows = stage_table(split.join(ask, "id").select("id", "kg", "left", "least", "body", "asked").mapInArrow(
+            _ranges(length, step), "id bigint, kg bigint, lo bigint, inner bigint, outer bigint"), "op3-ranges")
+
+        key = ["kg", "lo", "outer"]
+        alike = (rows.filter("outer is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
+                 .filter("n > 1").select(*key, "one"))
+        marked = stage_table(rows.join(alike, key, "left").withColumn("covered", F.col("one").isNotNull()), "op3-covered")
+        hits = marked.filter("covered").select("id", "lo", (F.col("lo") + step - 1).alias("hi"))
+        found = hits if found is None else found.unionByName(hits)
+        if step > 1:
+            # of the pieces that are alike over the range one stands for all against those that are not
+            left = marked.filter("not covered or id = one")
+            met = (left.groupBy("kg", "lo", "inner").agg(F.count(F.lit(1)).alias("n"), F.min("covered").alias("all_covered"))
+                   .filter("n > 1 and not all_covered").select("kg", "lo", "inner"))
+            # at most a piece's own ranges
+            ask = (left.join(met, ["kg", "lo", "inner"], "left_semi").groupBy("id")
+                   .agg(F.collect_list(F.struct("lo", (F.col("lo") + step - 1).alias("hi"))).alias("asked")))
+    return (found.join(split.filter("tells").select("id", *_CLASS), "id")
+            .select(*_CLASS, (F.col("left") - F.col("hi")).cast("int").alias("a"),
+                    (F.col("left") - F.col("lo") + length).cast("int").alias("b")))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their spans."""
     for batch in batches:
@@ -359,41 +381,30 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     every = stage_table(texts.select("k1", "k2", "text").mapInArrow(_zone_rows(length), _ZONE_TYPE), "op3-zones")
     again = every.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg")
     held = stage_table(every.join(again, "kg", "left_semi"), "op3-repeated")
-    same = ["kg", "zone", "windows", "left"]
-    kinds = stage_table(held.groupBy(*same).agg(F.count(F.lit(1)).alias("n"),
-                                                F.min(F.struct("k1", "k2", "start")).alias("one")), "op3-kinds")
-    full = held.join(kinds.filter("n > 1").select(*same), same).select(
-        "k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
-    # anchor strings with several contents, one of them alone
-    open_kg = (kinds.groupBy("kg").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-               .filter("kinds > 1 and least = 1").select("kg"))
-    pieces = (kinds.join(open_kg, "kg", "left_semi")
-              .select("one.k1", "one.k2", F.struct(F.col("one.start").alias("start"), "windows", "left", "kg",
-                                                   (F.col("n") == 1).alias("alone")).alias("ask"))
+    place = F.struct("k1", "k2", "start")
+    kinds = stage_table(held.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.max(place).alias("last")), "op3-kinds")
+    sent = kinds.select(F.explode(F.array_distinct(F.array(
+        F.struct("first.*", F.lit(True).alias("tells")),
+        F.struct("last.*", (F.col("first") == F.col("last")).alias("tells"))))).alias("at"), *_CLASS)
+    pieces = (sent.select("at.k1", "at.k2", F.struct("at.start", *_CLASS, "at.tells").alias("ask"))
               .groupBy("k1", "k2").agg(F.collect_list("ask").alias("asks")))     # at most a text's own zones
-    # repeated rows: any one of them has the text
+    # of repeated rows each has the text, so they meet as copies
     body = (texts.join(pieces, ["k1", "k2"]).select("k1", "k2", "text", "asks")
             .mapInArrow(_zone_bytes(length), _PIECE_TYPE))
     body = stage_table(body, "op3-pieces")
     weight = body.agg(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / BUCKET_BYTES))
-    suffix = F.expr("substring(body, left + 1)")
-    found = stage_table(body.repartitionByRange(buckets, suffix).mapInArrow(_bucket(length), _FOUND_TYPE), "op3-found")
-    spans = full.unionByName(found.filter("piece is null").select("k1", "k2", "a", "b"))
-    edge = found.filter("piece is not null")
+    # what stands before the anchor parts equal suffixes
+    order = [F.expr("substring(body, left + 1)"), F.expr("substring(body, 1, left)")]
+    found = stage_table(body.repartitionByRange(buckets, *order).mapInArrow(_bucket(length), _FOUND_TYPE), "op3-found")
+    edge = found.filter("body is not null")
     across = (edge.groupBy("kg").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y"))
               .filter("x < y").select("kg"))
-    split = stage_table(edge.join(across, "kg", "left_semi").select("piece.*")
-                        .dropDuplicates(["k1", "k2", "start", "kg"]), "op3-split")
-    marks = stage_table(split.mapInArrow(
-        _left_marks, "k1 bigint, k2 bigint, start bigint, kg bigint, size bigint, h bigint, asks boolean"), "op3-marks")
-    met = marks.groupBy("kg", "size", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg", "size", "h")
-    alive = marks.filter("asks").join(met, ["kg", "size", "h"], "left_semi").select("k1", "k2", "start", "kg")
-    rows = stage_table(split.join(alive, ["k1", "k2", "start", "kg"], "left_semi").select(*split.columns).mapInArrow(
-        _window_rows(length), "k1 bigint, k2 bigint, a bigint, kg bigint, d bigint, h bigint, alone boolean"), "op3-across")
-    twice = rows.groupBy("kg", "d", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg", "d", "h")
-    return spans.unionByName(rows.filter("alone").join(twice, ["kg", "d", "h"], "left_semi")
-                             .select("k1", "k2", "a", (F.col("a") + length).alias("b")))
+    split = stage_table(edge.join(across, "kg", "left_semi").select(*_PIECE, "least")
+                        .withColumn("id", F.monotonically_increasing_id()), "op3-split")
+    told = found.filter("body is null").select(*_CLASS, "a", "b").unionByName(_across(split, length))
+    return held.join(told.distinct(), _CLASS).select(
+        "k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -91,3 +91,24 @@ def test_sliding_min(values, width):
 def test_multikey_order(rows):
     m = np.array(rows, dtype=np.uint64).reshape(-1, 3)
     assert [tuple(r) for r in m[multikey_order(m)].tolist()] == sorted(rows)
+
+
+def test_one_suffix_after_many_texts_takes_many_buckets(spark, monkeypatch):
+    # a block that ends hundreds of texts: few suffixes, and pieces that differ before them only
+    monkeypatch.setattr(op, "BUCKET_BYTES", 4000)
+    rng = np.random.default_rng(12)
+    prose = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    block = prose(120)
+    rows = [(k, prose(int(rng.integers(40, 160))) + block) for k in range(400)]
+    rows += [(1000 + k, rows[k][1][7:] + prose(30)) for k in range(25)] + [(2000 + k, block[9:] + prose(80)) for k in range(40)]
+    parts = []
+    monkeypatch.setattr(op, "_bucket", lambda length, make=op._bucket: parts.append(length) or make(length))
+    assert answers(spark, rows) == brute(rows, LENGTH)
+    assert parts == [LENGTH]
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(13)
+    long = "".join(rng.choice(list("abcdefghij "), 1_300_000))
+    rows = [(1, long), (2, long[400_000:400_200]), (3, "x" * 90 + long[1_200_000:])]
+    assert answers(spark, rows) == brute(rows, LENGTH)
