@@ -147,11 +147,13 @@ def _right_bits(model: Model):
 
 
 def fit(docs: DataFrame, learn: Column, rows_per_language: int = 5_000, id_col: str = "doc_id",
-        text_col: str = "text", lang_col: str = "lang") -> Model:
+        text_col: str = "text", lang_col: str = "lang", most_languages: int = 200) -> Model:
     """A model from the rows where `learn` holds; at most about
-    `rows_per_language` of each language are read for it."""
+    `rows_per_language` of each language are read for it, and the `most_languages`
+    languages of most rows (of equally many the first by name) are learned: each
+    takes a count vector in every task, so stray labels must not add up."""
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    size = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}   # one row per language
+    size = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()}
     if not size:
         return Model((), np.ones((0, 1)), np.zeros((1 << FEATURE_BITS, 1), np.float32), np.ones((0, 1)))
     share = F.lit(0.0)

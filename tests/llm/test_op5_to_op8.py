@@ -184,3 +184,11 @@ def test_filters_on_the_rules_hold_no_copies_of_the_measures(spark, capsys):
         kept.explain()
         assert capsys.readouterr().out.count("array_remove") == 1
     assert {r.doc_id for r in quality_rules(docs).filter("base_failed").collect()} == {1, 2, 3}
+
+
+def test_stray_labels_are_not_learned(spark):
+    rows = [(k, "the ing and tion wh ou", "en") for k in range(20)] + [(100 + k, "sch der ung lich", "de") for k in range(20)]
+    rows += [(200 + k, "le eau que ment", f"stray {k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit(docs, F.lit(True), most_languages=2).languages == ("de", "en")
+    assert fit(docs, F.lit(True), most_languages=3).languages == ("de", "en", "stray 0")
