@@ -22,7 +22,8 @@ several results for a call the one of the least turn and content counts.
 
 NULL conversations or identifiers match nothing.  NULL `after` is none.  Calls
 with status duplicate, unknown_call or cycle have no level; they stand behind
-the others.  Empty tables give no rows; extra columns are ignored.
+the others.  Very long arguments and results are serialised whole.  Empty tables
+give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from ..session import stage_table
 
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 RANGE_TURNS = 8_192      # turns of one level that are ranked together
+RANGE_LEVELS = 1_024     # levels whose counts are added up together
 
 _TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN",
           "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -162,9 +164,16 @@ def _positions(d: DataFrame) -> DataFrame:
     part = F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("level"), F.floor(F.coalesce("turn", F.lit(0)) / RANGE_TURNS).alias("turns"))
     d = d.withColumn("part", part)
     own = Window.partitionBy("conv_id", "part").orderBy("turn", "call_id", "status", "json")
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # what stands before a part: over ranges of levels, then within the range
     count = (d.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
-             .select("conv_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+             .withColumn("levels", F.floor(F.col("part.level") / RANGE_LEVELS)))
+    within = Window.partitionBy("conv_id", "levels").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy("levels").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (count.groupBy("conv_id", "levels").agg(F.sum("n").alias("n"))
+              .select("conv_id", "levels", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lower")))
+    count = (count.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).alias("p")
+             .join(ranges.alias("r"), F.col("p.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("p.levels") == F.col("r.levels")))
+             .select("p.conv_id", "p.part", (F.col("p.own") + F.col("r.lower")).alias("before")))
     on = F.col("d.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("d.part") == F.col("c.part"))
     return (d.withColumn("rank", F.row_number().over(own)).alias("d").join(count.alias("c"), on)
             .select("d.conv_id", "d.call_id", "d.turn", "d.name", "d.level", (F.col("c.before") + F.col("d.rank") - 1).cast("bigint").alias("position"),

@@ -107,3 +107,37 @@ def test_no_calls(spark):
     none = spark.createDataFrame([], CALL)
     assert link_tool_calls(none, spark.createDataFrame([], RESULT), op4.SCHEMAS).collect() == []
     assert [r.status for r in link_tool_calls(none, spark.createDataFrame([(1, "a", 1, "x", 0)], RESULT), op4.SCHEMAS).collect()] == ["orphan"]
+
+
+def test_positions_of_one_long_conversation(spark, monkeypatch):
+    # a conversation with most of all calls, in chains and fans; ranges far shorter than it
+    monkeypatch.setattr(op4, "RANGE_TURNS", 7)
+    monkeypatch.setattr(op4, "RANGE_LEVELS", 5)
+    after = {k: [f"c{k - 1}"] if k % 40 else [] for k in range(160)} | {k: [f"c{k % 30}"] for k in range(160, 260)} | {260: ["c260"]}
+    rows = [call(f"c{k}", 1000 - k if k >= 160 else k, on) for k, on in after.items()] + [call("c0", 3, conv=2)]
+    calls = spark.createDataFrame(rows, CALL)
+    results = spark.createDataFrame([], RESULT)
+    found = [r for r in link_tool_calls(calls, results, {"lookup": {"key": ("string", True)}}).collect() if r.conv_id == 1]
+
+    def level(k):
+        return 1 + max((level(int(x[1:])) for x in after[k]), default=-1)
+
+    want = sorted(((level(k) if k != 260 else 1 << 31, 1000 - k if k >= 160 else k, f"c{k}") for k in after))
+    assert [r.call_id for r in sorted(found, key=lambda r: r.position)] == [c for _, _, c in want]
+    assert sorted(r.position for r in found) == list(range(len(after)))
+
+
+def test_sources_without_rows(spark):
+    from panelkit.llm.op1_revisits import page_records
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert resolve_revisits(page_records(pages)).collect() == []
+    turns = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert link_tool_calls(*op4.conversation_calls(turns), op4.SCHEMAS).collect() == []
+
+
+def test_very_long_arguments_and_results(spark):
+    long = "é\"\\ " * 300_000
+    calls = spark.createDataFrame([call("a", 1, arguments=json.dumps({"key": long}))], CALL)
+    results = spark.createDataFrame([(1, "a", 2, long, 0)], RESULT)
+    r = link_tool_calls(calls, results, {"lookup": {"key": ("string", True)}}).first()
+    assert r.status == "ok" and json.loads(r.json) == {"arguments": {"key": long}, "id": "a", "name": "lookup", "result": long}
