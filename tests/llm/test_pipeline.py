@@ -99,3 +99,18 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert sorted(map(tuple, near.collect()), key=str) == sorted([r for r in rows if r not in (rows[2], rows[3])], key=str)
     clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert sorted(map(tuple, clean.collect()), key=str) == sorted([r for r in rows + rows[:1] if leak not in r[1]], key=str)
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    leak = "Which river runs through the old town of Eastmere? The broad river Tamsin."
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = " ".join(f"the word{k} of a{k}" for k in range(40))
+    names = ["n_lines", "n_dropped", "row", "row_key", "row_key_", "key", "_row", "id", "component_id", "n_words", "kept", "drop", "lines", "size"]
+    rows = [(1, own, "src", *range(len(names))), (2, f"{leak} the of {own[::-1]}", None, *range(10, 10 + len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept = {tuple(r) for r in out.collect()}
+        assert rows[0] in kept and kept <= set(rows), name
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()} == {1, 2}
