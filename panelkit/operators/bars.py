@@ -140,7 +140,7 @@ def calendar_fill(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     bounds = bars.groupBy(*by).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     tickers = bars.select(*by, "ticker").distinct()
     if by:
-        grid = tickers.join(F.broadcast(bounds), on=by)
+        grid = tickers.join(bounds, on=by)
     else:
         grid = one_row_join(tickers, bounds)
     grid = grid.select(*by, "ticker", F.explode(F.sequence("_lo", "_hi")).alias("date"))
