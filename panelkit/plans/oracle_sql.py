@@ -139,9 +139,9 @@ def page_text(pages: str, block: str, block_class: str | None = None) -> str:
     from ..functions.markup import TAG_NAME, VOID
     wanted = f"AND {has_class('tok', block_class)}" if block_class else ""
     void = ", ".join(f"'{v}'" for v in VOID)
-    return f"""WITH RECURSIVE t AS ({page_tokens(pages)}),
+    return f"""WITH RECURSIVE t AS MATERIALIZED ({page_tokens(pages)}),
 n AS (SELECT page_id, i, tok, regexp_matches(tok, '^</?[A-Za-z]') AS tag, lower(regexp_extract(tok, '{TAG_NAME}', 1)) AS name FROM t),
-r AS (SELECT page_id, i, CASE WHEN tag THEN name END AS name, starts_with(tok, '</') AS fin,
+r AS MATERIALIZED (SELECT page_id, i, CASE WHEN tag THEN name END AS name, starts_with(tok, '</') AS fin,
         name IN ({void}) OR ends_with(tok, '/>') AS hollow, tag AND name = '{block}' {wanted} AS block,
         CASE WHEN tag OR regexp_matches(tok, '^<[!?]') THEN '' ELSE {decoded('tok')} END AS text FROM n),
 s AS (SELECT page_id, 0 AS i, []::VARCHAR[] AS stack, -1 AS ta, -1 AS ba, -1 AS pa, 0 AS pars, '' AS title, '' AS body FROM ({pages})
