@@ -16,7 +16,7 @@ from ..operators import targets as TG
 from ..operators import titles as TT
 from ..params import Params
 from ..sources import fixtures as FX
-from ..session import stage_path
+from ..session import stage_path, stage_table
 from . import oracle_sql as S
 from .catalog import query, r6
 from .pipeline import build_dataset, label, samples
@@ -229,13 +229,19 @@ def titles_per_window_histogram(spark, sf):
     return h.select("bin", "n")
 
 
+def _samples(spark, sf):
+    """Written once: edges, labels and guard each read them several times."""
+    return stage_table(samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
+                       .select("split", "ticker", "sample_id", "replica", "return"), "samples")
+
+
 # ---- binning ------------------------------------------------------------------
 
 @query("equal_frequency_edges", PIPE_SQL.split(",\nedges AS")[0] + """
 SELECT unnest(e) AS edge FROM (SELECT list_sort(list_distinct(quantile_cont(ret, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e
   FROM win WHERE split = 'train')""".replace("SELECT unnest(e) AS edge", "SELECT round(unnest(e), 6) AS edge"))
 def equal_frequency_edges(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
+    s = _samples(spark, sf)
     e = TG.equal_frequency_edges(s.filter(F.col("split") == "train"), 5)
     return e.select(F.explode("edges").alias("edge")).select(r6("edge").alias("edge"))
 
@@ -246,7 +252,7 @@ e AS (SELECT unnest(range(0, 6)) AS i, mn, mx FROM mm)
 SELECT i, round(CASE WHEN i = 5 THEN mx WHEN i = 0 THEN mn - (mx - mn) * 0.001 ELSE mn + i * ((mx - mn) / 5.0) END, 6) AS edge
 FROM e""")
 def equal_width_edges(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
+    s = _samples(spark, sf)
     e = TG.equal_width_edges(s.filter(F.col("split") == "train"), 5)
     return e.select(F.posexplode("edges").alias("i", "edge")).select(F.col("i").cast("bigint").alias("i"),
                                                                     r6("edge").alias("edge"))
@@ -255,7 +261,7 @@ def equal_width_edges(spark, sf):
 @query("apply_bins", PIPE_SQL + """
 SELECT split, ticker, sample_id, replica, round(ret, 6) AS ret, target FROM lab""")
 def apply_bins(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
+    s = _samples(spark, sf)
     return label(s, brand_params()).select("split", "ticker", "sample_id", "replica",
                                            r6("return").alias("ret"), "target")
 
@@ -263,7 +269,7 @@ def apply_bins(spark, sf):
 @query("null_target_guard", PIPE_SQL + """
 SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE target IS NULL) AS n_null FROM lab GROUP BY split""")
 def null_target_guard(spark, sf):
-    s = samples(spark, FX.brand_bars(spark, sf), FX.daily_news(spark, sf), brand_params())
+    s = _samples(spark, sf)
     lab = label(s, brand_params())
     TG.null_target_guard(lab, 0.05, splits=["train", "val", "test"])   # raises when over the limit
     return TG.null_target_counts(lab)
