@@ -33,16 +33,32 @@ def keyword_count(news: DataFrame, keywords: Sequence[str], literal: bool = Fals
     """Sum over keywords of non-overlapping, case-sensitive matches in the
     text; a NULL text counts as ''.  Keywords are regexes unless `literal`.
 
-    One pass over the text: the per-keyword counts are a single projection.
+    The text is searched once a keyword: the sum is made by a generator of one
+    value, as a filter on a projected sum would be pushed below it with a second
+    copy of the whole expression.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if not keywords:
         return news.withColumn(out, F.lit(0))
-    parts = [F.regexp_count(text, F.lit(re.escape(k) if literal else k)) for k in keywords]
+    parts = [_matches(text, k, literal) for k in keywords]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return news.withColumn(out, total.cast("int"))
+    return news.withColumn(out, F.explode(F.array(total.cast("int"))))
+
+
+# What makes a keyword more than the characters it consists of.
+REGEX_CHARACTERS = frozenset("\\^$.|?*+()[]{}")
+
+
+def _matches(text: Column, keyword: str, literal: bool) -> Column:
+    """Non-overlapping matches of one keyword.  One without regex characters is
+    taken out of the text's bytes and the loss counted, without decoding the text
+    or listing the matches."""
+    if keyword and keyword.isascii() and (literal or not REGEX_CHARACTERS & set(keyword)):
+        lost = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(keyword), F.lit("")))
+        return (lost / F.lit(len(keyword))).cast("int")
+    return F.regexp_count(text, F.lit(re.escape(keyword) if literal else keyword))
 
 
 def relevant_flag(news: DataFrame, count_col: str = "keywords_count") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
+from ..session import stage_table
 from .ranges import order_ranges
 
 
@@ -156,7 +157,7 @@ def weight_intervals(cand: DataFrame, day_keys: Sequence[str], count_col: str =
 
 def sample_titles(window_days: DataFrame, cand: DataFrame, k: int, seed: int, group: Sequence[str],
                   day_keys: Sequence[str] = ("split", "date"), count_col: str = "keywords_count",
-                  order_col: str = "ord") -> DataFrame:
+                  order_col: str = "ord", materialize: bool = True) -> DataFrame:
     """Training pick: per (window, replica, day) draw k candidates without
     replacement, p proportional to ln(1 + count) - successive sampling - as
     (group, day_keys, order_col, _rank, title), min(k, candidates) rows each.
@@ -172,6 +173,8 @@ def sample_titles(window_days: DataFrame, cand: DataFrame, k: int, seed: int, gr
     day_keys, group = list(day_keys), list(group)
     ids = list(dict.fromkeys([*group, *day_keys]))
     iv = weight_intervals(cand, day_keys, count_col, order_col)
+    if materialize:
+        iv = stage_table(iv, "weight_intervals")           # counted, dealt to buckets, and each day's total taken
     m = iv.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("_m"))
     iv = iv.join(m, day_keys).withColumn("_d", F.col("_wsum") / F.col("_m"))
     last_b = F.col("_m") - 1
@@ -179,7 +182,9 @@ def sample_titles(window_days: DataFrame, cand: DataFrame, k: int, seed: int, gr
         F.least(F.floor(F.col("_lo") / F.col("_d")), last_b).cast("long"),
         F.least(F.floor(F.col("_hi") / F.col("_d")), last_b).cast("long"))).alias("_b"))
     day_info = iv.select(*day_keys, "_wsum", "_d", "_m").distinct()
-    open_days = window_days.select(*ids).join(day_info, day_keys)
+    # a window-day is a few bytes but many draws: dealt out by count, not by size
+    parts = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_days = window_days.select(*ids).join(day_info, day_keys).repartition(parts, *ids)
     draws = (open_days.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(2 * k + 8))))
              .withColumn("_r", hash_uniform(seed, *group, F.col("_j")) * F.col("_wsum"))
              .withColumn("_b", F.least(F.floor(F.col("_r") / F.col("_d")), F.col("_m") - 1).cast("long")))
@@ -187,6 +192,8 @@ def sample_titles(window_days: DataFrame, cand: DataFrame, k: int, seed: int, gr
            .groupBy(*ids, order_col).agg(F.min("_j").alias("_j")))
     picked = (hit.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_j")))
               .filter(F.col("_rank") <= k).select(*ids, order_col, "_rank"))
+    if materialize:
+        picked = stage_table(picked, "picked_titles")      # counted, passed over and returned
     got = picked.groupBy(*group).agg(F.count(F.lit(1)).alias("_got"))
     short = (open_days.join(got, group, "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
              .filter(F.col("_got") < F.least(F.lit(k), F.col("_m"))).select(*ids, "_got"))

@@ -55,16 +55,19 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
             title_filters: bool = True, materialize: bool = True) -> DataFrame:
     """Windows with returns, scaled lists and cut titles; no target yet.
 
-    With `materialize`, the two narrow inputs - the calendar panel (tickers x
-    days) and the title candidates (ids, counts, <= 1 title each; no article
-    text) - are checkpointed to the shared checkpoint folder, so the bar
+    With `materialize`, the narrow inputs - the bars, the calendar panel (tickers
+    x days), the title candidates (ids, counts, <= 1 title each; no article
+    text) and the ids drawn - are checkpointed to the shared checkpoint folder, so the bar
     source and the article text are read once although several branches of
     the plan consume them."""
     L, H, W, k = params.lookback, params.horizon, params.window, params.max_titles_per_day
     train = params.train_split
     fr = frames_df(spark, params.frames)
 
-    panel = B.calendar_fill(prepare_bars(bars, params, fr), by=["split"])
+    bars = prepare_bars(bars, params, fr)
+    if materialize:
+        bars = stage_table(bars, "bars")       # the calendar takes its bounds, tickers and days from it
+    panel = B.calendar_fill(bars, by=["split"])
     if materialize:
         panel = stage_table(panel, "panel")
     long = window_positions(panel, W, by=["split"])
@@ -95,7 +98,8 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
                    .join(day_lists.filter("_draw").select("split", "date"), ["split", "date"], "left_semi") \
                    .withColumn("replica", replicas)
     group = ["split", "ticker", SAMPLE_ID, "replica", DAY_IDX]
-    drawn = TT.sample_titles(window_days, cand.filter(F.col("split") == train), k, params.seed, group=group)
+    drawn = TT.sample_titles(window_days, cand.filter(F.col("split") == train), k, params.seed, group=group,
+                             materialize=materialize)
     drawn_days = drawn.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
         F.col(DAY_IDX).alias("d"), F.col("_rank").alias("r"), F.col("title").alias("t")))).alias("_d"))
 
