@@ -109,7 +109,8 @@ def word_counts_by_weekday(news: DataFrame, spark=None) -> DataFrame:
 
 def titles_per_window_histogram(samples: DataFrame, bins: int = 10) -> DataFrame:
     from .titles import titles_per_window
-    return equal_bins(samples.select(titles_per_window("title").alias("n_titles")), "n_titles", bins)
+    counts = stage_table(samples.select(titles_per_window("title").alias("n_titles")), "n_titles")
+    return equal_bins(counts, "n_titles", bins)        # bounds and bins both read it
 
 
 def nearest_vector(vectors: DataFrame, query_id: int, id_col: str = "vec_id",

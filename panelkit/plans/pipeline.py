@@ -87,11 +87,12 @@ def samples(spark: SparkSession, bars: DataFrame, news: DataFrame, params: Param
     fixed = cand.join(counts, ["split", "date"]) \
                 .filter((F.col("split") != train) | (F.col("_m") <= k)).drop("_m")
     day_lists = TT.top_titles_per_day(fixed, k, by=["split"], counts=counts)
-    # days with more than k training candidates: marker row with NULL list
-    sample_days = counts.filter((F.col("split") == train) & (F.col("_m") > k)) \
-                        .select("split", "date", F.lit(None).cast("array<string>").alias("titles"),
-                                F.lit(True).alias("_draw"))
-    day_lists = day_lists.withColumn("_draw", F.lit(False)).unionByName(sample_days)
+    # days with more than k training candidates: a NULL list.  A join and no union of
+    # both kinds of days: a union of hash-dealt sides counts as dealt by that hash, and
+    # where adaptive execution then cuts the sides unlike, the join with the windows fails
+    sampled = (F.col("split") == train) & (F.col("_m") > k)
+    day_lists = counts.join(day_lists, ["split", "date"], "left").select(
+        "split", "date", "titles", sampled.alias("_draw"))
 
     x = long.filter(F.col(DAY_IDX) < L)
     window_days = x.select("split", "ticker", SAMPLE_ID, DAY_IDX, "date") \
