@@ -24,11 +24,12 @@ How the work is dealt:
    shingles; a larger group is cut into blocks that each get the group's first
    class, and what is not linked to it is searched against every block in
    further tasks.  In a task, T-occurrence search answers each query: the
-   longest inverted lists are set apart, the short ones are merged on a heap
-   with skips, candidates that can still reach T are probed for in the long
-   lists by binary search, and the exact overlap decides.  A class already
-   joined to the group's first class is no query again: its links inside that
-   component change nothing.
+   longest inverted lists are set apart, the short ones are merged (few entries
+   on a heap with skips, many by counting all at once), candidates that can
+   still reach T are probed for in the long lists by binary search, or counted
+   there where that is less to read, and the exact overlap decides.  A class
+   already joined to the group's first class is no query again: its links inside
+   that component change nothing.  A group that is one component is left.
 4. Links are contracted to components in Spark.
 
 Nulls, empty texts and texts without words have the empty set: n_shingles 0 and
@@ -59,6 +60,8 @@ BLOCK_ENTRIES = 300_000     # list entries a packed block should hold
 GROUP_CLASSES = 4_000       # classes of a group up to which its members are weighed by rare entries
 GROUP_SHINGLES = 1_000_000  # shingles of the sets that one search task holds
 SKIP_WEIGHT = 0.0085        # DivideSkip's mu
+HEAP_ENTRIES = 256          # entries of short lists up to which they are merged on a heap
+PROBE_COST = 8              # a probe costs as much as so many entries counted
 LONG_LEVEL = 6              # shingles of higher sketch levels are counted as long lists at once
 LONG_FROM = 4_096           # lists from this length on are for Spark's own grouping
 
@@ -289,14 +292,16 @@ def _hopeful(percent: int):
             cls = np.array(cls, dtype=np.int64)
             joined, index = _Joined(len(n)), ListIndex(rare)
             for i in range(len(n)):
+                if joined.left == 1:
+                    break
+                if i and joined.label[i] == joined.label[0]:
+                    continue          # what it links outside is found from there
                 hits = index.counts(rare[i])
                 overlap = -(-percent * (n[i] + n) // (100 + percent))
                 rest = np.where(last[i] <= last, n[i] - size[i], n - size)
                 fit = (hits >= np.maximum(1, overlap - rest)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                fit[i] = False
-                for j in np.flatnonzero(fit):
-                    joined.join(i, int(j))
-            root = np.array([joined.root(i) for i in range(len(n))])
+                joined.join(i, np.flatnonzero(fit))
+            root = joined.label
             least = np.full(len(n), np.iinfo(np.int64).max)
             np.minimum.at(least, root, cls)
             keep = np.bincount(root, minlength=len(n))[root] > 1
@@ -330,7 +335,6 @@ class ListIndex:
         doc = np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(tok, kind="stable")
         self.tok, self.doc = tok[order], doc[order]
-        self.plain = self.doc.tolist()
 
     def places(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the query's lists lie in `doc`; empty ones left out."""
@@ -340,38 +344,51 @@ class ListIndex:
 
     def counts(self, query: np.ndarray) -> np.ndarray:
         """How many of the query's lists hold each set."""
-        lo, hi = self.places(query)
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(int((hi - lo).sum()))
-        return np.bincount(self.doc[at], minlength=len(self.size))
+        return self._held(*self.places(query))
 
-    def search(self, query: np.ndarray, percent: int) -> list[int]:
-        """Indexes of the sets that link with `query`."""
+    def _held(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many of the lists at these places hold each set."""
+        lists = [self.doc[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.doc[:0], *lists]), minlength=len(self.size))
+
+    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Indexes of the sets that link with `query`, ascending."""
         n = len(query)
         t = needed(n, percent)
         lo, hi = self.places(query)
+        none = np.zeros(0, dtype=np.int64)
+        if not n or len(lo) < t:
+            return none
         order = np.argsort(hi - lo, kind="stable")
-        lists = [self.plain[a:b] for a, b in zip(lo[order].tolist(), hi[order].tolist(), strict=True)]
-        if not n or len(lists) < t:
-            return []
-        longest = len(lists[-1])
+        lo, hi = lo[order], hi[order]
+        longest = int(hi[-1] - lo[-1])
         apart = min(t - 1, int(t / (SKIP_WEIGHT * math.log2(longest) + 1)) if longest > 1 else t - 1)
-        short, long = lists[:len(lists) - apart], lists[len(lists) - apart:]
-        found = []
-        for doc, hits in merge_skip(short, t - apart):
-            m = int(self.size[doc])
-            if 100 * min(n, m) < percent * max(n, m):
-                continue
-            least = -(-percent * (n + m) // (100 + percent))
-            left = len(long)
-            for other in long:
-                if hits + left < least:
-                    break
-                i = bisect_left(other, doc)
-                hits += i < len(other) and other[i] == doc
-                left -= 1
-            if 100 * hits >= percent * (n + m - hits):
-                found.append(doc)
-        return found
+        short = len(lo) - apart
+        if int((hi[:short] - lo[:short]).sum()) <= HEAP_ENTRIES:
+            lists = [self.doc[a:b].tolist() for a, b in zip(lo[:short].tolist(), hi[:short].tolist(), strict=True)]
+            merged = list(merge_skip(lists, t - apart))
+            doc, hits = np.array(merged, dtype=np.int64).reshape(-1, 2).T
+        else:
+            hits = self._held(lo[:short], hi[:short])
+            doc = np.flatnonzero(hits >= t - apart)
+            hits = hits[doc]
+        m = self.size[doc]
+        near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        least = -(-percent * (n + m) // (100 + percent))
+        alive = near & (hits + apart >= least)
+        doc, hits, least = doc[alive], hits[alive], least[alive]
+        if PROBE_COST * len(doc) * apart > int((hi[short:] - lo[short:]).sum()):
+            hits = hits + self._held(lo[short:], hi[short:])[doc]
+        else:
+            for left, a, b in zip(range(apart, 0, -1), lo[short:].tolist(), hi[short:].tolist(), strict=True):
+                alive = hits + left >= least
+                if not alive.all():
+                    doc, hits, least = doc[alive], hits[alive], least[alive]
+                if not len(doc):
+                    return none
+                there = self.doc[a:b]
+                hits = hits + (there[np.minimum(np.searchsorted(there, doc), b - a - 1)] == doc)
+        return doc[100 * hits >= percent * (n + self.size[doc] - hits)]
 
 
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -421,24 +438,33 @@ def _groups(width: int, batches: Iterator[pa.RecordBatch]):
 
 
 class _Joined:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
+    """Components of a group: `label` names each member's, `left` is their number."""
 
-FIRST, MEMBER, QUERY = 0, 1, 2
+    def __init__(self, n: int):
+        self.label, self.left = np.arange(n), n
+        self.held = [[k] for k in range(n)]
+
+    def join(self, i: int, others: np.ndarray) -> list[int]:
+        """Joins `others` to i; those that were in another component until then."""
+        new = []
+        for j in others[self.label[others] != self.label[i]].tolist():
+            a, b = int(self.label[i]), int(self.label[j])
+            if a != b:
+                if len(self.held[a]) < len(self.held[b]):
+                    a, b = b, a
+                self.label[self.held[b]] = a
+                self.held[a] += self.held[b]
+                self.held[b] = []
+                self.left -= 1
+                new.append(j)
+        return new
+
+
+FIRST, MEMBER, QUERY, HUB = 0, 1, 2, 3
 # roles: FIRST searches before all others; a MEMBER searches only in a small
-# group, where it is not yet joined to FIRST; a QUERY always searches.
+# group, where it is not yet joined to FIRST; a QUERY searches until it is joined
+# to the HUB members, those that FIRST was found to link with.  What it links
+# outside is then found from there, where it is a member of the block searched.
 
 
 def _search(width: int, percent: int, whole: bool):
@@ -448,17 +474,22 @@ def _search(width: int, percent: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for pivot, ids, roles, sets in _groups(width, batches):
-            order = sorted(range(len(ids)), key=lambda i: (roles[i] == MEMBER, roles[i], ids[i]))
+            order = sorted(range(len(ids)), key=lambda i: (roles[i] in (MEMBER, HUB), roles[i], ids[i]))
             ids, roles, sets = [ids[i] for i in order], [roles[i] for i in order], [sets[i] for i in order]
             index, joined = ListIndex(sets), _Joined(len(ids))
+            hub = np.flatnonzero(np.array(roles) == HUB)
+            joined.join(hub[0] if len(hub) else 0, hub)
             for i, role in enumerate(roles):
-                if role == MEMBER and (joined.root(i) == joined.root(0) or not whole):
-                    if not whole and joined.root(i) != joined.root(0):
+                if joined.left == 1:
+                    break
+                if role == MEMBER and (joined.label[i] == joined.label[0] or not whole):
+                    if joined.label[i] != joined.label[0]:
                         out.append((pivot, ids[i], None))
                     continue
-                for j in index.search(sets[i], percent):
-                    if j != i and joined.join(i, j):
-                        out.append((pivot, min(ids[i], ids[j]), max(ids[i], ids[j])))
+                if role == HUB or len(hub) and joined.label[i] == joined.label[hub[0]]:
+                    continue
+                for j in joined.join(i, index.search(sets[i], percent)):
+                    out.append((pivot, min(ids[i], ids[j]), max(ids[i], ids[j])))
             if len(out) > 50_000:
                 yield _links(out)
                 out = []
@@ -512,7 +543,8 @@ def _link_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_c
     reps = stage_table(profile.filter("n > 0 and id is not null").groupBy("s1", "s2", "n")
                        .agg(F.min("id").alias("rep"), F.min("weighed").alias("weighed")), "op2-classes")
     fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = reps.agg(F.sum("weighed")).first()[0] or 0
+    # by the rows, as copies far apart in the table come once each
+    total = profile.filter("id is not null").agg(F.sum("weighed")).first()[0] or 0
     blocks = max(fewest, math.ceil(total / BLOCK_ENTRIES))
     shared = (texts.filter("id is not null").select("text")
               .mapInArrow(_entries(width, percent, levels, blocks), "block int, packed binary")
@@ -564,9 +596,11 @@ def _link_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_c
                  .select("pivot", "rep", "parts", F.pmod(F.xxhash64("rep"), F.col("qparts")).cast("int").alias("qpart"))
                  .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("mpart"))
                  .select("pivot", grid, "rep", F.lit(QUERY).alias("role")))
-        there = (cut.join(qsize, "pivot").select("pivot", "rep", "parts", part.alias("mpart"),
-                                                  F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)).alias("qpart"))
-                 .select("pivot", grid, "rep", F.lit(MEMBER).alias("role")))
+        open_ = queries.distinct().withColumn("role", F.lit(MEMBER))
+        there = (cut.drop("role").join(qsize, "pivot").join(open_, ["pivot", "rep"], "left")
+                 .select("pivot", "rep", "parts", F.coalesce("role", F.lit(HUB)).alias("role"), part.alias("mpart"),
+                         F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)).alias("qpart"))
+                 .select("pivot", grid, "rep", "role"))
         # a class that is both a query and a member of a cell comes once, as a query
         cells = asked.unionByName(there).groupBy("pivot", "cell", "rep").agg(F.max("role").alias("role"))
         found = (found.unionByName(first.filter("b is not null"))

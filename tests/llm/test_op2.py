@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -94,3 +95,49 @@ def test_search(sets, percent):
     for s in sets:
         want = [k for k, o in enumerate(sets) if 100 * len(s & o) >= percent * len(s | o)]
         assert sorted(index.search(np.array(sorted(s), dtype=np.uint64), percent)) == want
+
+
+def dense_group(members=2_000, size=400):
+    """Near copies: every list holds most of the group."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+    sets = []
+    for _ in range(members):
+        s = base.copy()
+        new = rng.choice(size, int(rng.integers(5, 60)), replace=False)
+        s[new] = rng.integers(0, 1 << 62, len(new)).astype(np.uint64)
+        sets.append(np.unique(s))
+    return sets
+
+
+def test_dense_lists_are_counted_at_once_and_probed_like_before():
+    sets = dense_group()
+    index = ListIndex(sets)
+    before = time.process_time()
+    found = [index.search(s, 85) for s in sets[:60]]
+    assert time.process_time() - before < 4           # about 10 s on a heap
+    for s, got in zip(sets[:60:12], found[::12]):
+        common = np.array([len(np.intersect1d(s, o, assume_unique=True)) for o in sets])
+        union = np.array([len(s) + len(o) for o in sets]) - common
+        assert list(got) == np.flatnonzero(100 * common >= 85 * union).tolist()
+
+
+@pytest.mark.parametrize("heap,probe", [(0, 0), (0, 1 << 40), (1 << 40, 0), (1 << 40, 1 << 40)])
+def test_heap_counts_and_probes_agree(monkeypatch, heap, probe):
+    monkeypatch.setattr(op, "HEAP_ENTRIES", heap)
+    monkeypatch.setattr(op, "PROBE_COST", probe)
+    sets = dense_group(40, 60) + dense_group(5, 90) + [np.arange(3, dtype=np.uint64), np.zeros(0, np.uint64)]
+    index = ListIndex(sets)
+    for s in sets:
+        want = [k for k, o in enumerate(sets) if len(s) and len(o) and
+                100 * (c := len(np.intersect1d(s, o))) >= 70 * (len(s) + len(o) - c)]
+        assert list(index.search(s, 70)) == want
+
+
+def test_joined_counts_components_and_names_each_new_link_once():
+    j = op._Joined(6)
+    assert j.join(0, np.array([0, 1, 2])) == [1, 2] and j.left == 4
+    assert j.join(1, np.array([0, 2])) == []
+    assert j.join(4, np.array([5])) == [5]
+    assert j.join(5, np.array([0, 1, 4])) == [0] and j.left == 2
+    assert len(set(j.label[[0, 1, 2, 4, 5]].tolist())) == 1 and j.label[3] != j.label[0]
